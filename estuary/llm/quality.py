@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, table, text_or_empty
 
-LABELLED, POOL, ROUNDS, EACH_ROUND = 6_000, 6_000, 4, 400
+LABELLED, POOL, ROUNDS, EACH_ROUND = 5_000, 4_000, 4, 400
 BUCKETS, KINDS = 1 << 14, 32
 STEPS, DECAY = 40, 1e-4
 REJECT_BELOW = 0.5
@@ -99,8 +99,8 @@ class Sparse:
     """Rows of (feature, weight), flat."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
-        self.at, self.w = (np.concatenate([r[i] for r in rows]) if rows else np.array([], (np.int64, np.float32)[i]) for i in (0, 1))
-        self.row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        self.at, self.w = (np.concatenate([r[i] for r in rows]) if rows else np.array([], (np.int32, np.float32)[i]) for i in (0, 1))
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
         self.n, self.width = len(rows), width
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
@@ -215,12 +215,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     small = spark.createDataFrame(listed, "doc_id long, quality int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).join(F.broadcast(small), "doc_id")
     got = rows.select("doc_id", "text", "lang", "source", "quality").mapInPandas(_extract, "doc_id long, quality int, at binary, w binary, meta binary")
-    got = sorted(got.collect(), key=lambda r: (r["doc_id"], r["at"], r["w"]))
+    got = sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["at"], r["w"]))
     if not any(r["quality"] >= 0 for r in got):
         return Model(np.zeros(AGAIN + 3), np.zeros(META + 1), np.zeros(2), np.zeros(2), np.zeros(3))
-    each = [((np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["w"], "<f4")), np.frombuffer(r["meta"], "<f4")) for r in got]
+    each = [((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["w"], "<f4")), np.frombuffer(r["meta"], "<f4")) for r in got]
     y = np.array([r["quality"] if r["quality"] >= 0 else np.nan for r in got], float)
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in got]) & ~np.isnan(y)
+    del got
     return co_train(each, y, held)
 
 
