@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +40,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def hash_sample(df: DataFrame, key: Column, limit: int, also: Iterable[Column] = ()) -> DataFrame:
-    """The rows with the smallest hashes of key: a uniform sample of at most limit rows that no layout changes."""
-    return df.orderBy(F.xxhash64(key), key, *also).limit(limit)
+def hash_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
+    """At most limit rows, those with the smallest hashes of key: a uniform sample that no layout changes. Hashes that
+    cannot be among them, by a wide margin, are dropped where they are read, so no task meets more than about limit rows."""
+    spread = 1 << 30
+    n = df.count()
+    share = min(1.0, (limit + 8 * limit**0.5 + 64) / max(n, 1))
+    place = F.pmod(F.xxhash64(key), F.lit(spread))
+    return df.where(place < F.lit(int(share * spread) + 1)).orderBy(place, key).limit(limit)
 
 
 def batches(it: Iterator, columns: list[str], rows: int = 256) -> Iterator[list[list]]:

@@ -242,6 +242,21 @@ def _scorer(model: object, digest: bytes) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def most_frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
+    """(word, n) of at most limit words, by descending n: all whose count lies above the highest power of 2**(1/32) that
+    leaves no more. The power comes from a histogram of bounded size; no task sorts the vocabulary."""
+    level = F.floor(F.log2("n") * 32)
+    kept, cut_at = 0, None
+    for at, n in sorted(counts.groupBy(level.alias("at")).agg(F.count("*")).collect(), reverse=True):
+        if kept + n > limit:
+            break
+        kept, cut_at = kept + n, at
+    if cut_at is None:
+        return []
+    found = [(bytes(r["word"]), r["n"]) for r in counts.where(level >= F.lit(cut_at)).collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 SCORED = "row long, doc_id long, held_out boolean, model double, n_tokens long, n_held long, held_log double, other_log double, rare array<struct<word:binary,n:bigint>>"
 
 
@@ -261,7 +276,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, model_words: int
     n_docs = train.count()
     distinct, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     total, vocabulary = tokens + n_docs, distinct + (n_docs > 0)
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(held_words).toLocalIterator()]
+    top = most_frequent(counts, held_words)
     known = {w: i + CLASSES + 1 for i, (w, _) in enumerate(top[:model_words])}
     held = {w: math.log10(n + 1) for w, n in top}
     inside = np.array([n for _, n in top[:model_words]], np.float64)
