@@ -60,6 +60,20 @@ def outcome_trades(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
 INVENTORY = "path string, bytes long, rows long, row_groups long, schema_fingerprint string, low string, high string, sha256 string, error string"
 
 
+def _bounds(metadata: pq.FileMetaData, column: str) -> tuple[str | None, str | None]:
+    """Least and largest value by the row groups' statistics; unknown if any group has none or they cannot be read."""
+    import pyarrow as pa
+
+    at = [i for i in range(metadata.num_columns) if metadata.schema.column(i).name == column]
+    try:
+        found = [metadata.row_group(g).column(at[0]).statistics for g in range(metadata.num_row_groups)] if at else []
+        if not found or any(s is None or not s.has_min_max for s in found):
+            return None, None
+        return str(min(s.min for s in found)), str(max(s.max for s in found))
+    except pa.ArrowException:
+        return None, None
+
+
 def inventory(spark: SparkSession, files: DataFrame, time_column: str) -> DataFrame:
     """One record for each file of (path, content binary): size, footer counts, schema digest, the time column's bounds and sha256. Files are read
     by Spark, so any store will do; unreadable ones carry their error."""
@@ -73,12 +87,9 @@ def inventory(spark: SparkSession, files: DataFrame, time_column: str) -> DataFr
                 base = {"path": path, "bytes": len(content), "sha256": hashlib.sha256(content).hexdigest()}
                 try:
                     m = pq.ParquetFile(pa.BufferReader(content)).metadata
-                    at = [i for i in range(m.num_columns) if m.schema.column(i).name == time_column]
-                    found = [m.row_group(g).column(at[0]).statistics for g in range(m.num_row_groups)] if at else []
-                    known = [s for s in found if s is not None and s.has_min_max]
-                    full = bool(known) and len(known) == len(found)
                     names = ";".join(f"{m.schema.column(i).path}:{m.schema.column(i).physical_type}" for i in range(m.num_columns))
-                    base |= {"rows": m.num_rows, "row_groups": m.num_row_groups, "schema_fingerprint": hashlib.sha256(names.encode()).hexdigest(), "low": str(min(s.min for s in known)) if full else None, "high": str(max(s.max for s in known)) if full else None}
+                    base |= {"rows": m.num_rows, "row_groups": m.num_row_groups, "schema_fingerprint": hashlib.sha256(names.encode()).hexdigest()}
+                    base["low"], base["high"] = _bounds(m, time_column)
                 except (pa.ArrowException, OSError) as e:
                     base["error"] = str(e)[:200]
                 out.append(base)

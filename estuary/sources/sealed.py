@@ -35,7 +35,7 @@ def write_sealed(df: DataFrame, path: str, table: str) -> dict:
     if missing := missing_required(rows, spec):
         raise SealError(f"{table}: null in required {missing}")
     manifest = {"table": table, "version": spec.version, "rows": rows.count(), "identity": identity(rows)}
-    fs, at = _file(spark, f"{path}/_manifest.json")
+    fs, at = _file(spark, f"{path}/manifest.json")
     if fs.exists(at):
         if _manifest(spark, path) != manifest:
             raise SealError(f"{path} holds other rows")
@@ -48,13 +48,13 @@ def write_sealed(df: DataFrame, path: str, table: str) -> dict:
 
 
 def _manifest(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/_manifest.json", wholetext=True).first()[0])
+    return json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
 
 
 def read_sealed(spark: SparkSession, path: str, table: str, verify: bool = True) -> DataFrame:
     """The rows of a sealed dataset, or an error: another table or version, another schema, no manifest, other content."""
     spec = TABLES[table]
-    fs, at = _file(spark, f"{path}/_manifest.json")
+    fs, at = _file(spark, f"{path}/manifest.json")
     if not fs.exists(at):
         raise SealError(f"{path} has no manifest")
     manifest = _manifest(spark, path)
