@@ -29,35 +29,44 @@ from .graph import connected_components
 CHUNK = 1 << 15
 
 
-def simhash_bytes(text: bytes, words: int = 3) -> int:
-    """64 majority bits over XXH64 (seed 42) of the word shingles, repeats included; no words: 0."""
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """64 more bits of each hash, by a fixed mixing step."""
+    x = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def simhash(text: bytes, words: int = 3, wide: bool = False) -> tuple[int, ...]:
+    """64 majority bits over XXH64 (seed 42) of the word shingles, repeats included; no words: 0. wide: 64 more, over a second hash."""
     w = text.lower().split()
+    hashed = [lambda x: x, _second][: 1 + wide]
     if not w:
-        return 0
-    if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), 42)
-    total, n = np.zeros(64, np.int64), len(w) - words + 1
+        return (0,) * len(hashed)
+    totals, n = [np.zeros(64, np.int64) for _ in hashed], max(1, len(w) - words + 1)
     for at in range(0, n, CHUNK):
         part = w[at : at + CHUNK + words - 1]
-        m = len(part) - words + 1
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(part[i : i + m] for i in range(words)), strict=True)), repeat(42)), np.uint64, m)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
+        m = max(1, len(part) - words + 1)
+        shingles = map(b" ".join, zip(*(part[i : i + m] for i in range(words)), strict=True)) if len(part) >= words else [b" ".join(part)]
+        base = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, m)
+        for total, f in zip(totals, hashed, strict=True):
+            total += np.unpackbits(f(base).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(int.from_bytes(np.packbits(t * 2 > n, bitorder="little").tobytes(), "little") for t in totals)
+
 
+def _mapper(words: int, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["doc_id", "fp", "fp2"][: 2 + wide]
 
-def _mapper(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = [simhash_bytes(t or b"", words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([simhash(t or b"", words, wide) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64).reshape(-1, 1 + wide)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row; the whole text counts, a null text is an empty one."""
+def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
+    """(doc_id, fp long), and fp2 if wide, of every row; the whole text counts, a null text is an empty one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_mapper(words), "doc_id long, fp long")
+    return rows.mapInArrow(_mapper(words, wide), "doc_id long, fp long" + ", fp2 long" * wide)
 
 
 def signed(x: int) -> int:
@@ -106,13 +115,13 @@ def links(classes: DataFrame, radius: int = 2, blocks: int = 4, small: int = 48)
     return near.union(stars)
 
 
-def spread_join(rows: DataFrame, classes: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, classes: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
     """rows left-joined to classes on key. Classes that hold over a thousandth of all rows number under a
     thousand, whatever the data: those are broadcast, and only the rest are shuffled."""
     hot = classes.where(F.col(count) * 1000 > total)
     cold = classes.where(F.col(count) * 1000 <= total)
-    tagged = rows.join(F.broadcast(hot.select(key, *[F.col(c).alias(f"_hot_{c}") for c in classes.columns if c != key])), key, "left")
-    others = [c for c in classes.columns if c != key]
+    tagged = rows.join(F.broadcast(hot.select(*key, *[F.col(c).alias(f"_hot_{c}") for c in classes.columns if c not in key])), key, "left")
+    others = [c for c in classes.columns if c not in key]
     done = tagged.where(F.col(f"_hot_{count}").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in others])
     rest = tagged.where(F.col(f"_hot_{count}").isNull()).select(*rows.columns).join(cold, key, "left").select(*rows.columns, *others)
     return done.unionByName(rest)
@@ -131,7 +140,7 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4
     total = classes.agg(F.sum("copies")).first()[0] or 0
     found = connected_components(links(classes.where("rep is not null").select("fp", "rep"), radius, blocks))
     named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
-    return spread_join(fps, named, "fp", "copies", total).select("doc_id", "fp", "component_id")
+    return spread_join(fps, named, ["fp"], "copies", total).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,49 +166,83 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, shingles array<bigint>")
 
 
-def candidates(classes: DataFrame, radius: int, blocks: int, most: int, small: int = 48) -> DataFrame:
-    """classes (fp, rep) -> distinct (a, b) that share blocks - radius blocks of their fingerprints and differ in at most ``most`` bits.
+def table_plan(n: int) -> tuple[int, int]:
+    """(blocks, agreeing ones) for n classes: the fewest bits of a key that leave about 16 unrelated classes to it at most."""
+    bits = max(1, n).bit_length()
+    return next(((b, k) for b, k in ((8, 2), (9, 3), (10, 4), (10, 5)) if 64 * k / b >= bits - 4), (10, 5))
+
+
+NEAREST = 8
 
-    Complete up to ``radius`` bits, and what the tables meet beyond it. A key with more than ``small`` classes is a
-    group of near copies: its classes meet its first one and the one before, not each other.
+
+def candidates(classes: DataFrame, n: int, most: int, small: int = 24) -> tuple[DataFrame, DataFrame]:
+    """classes (fp, fp2, rep) -> distinct (a, b) that share enough blocks of either half and differ in at most ``most`` of 128 bits;
+    and the crowded reps. A key of more than ``small`` classes is crowded.
+
+    Classes of such a crowded key do not all meet: each meets its key's first class and the one before. A class in a crowded key, or
+    one that met more than ``small`` others, is crowded: it is paired with the first and the nearest that it met. The caller
+    asks again, with more room, for the crowded classes that no link took away.
     """
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(table_masks(radius, blocks))])
-    keyed = classes.select("fp", "rep", F.explode(tables).alias("b")).select("fp", "rep", "b.t", "b.k")
+    blocks, agree = table_plan(n)
+    masks = table_masks(blocks - agree, blocks)
+    tables = F.array(*[F.struct(F.lit(t + len(masks) * h).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("k")) for h, c in enumerate(("fp", "fp2")) for t, m in enumerate(masks)])
+    keyed = classes.select("fp", "fp2", "rep", F.explode(tables).alias("b")).select("fp", "fp2", "rep", "b.t", "b.k")
     key = W.partitionBy("t", "k")
-    own = F.struct("fp", "rep")
+    own = F.struct("fp", "fp2", "rep")
     order = key.orderBy("rep")
     met = (
         keyed.withColumn("n", F.count("*").over(key))
         .where("n > 1")
         .withColumn("first", F.first(own).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("last", F.lag(own).over(order))
-        .withColumn("before", F.when(F.col("n") <= small, F.collect_list(own).over(order.rowsBetween(-small, -1))).otherwise(F.array("first", "last")))
+        .withColumn("before", F.when(F.col("n") <= small, F.collect_list(own).over(order.rowsBetween(-small, -1))))
     )
-    near = F.filter("before", lambda x: x.isNotNull() & (x["rep"] != F.col("rep")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))) <= most))
-    return met.select("rep", F.explode(near).alias("x")).select(F.col("x.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    bits = lambda x: distance(x["fp"], F.col("fp")) + distance(x["fp2"], F.col("fp2"))
+    met_by = lambda xs: F.filter(F.transform(xs, lambda x: F.struct((distance(x["fp"], F.col("fp")) + distance(x["fp2"], F.col("fp2"))).alias("d"), x["rep"].alias("a"))), lambda x: x["a"].isNotNull() & (x["a"] != F.col("rep")) & (x["d"] <= most))
+    listed = F.when(F.col("n") <= small, F.col("before")).otherwise(F.array("first", "last"))
+    # One row for each class: what it met in all its keys, the nearest first. A class has as many keys as there are tables.
+    each = met.withColumn("met", met_by(listed)).groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"), F.bool_or(F.col("n") > small).alias("crowded"))
+    each = cut(each.withColumn("crowded", F.col("crowded") | (F.size("met") > small)))
+    ids = F.transform("met", lambda x: x["a"])
+    few = F.array_distinct(F.concat(F.slice(ids, 1, NEAREST), F.when(F.size(ids) > 0, F.array(F.array_min(ids))).otherwise(F.array().cast("array<bigint>"))))
+    return each.select(F.explode(F.when(F.col("crowded"), few).otherwise(ids)).alias("a"), F.col("rep").alias("b")), each.where("crowded").select("rep")
+
+
+def alike(pairs: DataFrame, ids: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly."""
+    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = ids.join(involved, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+    sets = cut(shingle_sets(texts, words))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6, blocks: int = 9) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 1.25) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near copies.
 
-    Two documents are near copies if their SimHashes over ``words``-word shingles differ in at most 1 - similarity of
-    64 bits and meet in a table of pigeonhole blocks, and if the sets of those shingles then have a Jaccard similarity of
-    ``similarity`` or more; equal fingerprints are copies. Rows without an id stay; of rows that repeat an id one stays.
+    Two documents are near copies if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or
+    more, which is counted exactly for all that meet in a table of pigeonhole blocks over either half of a 128-bit SimHash
+    and differ in at most slack * (1 - similarity) of its bits. Equal fingerprints are copies. Crowded keys are
+    asked again, with four times the room, for what is left of them, until none is crowded. Rows without an id stay; of
+    rows that repeat an id one stays.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    fps = cut(fingerprints(ids, words))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    pairs = cut(candidates(classes.select("fp", "rep"), radius, blocks, int(64 * (1 - similarity) + 1e-9)))
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = ids.join(involved, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-    sets = cut(shingle_sets(texts, words))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    found = connected_components(alike)
-    named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    gone = spread_join(fps, named, "fp", "copies", total).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    fps = cut(fingerprints(ids, words, wide=True))
+    classes = cut(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    active, edges, small = classes.select("fp", "fp2", "rep"), None, 24
+    while True:
+        pairs, crowded = candidates(active, n, int(128 * (1 - similarity) * slack + 1e-9), small)
+        new = alike(pairs, ids, words, similarity)
+        edges = cut(new if edges is None else edges.union(new))
+        found = cut(connected_components(edges))
+        active = cut(active.join(crowded, "rep", "left_semi").join(found.where("vertex != component").select(F.col("vertex").alias("rep")), "rep", "left_anti").select("fp", "fp2", "rep"))
+        if not active.take(1):
+            break
+        small *= 4
+    named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    gone = spread_join(fps, named, ["fp", "fp2"], "copies", total).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     again = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     if not again.count():
