@@ -176,18 +176,18 @@ NEAREST = 8
 
 
 def candidates(classes: DataFrame, n: int, most: int, small: int = 24) -> tuple[DataFrame, DataFrame]:
-    """classes (fp, fp2, rep) -> distinct (a, b) that share enough blocks of either half and differ in at most ``most`` of 128 bits;
-    and the crowded reps. A key of more than ``small`` classes is crowded.
+    """classes (fp, fp2, rep) -> (a, b) that share enough blocks of either half and differ in at most ``most`` of 128 bits, each pair
+    once from its later end; and the crowded reps.
 
-    Classes of such a crowded key do not all meet: each meets its key's first class and the one before. A class in a crowded key, or
-    one that met more than ``small`` others, is crowded: it is paired with the first and the nearest that it met. The caller
-    asks again, with more room, for the crowded classes that no link took away.
+    In a key of at most ``small`` classes all meet. In a larger one each meets the first and the one before. A class that met over
+    NEAREST others in one key, or over ``small`` in all, or in a larger key, is crowded: it is paired with the NEAREST by their bits and
+    the first of those that it met. The caller asks again for the crowded classes that are left.
     """
     blocks, agree = table_plan(n)
     masks = table_masks(blocks - agree, blocks)
-    tables = F.array(*[F.struct(F.lit(t + len(masks) * h).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("k")) for h, c in enumerate(("fp", "fp2")) for t, m in enumerate(masks)])
-    keyed = classes.select("fp", "fp2", "rep", F.explode(tables).alias("b")).select("fp", "fp2", "rep", "b.t", "b.k")
-    key = W.partitionBy("t", "k")
+    keys = F.array(*[F.xxhash64(F.lit(t + len(masks) * h), F.col(c).bitwiseAND(F.lit(m))) for h, c in enumerate(("fp", "fp2")) for t, m in enumerate(masks)])
+    keyed = classes.select("fp", "fp2", "rep", F.explode(keys).alias("k"))
+    key = W.partitionBy("k")
     own = F.struct("fp", "fp2", "rep")
     order = key.orderBy("rep")
     met = (
@@ -195,17 +195,18 @@ def candidates(classes: DataFrame, n: int, most: int, small: int = 24) -> tuple[
         .where("n > 1")
         .withColumn("first", F.first(own).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("last", F.lag(own).over(order))
-        .withColumn("before", F.when(F.col("n") <= small, F.collect_list(own).over(order.rowsBetween(-small, -1))))
+        .withColumn("before", F.when(F.col("n") <= small, F.collect_list(own).over(order.rowsBetween(-small, -1))).otherwise(F.array("first", "last")))
     )
     bits = lambda x: distance(x["fp"], F.col("fp")) + distance(x["fp2"], F.col("fp2"))
-    met_by = lambda xs: F.filter(F.transform(xs, lambda x: F.struct((distance(x["fp"], F.col("fp")) + distance(x["fp2"], F.col("fp2"))).alias("d"), x["rep"].alias("a"))), lambda x: x["a"].isNotNull() & (x["a"] != F.col("rep")) & (x["d"] <= most))
-    listed = F.when(F.col("n") <= small, F.col("before")).otherwise(F.array("first", "last"))
-    # One row for each class: what it met in all its keys, the nearest first. A class has as many keys as there are tables.
-    each = met.withColumn("met", met_by(listed)).groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"), F.bool_or(F.col("n") > small).alias("crowded"))
-    each = cut(each.withColumn("crowded", F.col("crowded") | (F.size("met") > small)))
-    ids = F.transform("met", lambda x: x["a"])
-    few = F.array_distinct(F.concat(F.slice(ids, 1, NEAREST), F.when(F.size(ids) > 0, F.array(F.array_min(ids))).otherwise(F.array().cast("array<bigint>"))))
-    return each.select(F.explode(F.when(F.col("crowded"), few).otherwise(ids)).alias("a"), F.col("rep").alias("b")), each.where("crowded").select("rep")
+    near = F.filter("before", lambda x: x.isNotNull() & (x["rep"] != F.col("rep")) & (bits(x) <= most))
+    sorted_near = F.array_sort(F.transform(near, lambda x: F.struct(bits(x).alias("d"), x["rep"].alias("a"))))
+    short = lambda c: F.when(F.size(c) > NEAREST, F.array_distinct(F.concat(F.slice(c, 1, NEAREST), F.filter(c, lambda x: x["a"] == F.array_min(F.transform(c, lambda y: y["a"])))))).otherwise(F.col(c))
+    rows = met.select("rep", sorted_near.alias("met"), (F.col("n") > small).alias("c")).where((F.size("met") > 0) | F.col("c"))
+    rows = rows.select("rep", short("met").alias("met"), (F.col("c") | (F.size("met") > NEAREST)).alias("c"))
+    each = rows.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"), F.bool_or("c").alias("c"))
+    each = each.withColumn("c", F.col("c") | (F.size("met") > small)).withColumn("met", F.when(F.col("c"), short("met")).otherwise(F.col("met")))
+    each = cut(each.select("rep", "c", F.transform("met", lambda x: x["a"]).alias("with")))
+    return each.select(F.explode("with").alias("a"), F.col("rep").alias("b")), each.where("c").select("rep")
 
 
 def alike(pairs: DataFrame, ids: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -218,29 +219,30 @@ def alike(pairs: DataFrame, ids: DataFrame, words: int, similarity: float) -> Da
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 1.25) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 1.15) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near copies.
 
     Two documents are near copies if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or
     more, which is counted exactly for all that meet in a table of pigeonhole blocks over either half of a 128-bit SimHash
-    and differ in at most slack * (1 - similarity) of its bits. Equal fingerprints are copies. Crowded keys are
-    asked again, with four times the room, for what is left of them, until none is crowded. Rows without an id stay; of
+    and differ in at most slack * (1 - similarity) of its bits. Equal fingerprints are copies. Crowded
+    classes are asked again without those that a link took away, until no further one goes. Rows without an id stay; of
     rows that repeat an id one stays.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     fps = cut(fingerprints(ids, words, wide=True))
     classes = cut(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    active, edges, small = classes.select("fp", "fp2", "rep"), None, 24
+    active, edges, before = classes.select("fp", "fp2", "rep"), None, None
     while True:
-        pairs, crowded = candidates(active, n, int(128 * (1 - similarity) * slack + 1e-9), small)
+        pairs, crowded = candidates(active, n, int(128 * (1 - similarity) * slack + 1e-9))
         new = alike(pairs, ids, words, similarity)
         edges = cut(new if edges is None else edges.union(new))
         found = cut(connected_components(edges))
         active = cut(active.join(crowded, "rep", "left_semi").join(found.where("vertex != component").select(F.col("vertex").alias("rep")), "rep", "left_anti").select("fp", "fp2", "rep"))
-        if not active.take(1):
+        still = active.count()
+        if not still or still == before:
             break
-        small *= 4
+        before = still
     named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
     gone = spread_join(fps, named, ["fp", "fp2"], "copies", total).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     again = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
