@@ -209,11 +209,8 @@ def candidates(classes: DataFrame, n: int, most: int, small: int = 24) -> tuple[
     return each.select(F.explode("with").alias("a"), F.col("rep").alias("b")), each.where("c").select("rep")
 
 
-def alike(pairs: DataFrame, ids: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly."""
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = ids.join(involved, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-    sets = cut(shingle_sets(texts, words))
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (id, shingles) have a Jaccard similarity of at least ``similarity``, counted exactly."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -232,10 +229,14 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: fl
     fps = cut(fingerprints(ids, words, wide=True))
     classes = cut(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    active, edges, before = classes.select("fp", "fp2", "rep"), None, None
+    active, edges, sets, before = classes.select("fp", "fp2", "rep"), None, None, None
     while True:
         pairs, crowded = candidates(active, n, int(128 * (1 - similarity) * slack + 1e-9))
-        new = alike(pairs, ids, words, similarity)
+        if sets is None:  # whatever later rounds pair is crowded or paired now, so texts move once
+            involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowded).distinct()
+            texts = ids.join(involved, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+            sets = cut(shingle_sets(texts, words))
+        new = alike(pairs, sets, similarity)
         edges = cut(new if edges is None else edges.union(new))
         found = cut(connected_components(edges))
         active = cut(active.join(crowded, "rep", "left_semi").join(found.where("vertex != component").select(F.col("vertex").alias("rep")), "rep", "left_anti").select("fp", "fp2", "rep"))
