@@ -108,3 +108,96 @@ def json_pointer(document: Column, pointer: Column) -> Column:
         return docs.combine(pointers, one)
 
     return resolve(document, pointer)
+
+
+# How the second venue states subject, form, strike, side, meeting and source. NUMBER and SIDES are parts of the others.
+NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+SIDES = {"above": 1, "high": 1, "or more": 1, "or higher": 1, "below": -1, "low": -1, "or lower": -1, "or less": -1, "≥": 1, "≤": -1}
+SIDE = "(above|high|or more|or higher|below|low|or lower|or less)"
+SUBJECT = r"(?i)upper bound of (?:the )?(?:federal reserve[’']s? )?target federal funds (?:range|rate)"
+CHANGE_FORM = r"(?i)\bis (?:decreased|increased|changed)\b|amount of basis points|exactly the same as the level"
+LEVEL_FORM = r"(?i)resolve(?:s)? (?:according to|to) the upper bound"
+DESCRIBED_CHANGE = rf"(?i)\bis (decreased|increased)(?: by)?(?: exactly)? {NUMBER}( or more|\+)? basis points"
+DESCRIBED_NONE = r"(?i)\bis exactly the same as the level"
+ASKED_CHANGE = rf"(?i)\b(decreas\w*|cut\w*|lower\w*|reduc\w*|increas\w*|raise\w*|hike\w*)\b[^.?]{{0,80}}?\bby {NUMBER}(\+)? bps\b"
+ASKED_NONE = r"(?i)\bno change\b"
+TITLED_CHANGE = rf"(?i)^{NUMBER}(\+)? bps (decrease|increase)\??$"
+TITLED_NONE = r"(?i)^no change\??$"
+LEVEL = rf"(?:{SIDE}\s+{NUMBER}\s*%|(≥|≤)\s*{NUMBER}\s*%|{NUMBER}\s*%(?:\s*{SIDE})?)"
+ASKED_LEVEL = rf"(?i)\b(?:be|hit|reach|stay)\s+{LEVEL}"
+TITLED_LEVEL = rf"(?i)^{LEVEL}$"
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = "(" + "|".join(MONTHS) + ")"
+MEETING = rf"(?i)(?:{MONTH}\s+([0-9]{{4}})|([0-9]{{4}})\s+{MONTH})[ ,]{{0,2}}(?:federal open market committee \(fomc\) )?meeting"
+SOURCE = "(?i)resolution source"
+SERVED = r"(?i)fomc[’']?s? statement|official information from the federal reserve"
+
+
+def _matches(text: Column, pattern: str, groups: int) -> Column:
+    """Every match as an array of its groups, groups that took no part as empty strings."""
+    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(f"g{i + 1}") for i in range(groups)])
+
+
+def _changes(text: Column, pattern: str, none: str, direction: int, number: int, extension: int) -> Column:
+    """array of struct(value, strict): signed basis points, strict where the text extends them."""
+
+    def read(m: Column) -> Column:
+        down = m[f"g{direction}"].rlike("(?i)^(decreas|cut|lower|reduc)")
+        points = m[f"g{number}"].cast("double")
+        return F.struct(F.when(down, -points).otherwise(points).alias("value"), (m[f"g{extension}"] != "").alias("strict"))
+
+    still = F.when(text.rlike(none), F.array(F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("strict"))))
+    return F.concat(F.transform(_matches(text, pattern, 3), read), F.coalesce(still, F.array().cast("array<struct<value:double,strict:boolean>>")))
+
+
+def _levels(text: Column, pattern: str) -> Column:
+    """array of struct(value, side): the rate, and 1, -1 or 0 for the side that is stated."""
+
+    def read(m: Column) -> Column:
+        word = F.lower(F.concat(m["g1"], m["g3"], m["g6"]))
+        side = F.coalesce(*[F.when(word == w, F.lit(s)) for w, s in SIDES.items()], F.lit(0))
+        return F.struct(F.concat(m["g2"], m["g4"], m["g5"]).cast("double").alias("value"), side.alias("side"))
+
+    return F.transform(_matches(text, pattern, 6), read)
+
+
+def second_venue_predicate(question: Column, description: Column, group_title: Column, calendar: Column) -> Column:
+    """struct(subject, threshold, inequality, orientation, period, horizon, refusal) of a market's three texts; nulls count as empty.
+
+    The description must name the rate and a form, change or level. Every strike that the texts state (a level only in question and
+    title) must agree, a level's side must be stated somewhere and agree where it is, month and year must be one, the calendar
+    (map from yyyy-MM to a date) must hold that month, and a sentence on the resolution source must name an official statement. A change
+    has an inequality only where the text extends it. The first failure is the refusal and leaves everything else null.
+    """
+    q, d, t = (F.coalesce(x, F.lit("")) for x in (question, description, group_title))
+    said = F.concat(_changes(d, DESCRIBED_CHANGE, DESCRIBED_NONE, 1, 2, 3), _changes(q, ASKED_CHANGE, ASKED_NONE, 1, 2, 3), _changes(t, TITLED_CHANGE, TITLED_NONE, 3, 1, 2))
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m.lower(), f"{i + 1:02d}")])
+    periods = F.transform(F.concat(_matches(q, MEETING, 4), _matches(d, MEETING, 4)), lambda m: F.concat(m["g2"], m["g3"], F.lit("-"), F.try_element_at(months, F.lower(F.concat(m["g1"], m["g4"])))))
+    served = F.exists(F.split(d, r"(?<=[.!?])\s+"), lambda s: s.rlike(SOURCE) & s.rlike(SERVED))
+    read = F.struct(
+        d.rlike(SUBJECT).alias("subject"), d.rlike(CHANGE_FORM).alias("change"), d.rlike(LEVEL_FORM).alias("level"), F.array_distinct(said).alias("said"), F.concat(_levels(q, ASKED_LEVEL), _levels(t, TITLED_LEVEL)).alias("levels"),
+        F.array_distinct(periods).alias("periods"), served.alias("served"),
+    )
+    # What was read is bound to a lambda's variable, so that it is evaluated once and not for each mention.
+    return F.transform(F.array(read), lambda r: _judged(r, calendar))[0]
+
+
+def _judged(r: Column, calendar: Column) -> Column:
+    change, one = r["change"], F.try_element_at(r["said"], F.lit(1))
+    rates = F.array_distinct(F.transform(r["levels"], lambda x: x["value"]))
+    sides = F.array_distinct(F.filter(F.transform(r["levels"], lambda x: x["side"]), lambda s: s != 0))
+    period = F.try_element_at(r["periods"], F.lit(1))
+    horizon = F.try_element_at(calendar, period)
+    stated = F.when(change, F.size(r["said"])).otherwise(F.size(rates))
+    refusal = (
+        F.when(~r["subject"] | ~(change | r["level"]), "settlement_subject_unreadable").when(stated == 0, "threshold_unreadable").when(stated > 1, "threshold_statements_disagree")
+        .when(~change & (F.size(sides) == 0), "yes_side_unreadable").when(~change & (F.size(sides) > 1), "yes_side_statements_disagree").when(F.size(r["periods"]) == 0, "reference_period_unreadable")
+        .when(F.size(r["periods"]) > 1, "reference_period_statements_disagree").when(horizon.isNull(), "month_not_in_calendar").when(~r["served"], "resolution_basis_unreadable")
+    )
+    holds = refusal.isNull()
+    value = F.when(change, one["value"]).otherwise(F.try_element_at(rates, F.lit(1)))
+    inequality = F.when(change & one["strict"], F.when(one["value"] > 0, "above").otherwise("below"))
+    return F.struct(
+        F.when(holds, F.when(change, "change").otherwise("target_level")).alias("subject"), F.when(holds, value).alias("threshold"), F.when(holds, inequality).alias("inequality"),
+        F.when(holds, F.when(change, 1).otherwise(F.try_element_at(sides, F.lit(1)))).alias("orientation"), F.when(holds, period).alias("period"), F.when(holds, horizon).alias("horizon"), refusal.alias("refusal"),
+    )

@@ -166,3 +166,55 @@ def coherence(quotes: DataFrame, by: list[str]) -> DataFrame:
 
     kinds = ", ".join(f"{b} {quotes.schema[b].dataType.simpleString()}" for b in by)
     return quotes.groupBy(*by).applyInPandas(one, f"{kinds}, distance double")
+
+
+def release_weights(df: DataFrame, release: str) -> DataFrame:
+    """Adds weight: one divided by the rows of the row's release, so that every release weighs one however many rows it has."""
+    rows = df.groupBy(release).agg((1.0 / F.count("*")).alias("weight"))
+    return df.join(rows, release)
+
+
+def fit_weighted_ladder(train: DataFrame, validation: DataFrame, rungs: dict[str, tuple[list[str], list[str]]], target: str, release: str, alphas: tuple[float, ...] = PENALTIES) -> dict[str, Ridge]:
+    """Each rung's release-weighted ridge. rungs: name -> (level terms, covariates); without level terms the rung has an intercept.
+
+    Covariates are centred and scaled by weighted moments of the training rows and penalised; level terms (indicators, say) keep mean
+    zero, scale one and no penalty. Alpha has the least release-weighted absolute error on validation, the smaller of equals. All rungs see
+    the rows complete for every rung, and share one pass over them: a rung's matrix is part of the whole ladder's. One more pass scores
+    every rung at every alpha.
+    """
+    every = sorted({f for level, covariates in rungs.values() for f in (*level, *covariates)})
+    complete = F.col(release).isNotNull()
+    for c in [*every, target]:
+        complete = complete & F.col(c).isNotNull()
+    train, validation = release_weights(train.where(complete), release), release_weights(validation.where(complete), release)
+    g = gram(train, every, target, F.col("weight"))[()][0]
+    if not np.isfinite(g).all():
+        raise ValueError("no complete training rows")
+    total, place = g[0, 0], {f: i + 1 for i, f in enumerate(every)}
+    fits = {name: [_weighted(g, total, place, *rung, alpha) for alpha in sorted(alphas)] for name, rung in rungs.items()}
+    error, w = lambda m: F.abs(m.column() - F.col(target)), F.col("weight")
+    scored = validation.agg(*[(F.sum(w * error(m)) / F.sum(w)).alias(f"{name}|{i}") for name, ms in fits.items() for i, m in enumerate(ms)]).first()
+    loss = {name: [math.inf if scored[f"{name}|{i}"] is None else scored[f"{name}|{i}"] for i in range(len(ms))] for name, ms in fits.items()}
+    return {name: ms[int(np.argmin(loss[name]))] for name, ms in fits.items()}
+
+
+def _weighted(g: np.ndarray, total: float, place: dict[str, int], level: list[str], covariates: list[str], alpha: float) -> Ridge:
+    """One fit from the moments of [1, features, target]: each design column is a combination of them."""
+    columns, mean, scale = [], [], []
+    for f in [*level, *covariates]:
+        e, m, s = np.zeros(len(g)), 0.0, 1.0
+        if f in covariates:
+            m = g[0, place[f]] / total
+            sd = math.sqrt(max(g[place[f], place[f]] / total - m * m, 0.0))
+            s = sd if sd > 1e-12 else 1.0
+        e[place[f]], e[0] = 1 / s, -m / s
+        columns.append(e)
+        mean.append(m)
+        scale.append(s)
+    if not level:
+        columns.append(np.eye(len(g))[0])
+    a = np.stack(columns, axis=1)
+    free = [0.0] * len(level) + [alpha] * len(covariates) + [0.0] * (not level)
+    w = np.linalg.lstsq(a.T @ g @ a + np.diag(free), a.T @ g[:, -1], rcond=None)[0]
+    names = (*level, *covariates)
+    return Ridge(names, tuple(mean), tuple(scale), tuple(w[: len(names)]), 0.0 if level else float(w[-1]), alpha)

@@ -168,3 +168,13 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     p = successes / n
     mid, half, scale = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return (mid - half) / scale, (mid + half) / scale
+
+
+def bootstrap_slope(units: DataFrame, draws: DataFrame, cluster: str, by: list[str] = ()) -> DataFrame:
+    """(by, replicate, estimate): the slope of y on the shock, standardised within each replicate. Sums by cluster are joined, not units."""
+    x, y, t = F.col("x"), F.col("y"), F.col("times")
+    parts = {"n": F.lit(1.0), "sx": x, "sxx": x * x, "sy": y, "sxy": x * y}
+    sums = units.groupBy(*by, F.col(cluster).alias("cluster")).agg(*[F.sum(e).alias(n) for n, e in parts.items()])
+    s = sums.join(draws, "cluster").groupBy(*by, "replicate").agg(*[F.sum(F.col(n) * t).alias(n) for n in parts])
+    sd = F.sqrt(F.greatest(F.col("sxx") / F.col("n") - F.pow(F.col("sx") / F.col("n"), 2), F.lit(0.0)))
+    return s.select(*by, "replicate", F.when(sd > 1e-12, (F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / F.col("n") / F.col("n")) / sd).alias("estimate"))

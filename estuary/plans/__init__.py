@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from . import markets, panels, sources, statistics  # noqa: F401
+from . import evidence, markets, panels, sources, statistics  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
