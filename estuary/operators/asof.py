@@ -20,18 +20,27 @@ def window_join(records: DataFrame, events: DataFrame, time: str, at: str, befor
     return left.join(spread, [*keys, "_bucket"]).where((F.col(time) >= F.col(at) - before) & (F.col(time) <= F.col(at) + after)).drop("_bucket")
 
 
-def asof_last(probes: DataFrame, records: DataFrame, keys: list[str], at: str, time: str, tie: str, carry: list[str], strict: bool = False) -> DataFrame:
+def asof_last(probes: DataFrame, records: DataFrame, keys: list[str], at: str, time: str, tie: str, carry: list[str], strict: bool = False, bucket: int = 86_400_000_000) -> DataFrame:
     """Each probe with the latest record of its keys at or before (strictly before) its time; ties to the largest tie.
 
-    One sort by (keys, time): probes and records are merged and the last record is carried forward. Records
-    without a time never match; probes without a match keep nulls.
+    Probes and records of a (keys, time bucket) are merged in one sort and the last record is carried forward; what reaches a bucket from
+    earlier ones is carried over a summary with one row a bucket. So a key that holds a third of all rows is sorted in as many tasks as it
+    has buckets. Records without a time never match; probes without a match, or without a time, keep nulls.
     """
     held = F.struct(F.col(time).alias("time"), F.col(tie).alias("tie"), *[F.col(c).alias(c) for c in carry])
-    a = records.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.col(tie).alias("_tie"), held.alias("_held"), F.lit(None).cast("struct<x:int>").alias("_none"))
-    b = probes.select(*keys, F.col(at).alias("_at"), F.lit(0 if strict else 2).alias("_kind"), F.lit(None).cast(records.schema[tie].dataType).alias("_tie"), F.struct(*[F.col(c) for c in probes.columns]).alias("_probe"))
-    both = a.drop("_none").unionByName(b, allowMissingColumns=True)
-    order = W.partitionBy(*keys).orderBy("_at", "_kind", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = both.withColumn("_last", F.last("_held", ignorenulls=True).over(order)).where(F.col("_probe").isNotNull())
+    slot = F.floor(F.col("_at") / bucket).cast("long").alias("_slot")
+    a = records.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_kind"), F.col(tie).alias("_tie"), held.alias("_held")).select("*", slot)
+    b = probes.select(*keys, F.col(at).alias("_at"), F.lit(0 if strict else 2).alias("_kind"), F.lit(None).cast(records.schema[tie].dataType).alias("_tie"), F.struct(*[F.col(c) for c in probes.columns]).alias("_probe")).select("*", slot)
+    both = a.unionByName(b, allowMissingColumns=True)
+    order = W.partitionBy(*keys, "_slot").orderBy("_at", "_kind", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = both.withColumn("_near", F.last("_held", ignorenulls=True).over(order)).where(F.col("_probe").isNotNull()).select(*keys, "_slot", "_probe", "_near")
+    ends = both.groupBy(*keys, "_slot").agg(F.max_by("_held", F.when(F.col("_held").isNotNull(), F.struct("_at", "_tie"))).alias("_end"))
+    before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    far = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slot").alias("_s"), F.when(F.col("_slot").isNotNull(), F.last("_end", ignorenulls=True).over(before)).alias("_far"))
+    same = F.col("_slot").eqNullSafe(F.col("_s"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    last = near.join(far, same, "left").select("_probe", F.coalesce("_near", "_far").alias("_last"))
     return last.select("_probe.*", F.col("_last.time").alias("matched_time"), F.col("_last.tie").alias("matched_id"), *[F.col(f"_last.{c}").alias(f"matched_{c}") for c in carry])
 
 
