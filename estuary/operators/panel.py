@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import masking
 from ..functions.masking import masked
+from . import asof
 from .asof import last_group, tie_groups, window_join
 
 
@@ -110,3 +112,44 @@ def forecast_rows(trades: DataFrame, events: DataFrame, receivers: DataFrame, do
     rows = rows.join(first, ["event_id", "donor"], "left").join(seen, ["event_id", "donor"], "left")
     rows = rows.withColumn("own_lag", F.col("anchor") - F.col("prior")).withColumn("target", F.col("target_level") - F.col("anchor")).withColumn("neighbor_lag", F.col("donor_signal") - F.col("donor_baseline"))
     return masked(rows, [(F.col("anchor").isNull(), "no_anchor"), (F.col("target_level").isNull(), "no_target")])
+
+
+def quote_panel(quotes: DataFrame, releases: DataFrame, pairs: DataFrame, contracts: DataFrame, horizons: tuple[int, ...], max_age: int) -> DataFrame:
+    """Declared (release, contract) pairs by horizon with the midpoints of the latest quotes before the release and up to its endpoint.
+
+    quotes: contract, record_id, time (of the fold's own axis), state (valid, or why not), last_verified, bid, ask. releases: event_id, at,
+    contaminated (array of struct(start, end), null: none). pairs: event_id, contract. contracts: contract, opened, closed, rule_from (when
+    its rule was known, null: never published). Rows are masked, never dropped, with reasons in order; a pair without a contract stays.
+    Both quotes must hold: a latest quote that is invalid, unverified, older than max_age or one-sided is never passed over for an older one.
+    """
+    c = F.col
+    carry = ["state", "last_verified", "bid", "ask"]
+    grid = pairs.select("event_id", "contract").distinct().join(releases.select("event_id", "at", "contaminated"), "event_id")
+    base = asof.asof_last(grid, quotes, ["contract"], "at", "time", "record_id", carry, strict=True).withColumnsRenamed({f"matched_{x}": f"b_{x}" for x in ("time", "id", *carry)})
+    closings = asof.window_join(quotes.where(c("state") == "closed").select("contract", "time"), grid.select("event_id", "contract", "at"), "time", "at", 0, max(horizons), ["contract"])
+    base = base.join(closings.groupBy("event_id", "contract").agg(F.min("time").alias("closing")), ["event_id", "contract"], "left")
+    spread = base.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons]))).withColumn("until", c("at") + c("horizon"))
+    both = asof.asof_last(spread, quotes, ["contract"], "until", "time", "record_id", carry).withColumnsRenamed({f"matched_{x}": f"e_{x}" for x in ("time", "id", *carry)})
+    j = both.join(contracts.select("contract", "opened", "closed", "rule_from", F.lit(True).alias("listed")), "contract", "left")
+
+    def unfit(side: str, at: Column) -> list[tuple[Column, str]]:
+        held, ok, seen = c(f"{side}_time").isNotNull(), c(f"{side}_state").eqNullSafe(F.lit("valid")), c(f"{side}_last_verified")
+        name = {"b": "baseline", "e": "endpoint"}[side]
+        fit = held & ok & seen.isNotNull()
+        return [
+            (held & ~ok, f"{name}_quote_invalid"), (held & ok & seen.isNull(), f"{name}_last_verified_unknown"), (fit & (at - seen > max_age), f"{name}_quote_stale"),
+            (fit & (c(f"{side}_bid").isNull() | c(f"{side}_ask").isNull()), f"{name}_side_missing"),
+        ]
+
+    ladder = [
+        (c("listed").isNull(), "ineligible_contract"), (c("listed") & c("rule_from").isNull(), "unknown_rule_semantics"), (c("rule_from") > c("at"), "rule_unavailable"), (~asof.open_during(c("opened"), c("closed"), c("at"), c("until")), "contract_not_open"),
+        (c("b_time").isNull(), "missing_baseline"), (c("e_time").isNull(), "missing_endpoint"), (c("closing") <= c("until"), "closed_in_window"), (asof.overlaps_any(c("contaminated"), c("at"), c("until")), "contaminated"),
+        *unfit("b", c("at")), *unfit("e", c("until")),
+    ]
+    mid = {s: (c(f"{s}_bid") + c(f"{s}_ask")) / 2 for s in "be"}
+    shown = j.withColumns({"baseline": mid["b"], "endpoint": mid["e"], "response": mid["e"] - mid["b"], "spread_before": c("b_ask") - c("b_bid"), "spread_after": c("e_ask") - c("e_bid")})
+    shown = shown.withColumns({"baseline_age": c("at") - c("b_last_verified"), "endpoint_age": c("until") - c("e_last_verified")})
+    out = masking.masked(shown, ladder, ["baseline", "endpoint", "response", "spread_before", "spread_after", "baseline_age", "endpoint_age"])
+    return out.select(
+        "event_id", "contract", "horizon", c("b_id").alias("baseline_id"), c("e_id").alias("endpoint_id"), "baseline", "endpoint", "response", "spread_before", "spread_after", "baseline_age", "endpoint_age", "exclusion_reasons", "exclusion_reason", "valid",
+    )

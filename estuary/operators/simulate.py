@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stats import wilson
+from .stats import one_sided_bounds, wilson
 
 #: own: carry-over of a contract's own move; lead: share of the neighbour's move that follows; noise: deviation.
 SCENARIOS = {
@@ -66,3 +66,21 @@ def detections(spark: SparkSession, scenarios: list[str], repetitions: int, n_ev
     out = tasks.mapInPandas(run, "scenario string, gain double").groupBy("scenario").agg(F.count("*").alias("repetitions"), F.count_if(F.col("gain") >= least_gain).alias("detected"))
     lower, upper = wilson(F.col("detected"), F.col("repetitions"))
     return out.withColumn("rate", F.col("detected") / F.col("repetitions")).withColumn("lower", lower).withColumn("upper", upper)
+
+
+def calibrated(spark: SparkSession, nulls: list[str], recoveries: list[str], repetitions: int, n_events: int, seed: int, least_gain: float = 0.002, ceiling: float = 0.05, target_power: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """The decision rule held to its declared error rates: (scenario, kind, repetitions, detected, bound, meets, verdict).
+
+    The level is divided among the null scenarios, so that all of their upper bounds hold at once. The verdict is pass if all meet, fail if
+    a rate itself is beyond its limit, else inconclusive: the repetitions are too few to tell.
+    """
+    rates = {r["scenario"]: (r["detected"], r["repetitions"]) for r in detections(spark, [*nulls, *recoveries], repetitions, n_events, seed, least_gain).collect()}  # one row a scenario
+    rows, wrong = [], False
+    for kind, names in (("null", nulls), ("recovery", recoveries)):
+        for name in names:
+            hits, n = rates[name]
+            lower, upper = one_sided_bounds(hits, n, 1 - alpha / len(names) if kind == "null" else 1 - alpha)
+            rows.append((name, kind, n, hits, upper if kind == "null" else lower, upper <= ceiling if kind == "null" else lower >= target_power))
+            wrong |= hits / n > ceiling if kind == "null" else hits / n < target_power
+    verdict = "pass" if all(r[-1] for r in rows) else "fail" if wrong else "inconclusive"
+    return spark.createDataFrame([(*r, verdict) for r in rows], "scenario string, kind string, repetitions long, detected long, bound double, meets boolean, verdict string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,3 +179,36 @@ def bootstrap_slope(units: DataFrame, draws: DataFrame, cluster: str, by: list[s
     s = sums.join(draws, "cluster").groupBy(*by, "replicate").agg(*[F.sum(F.col(n) * t).alias(n) for n in parts])
     sd = F.sqrt(F.greatest(F.col("sxx") / F.col("n") - F.pow(F.col("sx") / F.col("n"), 2), F.lit(0.0)))
     return s.select(*by, "replicate", F.when(sd > 1e-12, (F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / F.col("n") / F.col("n")) / sd).alias("estimate"))
+
+
+def paired_gains(df: DataFrame, actual: str, one: str, other: str, release: str) -> DataFrame:
+    """(release, rows, gain): how much smaller the mean absolute error of ``other`` is, on the rows where both forecasts exist."""
+    whole = df.where(F.col(actual).isNotNull() & F.col(one).isNotNull() & F.col(other).isNotNull())
+    gain = F.abs(F.col(one) - F.col(actual)) - F.abs(F.col(other) - F.col(actual))
+    return whole.groupBy(release).agg(F.count("*").alias("rows"), F.avg(gain).alias("gain"))
+
+
+def one_sided_bounds(successes: int, n: int, confidence: float = 0.95) -> tuple[float, float]:
+    """Exact binomial lower and upper bounds, each at the given confidence: the rates at which a tail has the rest of the probability."""
+
+    def tail(p: float, least: int) -> float:
+        if p in (0.0, 1.0):
+            return float(p == 1.0 or least <= 0)
+        logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(max(least, 0), n + 1)]
+        return sum(map(math.exp, logs))
+
+    def root(least: int, wanted: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if tail(mid, least) < wanted else (low, mid)
+        return (low + high) / 2
+
+    return 0.0 if successes == 0 else root(successes, 1 - confidence), 1.0 if successes == n else root(successes + 1, confidence)
+
+
+def promoted(gain: float | None, null_upper: float | None, least_gain: float, ceiling: float) -> str:
+    """A richer model is promoted only with a sufficient gain and a null audit whose bound stays under the ceiling."""
+    if gain is None or null_upper is None:
+        return "inconclusive"
+    return "promoted" if gain >= least_gain and null_upper <= ceiling else "not_promoted"

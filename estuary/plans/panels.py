@@ -183,3 +183,30 @@ def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     donors = c.select("contract").distinct().select("contract", (F.col("contract") - 3).alias("donor"))
     rows = panel.forecast_rows(prints(spark, sf_dir), releases(spark).select("event_id", F.col("at").alias("release")), c, donors, HOUR, 600 * SECOND, 6 * HOUR, 24 * HOUR, 24 * HOUR)
     return rows.select("event_id", "contract", *[F.round(x, 6).alias(x) for x in ("anchor", "own_lag", "target", "neighbor_lag")], "exclusion_reason")
+
+
+@query(f"""WITH {PRINTS}, q AS (SELECT contract, trade_id, time, CASE WHEN trade_id % 41 = 0 THEN 'closed' WHEN trade_id % 13 = 0 THEN 'crossed' ELSE 'valid' END AS state, CASE WHEN trade_id % 17 <> 0 THEN time - trade_id % 5 * 3600000000 END AS seen, CASE WHEN trade_id % 19 <> 0 THEN price - 0.01 END AS bid, price + 0.01 AS ask FROM prints),
+k AS (SELECT DISTINCT contract, CASE WHEN contract % 31 <> 30 THEN {FIRST - 86400 * SECOND} END AS opened, CASE WHEN contract % 5 = 0 THEN {FIRST + 20 * 86400 * SECOND} END AS closed, CASE WHEN contract % 11 <> 0 THEN {FIRST - 30 * 86400 * SECOND} + contract % 7 * {6 * 86400 * SECOND} END AS rule_from FROM prints WHERE contract % 23 <> 0),
+g AS (SELECT d.event_id, d.contract, d."at", h, d."at" + h AS til, d.event_id % 8 = 0 AS dirty FROM declared d, (SELECT unnest([3600000000, 43200000000]) AS h) x),
+b AS (SELECT g.*, q.trade_id AS bi, q.time AS bt, q.state AS bs, q.seen AS bv, q.bid AS bb, q.ask AS ba FROM g ASOF LEFT JOIN q ON q.contract = g.contract AND q.time < g."at"),
+e AS (SELECT b.*, q.trade_id AS ei, q.time AS et, q.state AS es, q.seen AS ev, q.bid AS eb, q.ask AS ea FROM b ASOF LEFT JOIN q ON q.contract = b.contract AND q.time <= b.til),
+z AS (SELECT g.event_id, g.contract, g.h, count(*) > 0 AS shut FROM g JOIN q ON q.contract = g.contract AND q.state = 'closed' AND q.time BETWEEN g."at" AND g.til GROUP BY ALL),
+r AS (SELECT e.*, CASE WHEN k.contract IS NULL THEN 'ineligible_contract' WHEN rule_from IS NULL THEN 'unknown_rule_semantics' WHEN rule_from > e."at" THEN 'rule_unavailable' WHEN opened IS NULL OR opened > e."at" OR closed <= til THEN 'contract_not_open' WHEN bt IS NULL THEN 'missing_baseline' WHEN et IS NULL THEN 'missing_endpoint'
+  WHEN z.shut THEN 'closed_in_window' WHEN dirty AND e.h >= 7200000000 THEN 'contaminated' WHEN bs <> 'valid' THEN 'baseline_quote_invalid' WHEN bv IS NULL THEN 'baseline_last_verified_unknown' WHEN e."at" - bv > 86400000000 THEN 'baseline_quote_stale' WHEN bb IS NULL THEN 'baseline_side_missing'
+  WHEN es <> 'valid' THEN 'endpoint_quote_invalid' WHEN ev IS NULL THEN 'endpoint_last_verified_unknown' WHEN til - ev > 86400000000 THEN 'endpoint_quote_stale' WHEN eb IS NULL THEN 'endpoint_side_missing' END AS reason
+  FROM e LEFT JOIN k ON k.contract = e.contract LEFT JOIN z ON z.event_id = e.event_id AND z.contract = e.contract AND z.h = e.h)
+SELECT event_id, contract, h AS horizon, bi AS baseline_id, ei AS endpoint_id, reason AS exclusion_reason, round(CASE WHEN reason IS NULL THEN (eb + ea) / 2 - (bb + ba) / 2 END, 6) AS response, CASE WHEN reason IS NULL THEN "at" - bv END AS baseline_age FROM r""")
+def quote_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prints as quotes of two sides, with planted closings, crossings, unknown verifications, missing sides and contracts."""
+    t, i, k, day = prints(spark, sf_dir), F.col("trade_id"), F.col("contract"), 24 * HOUR
+    quotes = t.select(
+        "contract", i.alias("record_id"), "time", F.when(i % 41 == 0, "closed").when(i % 13 == 0, "crossed").otherwise("valid").alias("state"), F.when(i % 17 != 0, F.col("time") - i % 5 * HOUR).alias("last_verified"),
+        F.when(i % 19 != 0, F.col("price") - 0.01).alias("bid"), (F.col("price") + 0.01).alias("ask"),
+    )
+    contracts = t.where(k % 23 != 0).select("contract").distinct().select(
+        "contract", F.when(k % 31 != 30, F.lit(FIRST - day)).alias("opened"), F.when(k % 5 == 0, F.lit(FIRST + 20 * day)).alias("closed"), F.when(k % 11 != 0, F.lit(FIRST - 30 * day) + k % 7 * F.lit(6 * day)).alias("rule_from")
+    )
+    at = F.col("at")
+    declared = releases(spark).select("event_id", "at", F.when(F.col("event_id") % 8 == 0, F.array(F.struct((at + 2 * HOUR).alias("start"), (at + 3 * HOUR).alias("end")))).alias("contaminated"))
+    found = panel.quote_panel(quotes, declared, candidates(spark, sf_dir), contracts, (HOUR, 12 * HOUR), day)
+    return found.select("event_id", "contract", "horizon", "baseline_id", "endpoint_id", "exclusion_reason", F.round("response", 6).alias("response"), "baseline_age")

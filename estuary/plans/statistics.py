@@ -220,3 +220,14 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simulated_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.detections(spark, ["null", "communication"], 40, 120, 11)
+
+
+@query("""SELECT l_orderkey AS release, count(*) AS rows, round(avg(abs(l_tax - l_discount) - abs(0.05 - l_discount)), 8) AS gain FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1""")
+def paired_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("release"), "l_discount", F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("one"), F.lit(0.05).alias("other"))
+    return stats.paired_gains(li, "l_discount", "one", "other", "release").withColumn("gain", F.round("gain", 8))
+
+
+@query()
+def calibrated_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simulate.calibrated(spark, ["null", "own_momentum"], ["communication"], 120, 120, 5)

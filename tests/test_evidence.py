@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estuary.functions import text
-from estuary.operators import evidence, models, placebo, stats
+from estuary.operators import asof, evidence, models, panel, placebo, simulate, stats
 from estuary.sources import registry
 
 
@@ -129,3 +129,35 @@ def test_empty_tables(spark):
     contracts = spark.createDataFrame([("a", None, 5), ("b", 9, 9)], "contract_id string, opened long, closed long")
     got = evidence.release_readiness(spark.createDataFrame([(1, 9)], "event_id int, at long"), contracts, captures, 1, 1, 100).first()
     assert (got["state"], got["candidates"]) == ("no_candidates", 0)
+
+
+def test_bounds_and_promotion(spark):
+    assert stats.one_sided_bounds(0, 59) == pytest.approx((0.0, 1 - 0.05 ** (1 / 59))) and stats.one_sided_bounds(59, 59)[0] == pytest.approx(0.05 ** (1 / 59))
+    assert stats.one_sided_bounds(5, 40) == pytest.approx((0.0506, 0.2458), abs=2e-3)
+    assert [stats.promoted(*x, 0.01, 0.1) for x in ((0.02, 0.05), (0.02, 0.2), (0.005, 0.05), (None, 0.05))] == ["promoted", "not_promoted", "not_promoted", "inconclusive"]
+    got = {r["scenario"]: r for r in simulate.calibrated(spark, ["null"], ["communication"], 30, 150, 1, ceiling=0.2).collect()}
+    assert got["null"]["detected"] <= got["communication"]["detected"] and got["null"]["verdict"] in ("pass", "fail", "inconclusive")
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("bucket", [3, 10, 1000])
+def test_asof_buckets_by_brute_force(spark, strict, bucket):
+    rng = np.random.default_rng(bucket)
+    records = [(["a", "b", None][i % 3], i, int(t) if t % 7 else None) for i, t in enumerate(rng.integers(-40, 40, 60))]
+    probes = [(["a", "b", None, "none"][i % 4], i, int(t) if t % 9 else None) for i, t in enumerate(rng.integers(-45, 45, 60))]
+    got = asof.asof_last(spark.createDataFrame(probes, "k string, p int, at long"), spark.createDataFrame(records, "k string, id int, time long"), ["k"], "at", "time", "id", [], strict, bucket).collect()
+    want = {}
+    for k, p, at in probes:
+        fits = [(t, i) for key, i, t in records if key == k and t is not None and at is not None and (t < at or t == at and not strict)]
+        want[p] = max(fits, default=(None, None))
+    assert {r["p"]: (r["matched_time"], r["matched_id"]) for r in got} == want
+
+
+def test_quote_panel_keeps_masked_rows(spark):
+    quotes = spark.createDataFrame([("a", 1, 5, "valid", 5, 0.4, 0.6), ("a", 2, 12, "valid", 12, 0.6, 0.8), ("a", 3, 15, "halted", 15, 0.6, 0.8)], "contract string, record_id int, time long, state string, last_verified long, bid double, ask double")
+    releases = spark.createDataFrame([(1, 10, None), (2, 3, None)], "event_id int, at long, contaminated array<struct<start:long,end:long>>")
+    pairs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "x"), (2, "a")], "event_id int, contract string")
+    contracts = spark.createDataFrame([("a", 0, None, 0)], "contract string, opened long, closed long, rule_from long")
+    got = {(r["event_id"], r["contract"], r["horizon"]): r for r in panel.quote_panel(quotes, releases, pairs, contracts, (3, 6), 100).collect()}
+    assert len(got) == 6 and got[1, "a", 3]["response"] == pytest.approx(0.2) and got[1, "a", 3]["baseline_age"] == 5
+    assert got[1, "a", 6]["exclusion_reason"] == "endpoint_quote_invalid" and got[1, "x", 3]["exclusion_reason"] == "ineligible_contract" and got[2, "a", 3]["exclusion_reason"] == "missing_baseline"
