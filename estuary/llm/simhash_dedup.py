@@ -13,6 +13,7 @@ exactly what pairs would. This is exact for radius 2 and linear in the classes o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, hash_sample, table
 from .graph import connected_components
 
 CHUNK = 1 << 15
@@ -148,65 +149,105 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles_of(text: bytes, words: int) -> np.ndarray:
+    """The distinct word shingles of a text as sorted hashes; a text of fewer words is one shingle."""
+    w = text.lower().split()
+    n = max(1, len(w) - words + 1)
+    hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[i : i + n] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)])
+    return np.unique(np.fromiter(hashes, np.uint64)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the distinct word shingles of each row of (id, text) as sorted hashes; a text of fewer words is one shingle."""
+    """(id, shingles) of each row of (id, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                out = []
-                for text in part.column("text"):
-                    w = (text.as_py() or b"").lower().split()
-                    n = max(1, len(w) - words + 1)
-                    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[i : i + n] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]), np.uint64)
-                    out.append(np.unique(hashes).view(np.int64))
+                out = [shingles_of(text.as_py() or b"", words) for text in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     return docs.select("id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, shingles array<bigint>")
 
 
-def table_plan(n: int) -> tuple[int, int]:
-    """(blocks, agreeing ones) for n classes: the fewest bits of a key that leave about 16 unrelated classes to it at most."""
-    bits = max(1, n).bit_length()
-    return next(((b, k) for b, k in ((8, 2), (9, 3), (10, 4), (10, 5)) if 64 * k / b >= bits - 4), (10, 5))
+SAMPLE, COMMON = 4000, 100_000
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; how often) of up to COMMON shingles that three or more of SAMPLE texts hold. They only order the shingles of a
+    set: any order finds the same pairs, and one that puts common shingles last finds them in small keys."""
+    sample = hash_sample(docs.select(F.xxhash64("doc_id", "text").alias("id"), "text"), F.col("id"), SAMPLE)
+    counted = shingle_sets(sample, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("n"), "s").limit(COMMON).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, so many that no set of that similarity can miss them all: rare ones by hash, then common ones, the rarest first."""
+    size = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    known, times = common
+    if not len(known):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    often = np.where(known[at] == shingles, times[at], 0)
+    return shingles[np.lexsort((shingles, often))[:size]]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, n, prefix) of each row of (id, text): how many shingles it has and the first of them."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                sets = [shingles_of(text.as_py() or b"", words) for text in part.column("text")]
+                out = [prefix_of(s, similarity, common) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
+
+    return docs.select("id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, n int, prefix array<bigint>")
+
+
+BLOCK, FIRST = 512, 2
 
 
-NEAREST = 8
+def labelled(shared: DataFrame, component: DataFrame | None) -> DataFrame:
+    """shared (k, id, n) with c, the component of each id."""
+    if component is None:
+        return shared.withColumn("c", F.col("id"))
+    return shared.join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def candidates(classes: DataFrame, n: int, most: int, small: int = 24) -> tuple[DataFrame, DataFrame]:
-    """classes (fp, fp2, rep) -> (a, b) that share enough blocks of either half and differ in at most ``most`` of 128 bits, each pair
-    once from its later end; and the crowded reps.
+def first_pairs(named: DataFrame, similarity: float) -> DataFrame:
+    """named (k, id, n, c) -> (a, b): the smallest set of each component in a key meets the first and the one before it, and each id is
+    paired with those that it meets most often. Only a first step: what it links need not be compared again."""
+    one = named.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("own"))
+    order = W.partitionBy("k").orderBy("own")
+    met = one.withColumn("first", F.first("own").over(order)).withColumn("last", F.lag("own").over(order))
+    out = []
+    for other in (F.col("first"), F.col("last")):
+        sized = other["n"] >= F.col("own.n") * similarity - 1e-9
+        pairs = met.where(other.isNotNull() & (other["id"] != F.col("own.id")) & sized).groupBy(F.col("own.id").alias("b"), other["id"].alias("a")).agg(F.count("*").alias("times"))
+        out.append(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+    return out[0].union(out[1]).distinct()
 
-    In a key of at most ``small`` classes all meet. In a larger one each meets the first and the one before. A class that met over
-    NEAREST others in one key, or over ``small`` in all, or in a larger key, is crowded: it is paired with the NEAREST by their bits and
-    the first of those that it met. The caller asks again for the crowded classes that are left.
+
+def open_pairs(named: DataFrame, similarity: float) -> DataFrame:
+    """named (k, id, n, c) -> (a, b, share, ca, cb): all pairs of different components that share so many first shingles that they can be similar.
+
+    A key of many ids is dealt into blocks, and block meets block, so that no task holds a whole key. Sets of n and m shingles with
+    prefixes of p and q share no more than the shingles common to both prefixes and the longer of the rests n - p and m - q.
     """
-    blocks, agree = table_plan(n)
-    masks = table_masks(blocks - agree, blocks)
-    keys = F.array(*[F.xxhash64(F.lit(t + len(masks) * h), F.col(c).bitwiseAND(F.lit(m))) for h, c in enumerate(("fp", "fp2")) for t, m in enumerate(masks)])
-    keyed = classes.select("fp", "fp2", "rep", F.explode(keys).alias("k"))
-    key = W.partitionBy("k")
-    own = F.struct("fp", "fp2", "rep")
-    order = key.orderBy("rep")
-    met = (
-        keyed.withColumn("n", F.count("*").over(key))
-        .where("n > 1")
-        .withColumn("first", F.first(own).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .withColumn("last", F.lag(own).over(order))
-        .withColumn("before", F.when(F.col("n") <= small, F.collect_list(own).over(order.rowsBetween(-small, -1))).otherwise(F.array("first", "last")))
-    )
-    bits = lambda x: distance(x["fp"], F.col("fp")) + distance(x["fp2"], F.col("fp2"))
-    near = F.filter("before", lambda x: x.isNotNull() & (x["rep"] != F.col("rep")) & (bits(x) <= most))
-    sorted_near = F.array_sort(F.transform(near, lambda x: F.struct(bits(x).alias("d"), x["rep"].alias("a"))))
-    short = lambda c: F.when(F.size(c) > NEAREST, F.array_distinct(F.concat(F.slice(c, 1, NEAREST), F.filter(c, lambda x: x["a"] == F.array_min(F.transform(c, lambda y: y["a"])))))).otherwise(F.col(c))
-    rows = met.select("rep", sorted_near.alias("met"), (F.col("n") > small).alias("c")).where((F.size("met") > 0) | F.col("c"))
-    rows = rows.select("rep", short("met").alias("met"), (F.col("c") | (F.size("met") > NEAREST)).alias("c"))
-    each = rows.groupBy("rep").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"), F.bool_or("c").alias("c"))
-    each = each.withColumn("c", F.col("c") | (F.size("met") > small)).withColumn("met", F.when(F.col("c"), short("met")).otherwise(F.col("met")))
-    each = cut(each.select("rep", "c", F.transform("met", lambda x: x["a"]).alias("with")))
-    return each.select(F.explode("with").alias("a"), F.col("rep").alias("b")), each.where("c").select("rep")
+    keys = named.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = cut(named.join(keys, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    left = rows.select("k", "id", "n", "c", "own", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other")).alias("x")
+    right = rows.select("k", "id", "n", "c", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "own")).alias("own")).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    once = (F.col("x.own") < F.col("x.other")) | (F.col("x.id") < F.col("y.id"))
+    sized = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    pairs = left.join(right, ["k", "own", "other"]).where(once & (F.col("x.c") != F.col("y.c")) & sized)
+    met = pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("times"), F.first(n).alias("n"), F.first(m).alias("m"), F.min(F.least("x.c", "y.c")).alias("ca"), F.min(F.greatest("x.c", "y.c")).alias("cb"))
+    rest = lambda x: F.ceil(similarity * x - 1e-9) - 1
+    return met.where(F.col("times") + F.greatest(rest(F.col("n")), rest(F.col("m"))) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b", (F.col("times") / (F.col("n") + F.col("m"))).alias("share"), "ca", "cb")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -216,34 +257,49 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, slack: float = 1.15) -> DataFrame:
+def near_copies(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """texts (id, text; id unique) -> (vertex, component): the components of all pairs whose similarity is reached, none left out.
+
+    Two such sets share a shingle among the first of either (a prefix filter), so ids are keyed by these. What the first step links is
+    one component; after that only pairs of different components can add a link. Of all of them that share a key, the best of each two
+    components is compared first, and then every pair that is still apart.
+    """
+    common = common_shingles(texts.select(F.col("id").alias("doc_id"), "text"), words)
+    found = cut(prefixes(texts, words, similarity, common))
+    keyed = found.select("id", "n", F.explode("prefix").alias("k"))
+    shared = cut(keyed.withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1").drop("m"))
+    involved = shared.select("id").distinct()
+    sets = cut(shingle_sets(texts.join(involved, "id", "left_semi"), words))
+    edges = linked = None
+    for _ in range(FIRST):
+        new = cut(alike(first_pairs(labelled(shared, linked), similarity), sets, similarity))
+        edges = new if edges is None else edges.union(new)
+        linked = cut(connected_components(edges))
+        if not new.count():
+            break
+    left = cut(open_pairs(labelled(shared, linked), similarity))
+    best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
+    edges = cut(edges.union(alike(best, sets, similarity)))
+    linked = cut(connected_components(edges))
+    for end in ("a", "b"):
+        left = left.join(linked.select(F.col("vertex").alias(end), F.col("component").alias(f"now_{end}")), end, "left")
+    apart = left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    return cut(connected_components(edges.union(alike(apart, sets, similarity))))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near copies.
 
     Two documents are near copies if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, which is counted exactly for all that meet in a table of pigeonhole blocks over either half of a 128-bit SimHash
-    and differ in at most slack * (1 - similarity) of its bits. Equal fingerprints are copies. Crowded
-    classes are asked again without those that a link took away, until no further one goes. Rows without an id stay; of
-    rows that repeat an id one stays.
+    more, which holds or not for every pair, exactly. Equal fingerprints are copies. Rows without an id stay; of rows that repeat
+    an id one stays.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     fps = cut(fingerprints(ids, words, wide=True))
     classes = cut(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    n, total = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    active, edges, sets, before = classes.select("fp", "fp2", "rep"), None, None, None
-    while True:
-        pairs, crowded = candidates(active, n, int(128 * (1 - similarity) * slack + 1e-9))
-        if sets is None:  # whatever later rounds pair is crowded or paired now, so texts move once
-            involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(crowded).distinct()
-            texts = ids.join(involved, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-            sets = cut(shingle_sets(texts, words))
-        new = alike(pairs, sets, similarity)
-        edges = cut(new if edges is None else edges.union(new))
-        found = cut(connected_components(edges))
-        active = cut(active.join(crowded, "rep", "left_semi").join(found.where("vertex != component").select(F.col("vertex").alias("rep")), "rep", "left_anti").select("fp", "fp2", "rep"))
-        still = active.count()
-        if not still or still == before:
-            break
-        before = still
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    texts = ids.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+    found = near_copies(cut(texts), words, similarity)
     named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
     gone = spread_join(fps, named, ["fp", "fp2"], "copies", total).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     again = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))

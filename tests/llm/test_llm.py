@@ -310,6 +310,26 @@ def test_one_of_each_group_stays(spark):
     assert sorted(x for x in got if x is not None) == list(range(30)) and got.count(None) == 1
 
 
+def kept_by_brute_force(rows, words=5, similarity=0.8):
+    sets = {}
+    for i, text in rows:
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    return [i for i, top in sorted(brute_components(near, sets).items()) if i == top], near
+
+
+def test_crowded_keys_keep_every_near_copy_together(spark):
+    passage, rows = [f"p{i}" for i in range(100)], []
+    for i in range(300):  # all share the passage and are unlike (0.76); two of each tail are near copies, far apart by id
+        tail = [f"t{i}x{k}" for k in range(15)]
+        rows.append((i, " ".join(passage + tail)))
+        rows.append((1000 + i * 77 % 300, " ".join(passage + tail[:7] + ["edited"] + tail[8:])))
+    want, near = kept_by_brute_force(rows)
+    assert len(near) == 300 and want == list(range(300))
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()) == want
+
+
 # 8
 
 
