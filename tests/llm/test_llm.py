@@ -330,6 +330,18 @@ def test_crowded_keys_keep_every_near_copy_together(spark):
     assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()) == want
 
 
+def test_near_copies_just_above_the_threshold_are_all_found(spark):
+    rows = []
+    for i in range(300):
+        words = [f"w{i}x{k}" for k in range(104)]
+        rows.append((i, " ".join(words)))
+        rows.append((1000 + i, " ".join(words[:20] + [f"e{i}"] + words[21:50] + [f"e{i}"] + words[51:])))
+    want, near = kept_by_brute_force(rows)  # 90 of 110 shingles: 0.82
+    assert len(near) == 300 and want == list(range(300))
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()) == want
+    assert not hasattr(simhash_dedup, "table_plan")  # no plan depends on the size
+
+
 # 8
 
 
