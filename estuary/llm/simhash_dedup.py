@@ -13,6 +13,7 @@ exactly what pairs would. This is exact for radius 2 and linear in the classes o
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
@@ -287,15 +288,28 @@ def near_copies(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     return cut(connected_components(edges.union(alike(apart, sets, similarity))))
 
 
+def set_digests(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, fp2) of every row: 128 bits of BLAKE2b over its sorted distinct shingles; a null text is an empty one."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            digests = [hashlib.blake2b(shingles_of(t.as_py() or b"", words).tobytes(), digest_size=16).digest() for t in batch.column("text")]
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in halves.T)], names=["doc_id", "fp", "fp2"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, fp2 long")
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document (the smallest doc_id) of each group of near copies.
 
     Two documents are near copies if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, which holds or not for every pair, exactly. Equal fingerprints are copies. Rows without an id stay; of rows that repeat
+    more, which holds or not for every pair, exactly. Documents of equal sets are copies. Rows without an id stay; of rows that repeat
     an id one stays.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    fps = cut(fingerprints(ids, words, wide=True))
+    fps = cut(set_digests(ids, words))
     classes = cut(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     texts = ids.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))

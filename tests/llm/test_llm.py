@@ -342,6 +342,11 @@ def test_near_copies_just_above_the_threshold_are_all_found(spark):
     assert not hasattr(simhash_dedup, "table_plan")  # no plan depends on the size
 
 
+def test_a_long_run_of_one_word_makes_no_copies(spark):
+    rows = [(i, "x " * 400 + " ".join(f"{c}{k}" for k in range(60))) for i, c in enumerate("abcd")]
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(docs_of(spark, rows)).collect()) == [0, 1, 2, 3]
+
+
 # 8
 
 
