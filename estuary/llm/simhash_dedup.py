@@ -208,7 +208,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.nd
     return docs.select("id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, n int, prefix array<bigint>")
 
 
-BLOCK, FIRST = 512, 2
+BLOCK = 512
 
 
 def labelled(shared: DataFrame, component: DataFrame | None) -> DataFrame:
@@ -220,7 +220,7 @@ def labelled(shared: DataFrame, component: DataFrame | None) -> DataFrame:
 
 def first_pairs(named: DataFrame, similarity: float) -> DataFrame:
     """named (k, id, n, c) -> (a, b): the smallest set of each component in a key meets the first and the one before it, and each id is
-    paired with those that it meets most often. Only a first step: what it links need not be compared again."""
+    paired with those that it meets most often, over three times. Only a first step: what it links need not be compared again."""
     one = named.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("own"))
     order = W.partitionBy("k").orderBy("own")
     met = one.withColumn("first", F.first("own").over(order)).withColumn("last", F.lag("own").over(order))
@@ -228,7 +228,7 @@ def first_pairs(named: DataFrame, similarity: float) -> DataFrame:
     for other in (F.col("first"), F.col("last")):
         sized = other["n"] >= F.col("own.n") * similarity - 1e-9
         pairs = met.where(other.isNotNull() & (other["id"] != F.col("own.id")) & sized).groupBy(F.col("own.id").alias("b"), other["id"].alias("a")).agg(F.count("*").alias("times"))
-        out.append(pairs.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+        out.append(pairs.where("times > 3").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
     return out[0].union(out[1]).distinct()
 
 
@@ -269,16 +269,16 @@ def near_copies(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     found = cut(prefixes(texts, words, similarity, common))
     keyed = found.select("id", "n", F.explode("prefix").alias("k"))
     shared = cut(keyed.withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1").drop("m"))
-    involved = shared.select("id").distinct()
-    sets = cut(shingle_sets(texts.join(involved, "id", "left_semi"), words))
-    edges = linked = None
-    for _ in range(FIRST):
-        new = cut(alike(first_pairs(labelled(shared, linked), similarity), sets, similarity))
-        edges = new if edges is None else edges.union(new)
-        linked = cut(connected_components(edges))
-        if not new.count():
-            break
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        return cut(shingle_sets(texts.join(involved, "id", "left_semi"), words))
+
+    first = cut(first_pairs(labelled(shared, None), similarity))
+    edges = cut(alike(first, sets_of(first), similarity))
+    linked = cut(connected_components(edges))
     left = cut(open_pairs(labelled(shared, linked), similarity))
+    sets = sets_of(left)
     best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
     edges = cut(edges.union(alike(best, sets, similarity)))
     linked = cut(connected_components(edges))
