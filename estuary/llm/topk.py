@@ -1,27 +1,30 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors are dealt into blocks. In a block, each vector's components are postings of their dimension; those
-of one quantised impact (the power of two below their size) make a segment. Segments are processed by
-descending impact, for a whole block of queries in one matrix product, and add to every accumulator. What a
-vector has not yet contributed is bounded by the query's length times the vector's remaining length
-(Cauchy-Schwarz). Once these bounds prove that few vectors can still be members, processing stops and the
-possible members, ties included, are scored exactly. Integer components below 2**20 keep all sums exact.
+Vectors stay where they lie and are indexed in blocks. A component is a posting of its dimension; its impact is its size in units of the block's
+largest, rounded down to one of ``IMPACTS`` levels, and a segment holds the postings of one dimension, sign and impact. A query processes segments
+by descending impact times the size of its own component, and adds the segment's middle to the accumulators of the vectors in it. When a vector's
+posting is in a segment still to come, that posting counts at most the next segment's bound; so every accumulator has an error that is known.
+Processing stops only on proof: when the vectors whose bound still reaches the k-th proven score are few, or no segment is left. These possible
+members, ties included, are scored exactly. Where sums may pass 2**62 all vectors of the block are scored, in whole numbers of any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .common import cut, table
 
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
+IMPACTS, FEW, PROOFS = 64, 64, 12
 OUT = "query_id long, vec_id long, score long"
+LONG = (1 << 63) - 1
 
 
 def quantised(embedding: Column, scale: int = 1024) -> Column:
@@ -31,93 +34,148 @@ def quantised(embedding: Column, scale: int = 1024) -> Column:
     return F.when(fit, F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
 
 
-def impact_levels(vectors: np.ndarray) -> list[tuple[float, float]]:
-    """Segments' ranges of absolute value, by descending impact; the last goes down to 0."""
-    top = float(np.abs(vectors).max(initial=0))
-    at = 1 << max(0, int(top).bit_length() - 1)
-    edges = [float("inf")]
-    while at >= 1:
-        edges.append(float(at))
-        at //= 2
-    return list(zip(edges, [*edges[1:], 0.0], strict=True))
-
-
-def block_topk(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, few: int = 64) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best in the block; ties to the smaller id. own[i]: vectors that query i may not find (a mask)."""
-    q, v = queries.astype(np.float64), vectors.astype(np.float64)
-    q_len = np.sqrt((q * q).sum(axis=1))
-    left = (v * v).sum(axis=1)
-    scores = np.zeros((len(q), len(v)))
-    alive = np.arange(len(q))
-    possible: dict[int, np.ndarray] = {}
-    size = np.abs(v)
-    for high, low in impact_levels(vectors):
-        segment = np.where((size < high) & (size >= low), v, 0.0)
-        scores[alive] += q[alive] @ segment.T
-        left = np.maximum(left - (segment * segment).sum(axis=1), 0.0)
-        slack = q_len[alive, None] * np.sqrt(left)[None, :] * (1 + 1e-9)
-        s = scores[alive]
-        floor = np.where(own[alive], -np.inf, s - slack)
-        kth = np.partition(floor, len(v) - k, axis=1)[:, len(v) - k] if len(v) > k else np.full(len(alive), -np.inf)
-        may = (s + slack >= kth[:, None]) & ~own[alive]
-        proven = may.sum(axis=1) <= max(k, few)
-        if low == 0.0 or not left.any():
-            proven[:] = True
-        for i in np.flatnonzero(proven):
-            possible[alive[i]] = np.flatnonzero(may[i])
-        alive = alive[~proven]
-        if not len(alive):
-            break
-    out = []
-    for i, members in possible.items():
-        exact = vectors[members].astype(np.int64) @ queries[i].astype(np.int64)
-        best = np.lexsort((ids[members], -exact))[:k]
-        out += [(int(query_ids[i]), int(ids[members[j]]), int(exact[j])) for j in best]
-    return out
-
-
-def _searcher(k: int) -> Callable[[pa.Table], pa.Table]:
-    def run(t: pa.Table) -> pa.Table:
-        kind = t.column("kind").to_numpy()
-        ids = t.column("id").to_numpy()
-        lists = t.column("v").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        lengths = np.asarray(lists.value_lengths())
-        flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        rows: list[tuple[int, int, int]] = []
-        for n in np.unique(lengths[kind == 1]):  # only vectors of one length have a product
-            pick = lambda kd: np.flatnonzero((kind == kd) & (lengths == n))  # noqa: B023, E731
-            qs, vs = pick(1), pick(0)
-            if not len(qs) or not len(vs):
+class Index:
+    """Impact-ordered segments over a block of vectors of one length."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, impacts: int = IMPACTS) -> None:
+        self.vectors, self.ids, self.n, self.dim = vectors, ids, len(vectors), vectors.shape[1]
+        wide = vectors.astype(np.float64)
+        self.largest = float(np.abs(wide).max(initial=0.0))
+        self.step = max(self.largest / impacts, 1e-300)
+        level = np.minimum((np.abs(wide) / self.step).astype(np.int64), impacts - 1)
+        row, dim = np.nonzero(vectors)
+        impact, sign = level[row, dim], (vectors[row, dim] > 0).astype(np.int64)
+        order = np.lexsort((row, -impact, sign, dim))
+        row, dim, impact, sign = row[order], dim[order], impact[order], sign[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (dim[1:] != dim[:-1]) | (sign[1:] != sign[:-1]) | (impact[1:] != impact[:-1])
+        self.start = np.append(np.flatnonzero(new), len(row))
+        self.rows = row
+        at = self.start[:-1]
+        self.seg_dim, self.seg_sign, self.seg_impact = dim[at], np.where(sign[at] == 1, 1.0, -1.0), impact[at]
+        self.postings = np.bincount(row, minlength=self.n).astype(np.float64)
+
+    def wide(self, query: np.ndarray) -> bool:
+        """Whether a product may pass 2**62."""
+        return self.largest * float(np.abs(query.astype(np.float64)).max(initial=0.0)) * self.dim >= 2.0**62
+
+    def exact(self, query: np.ndarray, members: np.ndarray) -> list[int]:
+        """Scores as whole numbers. Where a product may pass 2**62 it is made without a fixed width; beyond a long it is the nearest long."""
+        if not self.wide(query):
+            return (self.vectors[members] @ query).tolist()
+        sums = (sum(a * b for a, b in zip(self.vectors[m].tolist(), query.tolist(), strict=True)) for m in members)
+        return [max(-LONG - 1, min(LONG, x)) for x in sums]
+
+    def possible(self, query: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> np.ndarray:
+        """The vectors that can be among the query's k best; own: those that may not be found."""
+        q = query.astype(np.float64)
+        weight = np.abs(q)[self.seg_dim]
+        bound = weight * (self.seg_impact + 1) * self.step
+        order = np.argsort(-bound, kind="stable")
+        middle = (q[self.seg_dim] * self.seg_sign) * (self.seg_impact + 0.5) * self.step
+        slack = 0.5 * weight * self.step
+        score, error, left = np.zeros(self.n), np.zeros(self.n), self.postings.copy()
+        sizes = (self.start[1:] - self.start[:-1])[order]
+        done, next_proof, total = 0, 0.0, max(1, int(sizes.sum()))
+        for at, s in enumerate(order):
+            rows = self.rows[self.start[s] : self.start[s + 1]]
+            score[rows] += middle[s]
+            error[rows] += slack[s]
+            left[rows] -= 1
+            done += len(rows)
+            if done / total < next_proof and at + 1 < len(order):
                 continue
-            matrix = lambda at: flat[starts[at][:, None] + np.arange(n)]  # noqa: B023, E731
-            rows += block_topk(matrix(qs), matrix(vs), ids[qs][:, None] == ids[vs][None, :], ids[vs], ids[qs], k)
+            next_proof = done / total + 1 / PROOFS
+            coming = bound[order[at + 1]] if at + 1 < len(order) else 0.0
+            reach = (error + left * coming) * (1 + 1e-9) + 1e-9 * np.abs(score)
+            floor = np.where(own, -np.inf, score - reach)
+            kth = np.partition(floor, self.n - k)[self.n - k] if self.n > k else -np.inf
+            may = (score + reach >= kth) & ~own
+            if may.sum() <= max(k, few):
+                return np.flatnonzero(may)
+        return np.flatnonzero(~own) if not len(order) else np.flatnonzero(may)
+
+    def topk(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """(score, vec_id) of the query's k best, ties to the smaller id."""
+        own = self.ids == query_id
+        members = np.flatnonzero(~own) if self.wide(query) else self.possible(query, own, k)
+        return sorted(zip(self.exact(query, members), self.ids[members].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _matrices(ids: np.ndarray, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) for the vectors of each length."""
+    lengths = np.asarray(lists.value_lengths())
+    flat, starts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield ids[at], flat[starts[at][:, None] + np.arange(n)] if n else np.zeros((len(at), 0), np.int64)
+
+
+def _searcher(sent: object, k: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, tuple[np.ndarray, np.ndarray]] = pickle.loads(sent.value)
+        best: dict[int, list[tuple[int, int]]] = {}
+
+        def search(held: list[pa.RecordBatch]) -> None:
+            t = pa.Table.from_batches(held).combine_chunks()
+            lists = t.column("v").chunk(0) if t.num_rows else None
+            for ids, vectors in _matrices(t.column("vec_id").to_numpy(), lists) if lists is not None else ():
+                query_ids, queries = asked.get(vectors.shape[1], ([], []))
+                if not len(query_ids):
+                    continue
+                index = Index(vectors, ids)
+                for i, q in zip(query_ids, queries, strict=True):
+                    i = int(i)
+                    found = index.topk(q, i, k)
+                    best[i] = sorted([*best.get(i, []), *found], key=lambda x: (-x[0], x[1]))[:k]
+
+        held, waiting = [], 0
+        for batch in it:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                if waiting + part.num_rows > block and held:
+                    search(held)
+                    held, waiting = [], 0
+                held.append(part)
+                waiting += part.num_rows
+        if held:
+            search(held)
+        rows = [(q, i, s) for q, found in best.items() for s, i in found]
         cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer products of each query with vectors of another id.
 
-    vectors, queries (vec_id long, v array<long>). Null ids and null vectors take no part; only vectors of
-    the query's own length compare. Rows that repeat a vector's id count each; of repeated queries the one with
-    the smallest vector asks. Every block of queries meets every block of vectors once, in a task that
-    holds candidate_block + query_block vectors about.
+    vectors, queries (vec_id long, v array<long>); further columns are left out. Null ids and null vectors take no part, empty tables give no row;
+    only vectors of the query's own length compare. Rows that repeat a vector's id count each; of repeated queries the one with the smallest vector
+    asks. Ties go to the smaller id. A score beyond a long counts as the nearest long.
+
+    Queries are sent out in blocks of about query_block (that many vectors, whatever the data) and meet the vectors where these lie, so no vector
+    moves; each task gives at most k rows for each query, and these are what is shuffled.
     """
+    spark = vectors.sparkSession
     held = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v"))
     asked = cut(queries.where("vec_id is not null and v is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
-    n_v, n_q = (max(1, -(-n // b)) for n, b in ((held.count(), candidate_block), (asked.count(), query_block)))
-    spread = F.monotonically_increasing_id()
-    left = held.select(F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", F.pmod(F.xxhash64("vec_id", spread), F.lit(n_v)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    right = asked.select(F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("cb"), F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("qb"))
-    near = left.select("kind", "id", "v", "cb", "qb").union(right.select("kind", "id", "v", "cb", "qb")).groupBy("cb", "qb").applyInArrow(_searcher(k), OUT)
+    blocks = -(-asked.count() // query_block)
+    near = None
+    for b in range(max(1, blocks)):
+        t = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == b).orderBy("vec_id").toArrow()
+        lists = t.column("v").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+        by_length = {m.shape[1]: (ids, m) for ids, m in _matrices(t.column("vec_id").to_numpy(), lists)} if t.num_rows else {}
+        sent = spark.sparkContext.broadcast(pickle.dumps(by_length))
+        found = held.mapInArrow(_searcher(sent, k, vector_block), OUT)
+        near = found if near is None else near.union(found)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of every hundredth vector, against all; vectors null or holding null or non-finite components take no part."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
     return topk(rows, rows.where("vec_id % 100 = 0"))
 
