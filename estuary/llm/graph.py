@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -15,10 +15,11 @@ def _signature(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (vertex, component): the smallest vertex that each vertex reaches.
 
-    Null ends and loops are left out, repeated edges count once. Every round holds at most as many
-    edges as the last, and a hub's edges are summed before they move.
+    Null ends and loops are left out, repeated edges count once; no edges give no row. Every round holds at most as many
+    edges as the last, whose table is deleted then, and a hub's edges are summed before they move.
     """
-    stars = cut(
+    work = Scratch(edges.sparkSession)
+    stars = work.keep(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
         .distinct()
@@ -38,7 +39,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("hi != lo")
             .distinct()
         )
-        stars = cut(small)
+        before, stars = stars, work.keep(small)
+        work.drop(before)
         now = _signature(stars)
         if now == last:
             break

@@ -13,8 +13,6 @@ exactly what pairs would. This is exact for radius 2 and linear in the classes o
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
@@ -22,53 +20,51 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, table
+from .common import Scratch, cut, spread_join, table
 from .graph import connected_components
 
 CHUNK = 1 << 15
 
 
-def _second(hashes: np.ndarray) -> np.ndarray:
-    """64 more bits of each hash, by a fixed mixing step."""
-    x = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, the lowest first."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def simhash(text: bytes, words: int = 3, wide: bool = False) -> tuple[int, ...]:
-    """64 majority bits over XXH64 (seed 42) of the word shingles, repeats included; no words: 0. wide: 64 more, over a second hash."""
+def voted(counts: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are those that over half of n hashes have."""
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def simhash(text: bytes, words: int = 3) -> int:
+    """64 majority bits over XXH64 (seed 42) of the word shingles, repeats included; no words: 0."""
     w = text.lower().split()
-    hashed = [lambda x: x, _second][: 1 + wide]
     if not w:
-        return (0,) * len(hashed)
-    totals, n = [np.zeros(64, np.int64) for _ in hashed], max(1, len(w) - words + 1)
+        return 0
+    total, n = np.zeros(64, np.int64), max(1, len(w) - words + 1)
     for at in range(0, n, CHUNK):
         part = w[at : at + CHUNK + words - 1]
         m = max(1, len(part) - words + 1)
         shingles = map(b" ".join, zip(*(part[i : i + m] for i in range(words)), strict=True)) if len(part) >= words else [b" ".join(part)]
-        base = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, m)
-        for total, f in zip(totals, hashed, strict=True):
-            total += np.unpackbits(f(base).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return tuple(int.from_bytes(np.packbits(t * 2 > n, bitorder="little").tobytes(), "little") for t in totals)
+        total += majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, m))
+    return voted(total, n)
 
 
-def _mapper(words: int, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["doc_id", "fp", "fp2"][: 2 + wide]
-
+def _mapper(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = np.array([simhash(t or b"", words, wide) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64).reshape(-1, 1 + wide)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=names)
+            fps = np.array([simhash(t.as_py() or b"", words) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 3, wide: bool = False) -> DataFrame:
-    """(doc_id, fp long), and fp2 if wide, of every row; the whole text counts, a null text is an empty one."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp long) of every row; the whole text counts, a null text is an empty one. An empty table gives no row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_mapper(words, wide), "doc_id long, fp long" + ", fp2 long" * wide)
+    return rows.mapInArrow(_mapper(words), "doc_id long, fp long")
 
 
 def signed(x: int) -> int:
@@ -92,7 +88,8 @@ def links(classes: DataFrame, radius: int = 2, blocks: int = 4, small: int = 48)
         raise ValueError("midpoint stars are exact up to two bits")
     keyed = classes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(table_masks(radius, blocks))])).alias("b")).select("fp", "rep", "b.t", "b.k")
     crowds = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keyed.join(crowds, ["t", "k"]))
+    work = Scratch(classes.sparkSession)
+    shared = work.keep(keyed.join(crowds, ["t", "k"]))
     few = shared.where(F.col("n") <= small)
     a, b = few.alias("a"), few.alias("b")
     near = (
@@ -117,18 +114,6 @@ def links(classes: DataFrame, radius: int = 2, blocks: int = 4, small: int = 48)
     return near.union(stars)
 
 
-def spread_join(rows: DataFrame, classes: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
-    """rows left-joined to classes on key. Classes that hold over a thousandth of all rows number under a
-    thousand, whatever the data: those are broadcast, and only the rest are shuffled."""
-    hot = classes.where(F.col(count) * 1000 > total)
-    cold = classes.where(F.col(count) * 1000 <= total)
-    tagged = rows.join(F.broadcast(hot.select(*key, *[F.col(c).alias(f"_hot_{c}") for c in classes.columns if c not in key])), key, "left")
-    others = [c for c in classes.columns if c not in key]
-    done = tagged.where(F.col(f"_hot_{count}").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in others])
-    rest = tagged.where(F.col(f"_hot_{count}").isNull()).select(*rows.columns).join(cold, key, "left").select(*rows.columns, *others)
-    return done.unionByName(rest)
-
-
 def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
@@ -148,177 +133,3 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles_of(text: bytes, words: int) -> np.ndarray:
-    """The distinct word shingles of a text as sorted hashes; a text of fewer words is one shingle."""
-    w = text.lower().split()
-    n = max(1, len(w) - words + 1)
-    hashes = map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(w[i : i + n] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)])
-    return np.unique(np.fromiter(hashes, np.uint64)).view(np.int64)
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of each row of (id, text)."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                out = [shingles_of(text.as_py() or b"", words) for text in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    return docs.select("id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, shingles array<bigint>")
-
-
-SAMPLE, COMMON = 4000, 100_000
-
-
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sorted; how often) of up to COMMON shingles that three or more of SAMPLE texts hold. They only order the shingles of a
-    set: any order finds the same pairs, and one that puts common shingles last finds them in small keys."""
-    sample = hash_sample(docs.select(F.xxhash64("doc_id", "text").alias("id"), "text"), F.col("id"), SAMPLE)
-    counted = shingle_sets(sample, words).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    rows = sorted(tuple(r) for r in counted.orderBy(F.desc("n"), "s").limit(COMMON).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-
-
-def prefix_of(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first shingles of a set, so many that no set of that similarity can miss them all: rare ones by hash, then common ones, the rarest first."""
-    size = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    known, times = common
-    if not len(known):
-        return shingles[:size]
-    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-    often = np.where(known[at] == shingles, times[at], 0)
-    return shingles[np.lexsort((shingles, often))[:size]]
-
-
-def prefixes(docs: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, prefix) of each row of (id, text): how many shingles it has and the first of them."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = [shingles_of(text.as_py() or b"", words) for text in part.column("text")]
-                out = [prefix_of(s, similarity, common) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int32()), pa.array(out, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
-
-    return docs.select("id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "id long, n int, prefix array<bigint>")
-
-
-BLOCK = 512
-
-
-def labelled(shared: DataFrame, component: DataFrame | None) -> DataFrame:
-    """shared (k, id, n) with c, the component of each id."""
-    if component is None:
-        return shared.withColumn("c", F.col("id"))
-    return shared.join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-
-
-def first_pairs(named: DataFrame, similarity: float) -> DataFrame:
-    """named (k, id, n, c) -> (a, b): the smallest set of each component in a key meets the first and the one before it, and each id is
-    paired with those that it meets most often, over three times. Only a first step: what it links need not be compared again."""
-    one = named.groupBy("k", "c").agg(F.min(F.struct("n", "id")).alias("own"))
-    order = W.partitionBy("k").orderBy("own")
-    met = one.withColumn("first", F.first("own").over(order)).withColumn("last", F.lag("own").over(order))
-    out = []
-    for other in (F.col("first"), F.col("last")):
-        sized = other["n"] >= F.col("own.n") * similarity - 1e-9
-        pairs = met.where(other.isNotNull() & (other["id"] != F.col("own.id")) & sized).groupBy(F.col("own.id").alias("b"), other["id"].alias("a")).agg(F.count("*").alias("times"))
-        out.append(pairs.where("times > 3").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
-    return out[0].union(out[1]).distinct()
-
-
-def open_pairs(named: DataFrame, similarity: float) -> DataFrame:
-    """named (k, id, n, c) -> (a, b, share, ca, cb): all pairs of different components that share so many first shingles that they can be similar.
-
-    A key of many ids is dealt into blocks, and block meets block, so that no task holds a whole key. Sets of n and m shingles with
-    prefixes of p and q share no more than the shingles common to both prefixes and the longer of the rests n - p and m - q.
-    """
-    keys = named.groupBy("k").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = cut(named.join(keys, "k").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    left = rows.select("k", "id", "n", "c", "own", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other")).alias("x")
-    right = rows.select("k", "id", "n", "c", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), "own")).alias("own")).alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    once = (F.col("x.own") < F.col("x.other")) | (F.col("x.id") < F.col("y.id"))
-    sized = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
-    pairs = left.join(right, ["k", "own", "other"]).where(once & (F.col("x.c") != F.col("y.c")) & sized)
-    met = pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("times"), F.first(n).alias("n"), F.first(m).alias("m"), F.min(F.least("x.c", "y.c")).alias("ca"), F.min(F.greatest("x.c", "y.c")).alias("cb"))
-    rest = lambda x: F.ceil(similarity * x - 1e-9) - 1
-    return met.where(F.col("times") + F.greatest(rest(F.col("n")), rest(F.col("m"))) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9).select("a", "b", (F.col("times") / (F.col("n") + F.col("m"))).alias("share"), "ca", "cb")
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets (id, shingles) have a Jaccard similarity of at least ``similarity``, counted exactly."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def near_copies(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """texts (id, text; id unique) -> (vertex, component): the components of all pairs whose similarity is reached, none left out.
-
-    Two such sets share a shingle among the first of either (a prefix filter), so ids are keyed by these. What the first step links is
-    one component; after that only pairs of different components can add a link. Of all of them that share a key, the best of each two
-    components is compared first, and then every pair that is still apart.
-    """
-    common = common_shingles(texts.select(F.col("id").alias("doc_id"), "text"), words)
-    found = cut(prefixes(texts, words, similarity, common))
-    keyed = found.select("id", "n", F.explode("prefix").alias("k"))
-    shared = cut(keyed.withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1").drop("m"))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return cut(shingle_sets(texts.join(involved, "id", "left_semi"), words))
-
-    first = cut(first_pairs(labelled(shared, None), similarity))
-    edges = cut(alike(first, sets_of(first), similarity))
-    linked = cut(connected_components(edges))
-    left = cut(open_pairs(labelled(shared, linked), similarity))
-    sets = sets_of(left)
-    best = left.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("share", "a", "b")).alias("p")).select("p.a", "p.b")
-    edges = cut(edges.union(alike(best, sets, similarity)))
-    linked = cut(connected_components(edges))
-    for end in ("a", "b"):
-        left = left.join(linked.select(F.col("vertex").alias(end), F.col("component").alias(f"now_{end}")), end, "left")
-    apart = left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    return cut(connected_components(edges.union(alike(apart, sets, similarity))))
-
-
-def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, fp2) of every row: 128 bits of BLAKE2b over its sorted distinct shingles; a null text is an empty one."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            digests = [hashlib.blake2b(shingles_of(t.as_py() or b"", words).tobytes(), digest_size=16).digest() for t in batch.column("text")]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in halves.T)], names=["doc_id", "fp", "fp2"])
-
-    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, fp2 long")
-
-
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one document (the smallest doc_id) of each group of near copies.
-
-    Two documents are near copies if the sets of their ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, which holds or not for every pair, exactly. Documents of equal sets are copies. Rows without an id stay; of rows that repeat
-    an id one stays.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    fps = cut(set_digests(ids, words))
-    classes = cut(fps.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    texts = ids.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-    found = near_copies(cut(texts), words, similarity)
-    named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", "fp2", "copies", F.coalesce("component", "rep").alias("component_id"))
-    gone = spread_join(fps, named, ["fp", "fp2"], "copies", total).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = cut(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if not again.count():
-        return left
-    repeated = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(repeated)
