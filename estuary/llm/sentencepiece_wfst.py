@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-compile() turns a model file into one transducer: the normaliser (rewrites of the precompiled character map,
-white space to U+2581, the dummy prefix), the pieces as a trie whose accepting states emit an id, and for each
-character that no piece covers an arc that emits its bytes' pieces. Encoding composes it with a text and takes the
-shortest path in the tropical semiring.
+compile_model() turns a model file into one transducer of three parts. The normaliser is a sequential transducer: at each place the longest
+rewrite of the precompiled character map, white space to U+2581, the dummy prefix; it has one path for each text, so composing with it is applying
+it. The pieces are a trie whose accepting states are arcs that emit an id. For each character that no piece spells there is a fallback arc that
+emits the pieces of its bytes (or the unknown piece). Encoding composes all three with a text and takes the shortest path in the tropical semiring:
+weights add along a path, the least wins, and what the path's arcs emit is the encoding.
 
 Unigram models weigh a piece by its negated score. In a BPE model a path is the encoding if and only if
 every two neighbours on it are what merging their joined text gives; such an arc weighs 0 and any other
@@ -20,6 +21,7 @@ import string
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,25 @@ def _char_map(blob: bytes) -> dict[str, str]:
     return rules
 
 
+class _Parts(dict):
+    """What each part of a text encodes to. Parts met since the last change of generation and the ones before are remembered."""
+
+    def __init__(self, solve: Callable[[str], tuple[int, ...]]) -> None:
+        super().__init__()
+        self.solve, self.older = solve, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.solve(part)
+        if len(part) <= LONG_PART:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Transducer:
     """pieces: (text, score, type) by id."""
 
@@ -91,19 +112,15 @@ class Transducer:
         self.pieces, self.kind, self.dummy, self.collapse = pieces, kind, dummy_prefix, collapse
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.bytes = {int(t[1:-1], 16): i for i, (t, _, k) in enumerate(pieces) if k == BYTE} if byte_fallback else {}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.ids = {t: i for i, (t, _, k) in enumerate(pieces) if k in (NORMAL, USER)}
         self.score = {t: pieces[i][1] for t, i in self.ids.items()}
         self.floor = min(self.score.values(), default=0.0) - UNKNOWN_COST
+        spelled = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelling = [spelled[i] if i in spelled else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else t.encode() for i, (t, _, k) in enumerate(pieces)]
         rules = rules or {}
         self.rules = rules
         self.rewrite = re.compile("|".join(map(re.escape, sorted(rules, key=len, reverse=True)))) if rules else None
-        self.trie: dict = {}
-        for t in self.ids:
-            node = self.trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
+        self.trie = self._trie()
         inside = set().union(*self.ids) if self.ids else set()
         loose = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
         spans = any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids)
@@ -112,11 +129,22 @@ class Transducer:
         parts.append(f"[^{cut}]+" if cut else "(?s:.+)")
         after = "".join(re.escape(c) for c in string.punctuation if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", t) for t in self.ids if c in t))
         if after and not spans:  # no piece goes on from a letter to one of these
-            parts.insert(0, f"{SPACE}*[^\\W\\d_]+(?=[{after}])")
+            parts.insert(0, f"{SPACE}*[^\\W\\d_]++(?=[{after}])")
         self.part = re.compile("|".join([*parts, f"[{loose}]"] if loose else parts))
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.solved: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.known_pairs = 0
+        self.solved = _Parts(self._solve)
+
+    def _trie(self) -> dict:
+        """character -> (children, arc); the arc of an accepting state is (text, what it emits), else None."""
+        root: dict = {}
+        for t, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            children = root
+            for c in t[:-1]:
+                children = children.setdefault(c, ({}, None))[0]
+            below = children[t[-1]][0] if t[-1] in children else {}
+            children[t[-1]] = below, (t, (i,))
+        return root
 
     def normalise(self, text: str) -> str:
         if self.rewrite:
@@ -127,6 +155,10 @@ class Transducer:
             return ""
         return ((" " if self.dummy else "") + text).replace(" ", SPACE)
 
+    def fallback(self, character: str) -> tuple[str, tuple[int, ...]]:
+        """The arc of a character that no piece spells: it emits its bytes' pieces, or the unknown piece."""
+        return character, tuple(self.bytes[b] for b in character.encode("utf-8", "replace")) if self.bytes else (self.unknown,)
+
     def merge(self, text: str) -> list[str]:
         """Merges neighbours, the best-scored result first, the leftmost of equals: what neighbours are compared with."""
         parts = list(text)
@@ -138,88 +170,101 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _follows(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 2 * REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(a + b) == ([a, b] if a else [b])
-        return known
+    def _judge(self, a: str, b: str, known: dict[str, bool]) -> bool:
+        """Whether merging a + b gives a and b; remembered in known, what is known to follow a."""
+        if self.known_pairs > 2 * REMEMBERED:
+            self.pairs.clear()
+            self.known_pairs = 0
+        self.known_pairs += 1
+        known[b] = self.merge(a + b) == ([a, b] if a else [b])
+        return known[b]
 
-    def _shortest(self, part: str) -> list[str]:
+    def shortest(self, part: str) -> list[tuple[str, tuple[int, ...]]]:
         """The arcs of the shortest path through the part's lattice."""
-        n, bpe = len(part), self.kind == BPE
-        cost = [0.0] + [float("inf")] * n
-        last = [""] * (n + 1)
+        came = self._finite(part) if self.kind == BPE else self._least(part)
+        path, at = [], len(part)
+        while at:
+            path.append(came[at])
+            at -= len(came[at][0])
+        return path[::-1]
+
+    def _finite(self, part: str) -> list:
+        """The last arc of the path to each place that one of weight 0 reaches; arcs that do not follow the one before weigh infinity."""
+        n = len(part)
+        came: list = [None] * (n + 1)
+        came[0] = ("", ())
         for i in range(n):
-            if cost[i] == float("inf"):
+            if came[i] is None:
                 continue
-            node, before, single = self.trie, last[i], False
+            children, before = self.trie, came[i][0]
+            follows = self.pairs.get(before)
+            if follows is None:
+                follows = self.pairs[before] = {}
+            single = False
             for j in range(i, n):
-                node = node.get(part[j])
-                if node is None:
+                step = children.get(part[j])
+                if step is None:
                     break
-                t = node.get("")
-                if t is None:
+                children, arc = step
+                if arc is None:
                     continue
                 single |= j == i
-                weight = cost[i] + (0.0 if bpe else -self.score[t])
-                if weight < cost[j + 1] and (not bpe or self._follows(before, t)):
-                    cost[j + 1], last[j + 1] = weight, t
-            if not single:
-                weight = cost[i] + (0.0 if bpe else -self.floor)
-                if weight < cost[i + 1] and (not bpe or self._follows(before, part[i])):
-                    cost[i + 1], last[i + 1] = weight, part[i]
-        path, at = [], n
-        while at:
-            path.append(last[at])
-            at -= len(last[at])
-        return path[::-1]
-
-    def _emit(self, path: list[str]) -> list[int]:
+                if came[j + 1] is None:
+                    fits = follows.get(arc[0])
+                    if fits if fits is not None else self._judge(before, arc[0], follows):
+                        came[j + 1] = arc
+            if not single and came[i + 1] is None:
+                fits = follows.get(part[i])
+                if fits if fits is not None else self._judge(before, part[i], follows):
+                    came[i + 1] = self.fallback(part[i])
+        return came
+
+    def _least(self, part: str) -> list:
+        """The last arc of the path of least weight to each place."""
+        n, infinite = len(part), float("inf")
+        cost = [0.0] + [infinite] * n
+        came: list = [("", ())] * (n + 1)
+        for i in range(n):
+            if cost[i] == infinite:
+                continue
+            children, single = self.trie, False
+            for j in range(i, n):
+                step = children.get(part[j])
+                if step is None:
+                    break
+                children, arc = step
+                if arc is None:
+                    continue
+                single |= j == i
+                if cost[i] - self.score[arc[0]] < cost[j + 1]:
+                    cost[j + 1], came[j + 1] = cost[i] - self.score[arc[0]], arc
+            if not single and cost[i] - self.floor < cost[i + 1]:
+                cost[i + 1], came[i + 1] = cost[i] - self.floor, self.fallback(part[i])
+        return came
+
+    def _solve(self, part: str) -> tuple[int, ...]:
+        """What the path emits; in a unigram model unknown characters that adjoin are one unknown piece."""
         out: list[int] = []
-        for t in path:
-            i = self.ids.get(t)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in t.encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown or self.kind == BPE:
-                out.append(self.unknown)
-        return out
+        for _, ids in self.shortest(part):
+            if self.kind != BPE and ids == (self.unknown,) and out[-1:] == [self.unknown]:
+                continue
+            out += ids
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        solved = self.solved
-        for part in self.part.findall(self.normalise(text)):
-            ids = solved.get(part)
-            if ids is None:
-                ids = self.older.get(part)
-                if ids is None:
-                    ids = self._emit(self._shortest(part))
-                if len(part) <= LONG_PART:
-                    if len(solved) >= REMEMBERED:
-                        self.older, self.solved = solved, {}
-                        solved = self.solved
-                    solved[part] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.solved.__getitem__, self.part.findall(self.normalise(text)))))
 
     def decode(self, ids: Iterable[int]) -> str:
-        out: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(_spell(bytes(held)))
-                held.clear()
-            t, _, k = self.pieces[i]
-            out.append("" if k == CONTROL else " ⁇ " if k == UNKNOWN else t)
-        if held:
-            out.append(_spell(bytes(held)))
-        text = "".join(out).replace(SPACE, " ")
+        """The inverse transducer: each id's spelling; bytes that spell no character become U+FFFD, one for each."""
+        ids = list(ids)
+        raw = b"".join(map(self.spelling.__getitem__, ids))
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            whole = set(self.bytes.values())
+            runs = ((b, b"".join(map(self.spelling.__getitem__, g))) for b, g in groupby(ids, whole.__contains__))
+            text = "".join(_spell(r) if b else r.decode() for b, r in runs)
+        text = text.replace(SPACE, " ")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
@@ -279,14 +324,13 @@ def _encoder(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in it:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids, decoded = [], []
-                for text in part.column("text"):
-                    ids.append(np.array(t.encode(text.as_py()), np.int32))
-                    decoded.append(t.decode(ids[-1].tolist()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])],
-                    names=["doc_id", "ids", "ids_crc32", "decoded_sha256"],
-                )
+                ids = [t.encode(text) for text in part.column("text").to_pylist()]
+                flat = np.fromiter(chain.from_iterable(ids), "<i4")
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                raw = flat.tobytes()
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in pairwise(ends.tolist())]
+                decoded = [hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, flat), pa.array(crcs, pa.int64()), pa.array(decoded)], names=["doc_id", "ids", "ids_crc32", "decoded_sha256"])
 
     return run
 
@@ -301,16 +345,18 @@ def _decoder(path: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, ids_crc32, decoded_sha256) of each row's whole text. A null text is an empty one and has no ids;
-    repeated rows and null ids stay as they are. path: the model file, the same on every machine."""
+    """(doc_id, ids, ids_crc32, decoded_sha256) of each row's whole text, however long. A null text is an empty one and has no ids;
+    repeated rows and null ids stay as they are, further columns of docs are left out, an empty table gives no row. path: the model
+    file, the same on every machine. A part of a text that no piece spans is solved alone, so a long text takes memory by its longest part."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_encoder(path), "doc_id long, ids array<int>, ids_crc32 long, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids decode to an empty text."""
+    """(doc_id, text) from (doc_id, ids); null ids decode to an empty text, an empty table to no row."""
     return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, text string")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and their number, and a digest of what they decode to; see encode() for odd rows."""
     return encode(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids").cast("long"))
