@@ -2,8 +2,9 @@
 
 A record is a page written as a WARC response record. Records are laid out in files of ``SLOTS`` consecutive page
 ids; a record's slot is its place in that range, so that a lost record shifts no other leaf. A leaf hashes a
-slot's bytes; a node hashes its children's hashes with their slots and spans the offset range of its records. Files'
-roots are the leaves of the tree above, which has levels until one root is left.
+slot's bytes; a node hashes, in order, its children's slots, hashes and offset ranges, counted from its own start, and spans their range. What is
+lost or cut thus changes the nodes above it, and none beside it, though all that follows in the file has moved. Files' roots are the leaves of
+the tree above, which has levels until one root is left.
 
 The audit compares the roots of two replicas and descends, level by level, into the children of nodes that differ
 and nowhere else. Every group that is gathered holds at most ``FAN_OUT`` nodes.
@@ -50,24 +51,27 @@ def warc_files(pages: DataFrame) -> DataFrame:
 
 
 def _cleaned(pages: DataFrame) -> DataFrame:
-    return pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html")).withColumn("file_id", F.floor(F.col("page_id") / F.lit(SLOTS)).cast("long"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html")).withColumn("file_id", F.floor(F.col("page_id") / F.lit(SLOTS)).cast("long"))
 
 
 def leaves(pages: DataFrame) -> DataFrame:
     """(file_id, slot, page_id, offset, length, digest), one row for each page id that occurs.
 
-    A null url or html is an empty one; a null page_id is the id -1. Rows that share an id make one leaf: equal rows are
-    merged before anything is gathered, and the leaf hashes bounded sums over its versions, so no id is too
-    frequent; its length is that of all its records.
+    A null url or html is an empty one. Pages without an id make one leaf of a file without an id. Rows that share an id make one leaf: its
+    digest is the record's own where there is one, else a Merkle root over all versions, each with the times it comes, by their hashes' first
+    digits, so that no id is too frequent; its length is that of all its records. Further columns are left out; no pages give no leaf.
     """
-    records = _cleaned(pages).withColumn("record", record_bytes(F.col("page_id"), F.col("url"), F.col("html")))
+    records = _cleaned(pages).withColumn("record", record_bytes(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.col("html")))
     versions = records.select("file_id", "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("sha"), F.octet_length("record").cast("long").alias("bytes")).groupBy("file_id", "page_id", "sha", "bytes").agg(F.count("*").alias("copies"))
-    ids = versions.groupBy("file_id", "page_id").agg(
-        F.sum(F.col("bytes") * F.col("copies")).alias("length"), F.min("sha").alias("least"), F.max("sha").alias("most"), F.sum("copies").alias("n"), F.bit_xor(F.xxhash64("sha", "copies")).alias("mix")
+    spelled = lambda name, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, name))), lambda x: F.concat_ws(":", x[by], x[name])), "|").cast("binary"), 256)
+    first = versions.withColumn("times", F.col("copies").cast("string")).groupBy("file_id", "page_id", F.substring("sha", 1, 4).alias("head")).agg(
+        F.sum(F.col("bytes") * F.col("copies")).alias("length"), F.min("sha").alias("least"), F.sum("copies").alias("n"), spelled("times", "sha").alias("hash")
     )
-    digest = F.when(F.col("n") == 1, F.col("least")).otherwise(F.sha2(F.concat_ws("|", "least", "most", F.col("n").cast("string"), F.col("mix").cast("string")).cast("binary"), 256))
+    ids = first.groupBy("file_id", "page_id").agg(F.sum("length").alias("length"), F.min("least").alias("least"), F.sum("n").alias("n"), spelled("hash", "head").alias("hash"))
+    digest = F.when(F.col("n") == 1, F.col("least")).otherwise(F.col("hash"))
     before = W.partitionBy("file_id").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
-    return ids.select("file_id", F.pmod("page_id", F.lit(SLOTS)).alias("slot"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", digest.alias("digest"))
+    slot = F.coalesce(F.pmod("page_id", F.lit(SLOTS)), F.lit(0)).cast("long")
+    return ids.select("file_id", slot.alias("slot"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", digest.alias("digest"))
 
 
 @dataclass
@@ -79,8 +83,13 @@ class Tree:
 
 
 def _above(level: DataFrame, keys: list[str]) -> DataFrame:
-    children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-    spelled = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), "|")
+    children = F.array_sort(F.collect_list(F.struct("node", "start", "end", "hash")))
+
+    def spell(found: Column) -> Column:
+        start = F.get(found, F.lit(0))["start"]
+        return F.array_join(F.transform(found, lambda c: F.concat_ws(":", c["node"].cast("string"), (c["start"] - start).cast("string"), (c["end"] - start).cast("string"), c["hash"])), "|")
+
+    spelled = F.get(F.transform(F.array(children), spell), F.lit(0))
     up = level.withColumn("up", F.floor(F.col("node") / FAN_OUT).cast("long")).groupBy(*keys, "up")
     return up.agg(F.sha2(spelled.cast("binary"), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("parts").alias("parts")).withColumnRenamed("up", "node")
 
@@ -124,20 +133,26 @@ def mismatches(a: Tree, b: Tree, first_file: int) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Every leaf of either replica with its status: ok, changed, missing (not in replica) or extra (only there).
 
-    Returns file_id, slot, page_id, offset, length, digest (of the primary; of the replica where extra),
-    replica_digest and status. Two empty tables give no row.
+    Returns file_id, slot, page_id, offset, length, digest (of the primary; of the replica where extra), replica_digest and status. Pages without an
+    id are one leaf whose file_id and page_id are null. Repeated rows count in their leaf's digest; further columns of either table
+    are left out. Two empty tables give no row.
     """
     a, b = cut(leaves(primary)), cut(leaves(replica))
     low, high = a.select("file_id").union(b.select("file_id")).agg(F.min("file_id"), F.max("file_id")).first()
-    if low is None:
-        return a.select("*", F.col("digest").alias("replica_digest"), F.lit("ok").alias("status"))
-    bad = mismatches(tree(a, (low, high)), tree(b, (low, high)), low)
+    nowhere = 0 if high is None else high + 1  # the file of pages without an id, beyond all others
+    a, b = (x.withColumn("file_id", F.coalesce("file_id", F.lit(nowhere).cast("long"))) for x in (a, b))
+    file_range = (nowhere if low is None else low, nowhere)
     keys = ["file_id", "slot"]
+    if a.isEmpty() and b.isEmpty():
+        bad = a.select(*keys)
+    else:
+        bad = mismatches(tree(a, file_range), tree(b, file_range), file_range[0])
     located = bad.join(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("page_id", "offset", "length", "digest")]), keys, "left")
     joined = a.join(located.withColumn("_bad", F.lit(True)), keys, "full")
     status = F.when(F.col("_bad").isNull(), "ok").when(F.col("digest").isNull(), "extra").when(F.col("b_digest").isNull(), "missing").otherwise("changed")
     own = [F.coalesce(c, f"b_{c}").alias(c) for c in ("page_id", "offset", "length", "digest")]
-    return joined.select(*keys, *own, F.when(F.col("_bad").isNull(), F.col("digest")).otherwise(F.col("b_digest")).alias("replica_digest"), status.alias("status"))
+    file_id = F.when(F.col("file_id") != nowhere, F.col("file_id")).alias("file_id")
+    return joined.select(file_id, "slot", *own, F.when(F.col("_bad").isNull(), F.col("digest")).otherwise(F.col("b_digest")).alias("replica_digest"), status.alias("status"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -148,6 +163,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a replica that decayed in a known way; see audit() for odd rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return audit(pages, damaged(pages))
 
