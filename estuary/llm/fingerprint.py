@@ -8,13 +8,14 @@ of two bits share one long sum, 32 bits each, so 64 sums do the work of 128 insi
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, table, text_or_empty
+from .common import ASCII_SPACE, Scratch, join_checked, table, text_or_empty
 
 LANES = 32
 PAIR = (1 << 32) + 1
@@ -75,11 +76,11 @@ def permuted_tables(radius: int, blocks: int) -> list[tuple[int, int]]:
     return [tuple(x - (1 << 64) if x >> 63 else x for x in (m & ((1 << 64) - 1), m >> 64)) for m in whole]
 
 
-def find_within(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All (query_id, id, distance) with fingerprints at most radius bits apart.
+def close_classes(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """(q1, q2, s1, s2, distance): all pairs of distinct fingerprints (fp1, fp2) of queries and of stored rows at most radius bits apart.
 
-    queries (query_id, fp1, fp2), stored (id, fp1, fp2). Both sides are reduced to distinct fingerprints
-    first, so copies meet once; each close pair is kept in the first table that both share.
+    Both sides are reduced to distinct fingerprints first, so copies meet once; each close pair is kept in the first table that both share. A null
+    fingerprint is close to none.
     """
     masks = permuted_tables(radius, blocks)
 
@@ -90,23 +91,39 @@ def find_within(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks:
 
     bits = F.bit_count(F.col("q1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("q2").bitwiseXOR(F.col("s2")))
     first = F.array_min(F.array(*[F.when((F.col("q1").bitwiseXOR(F.col("s1")).bitwiseAND(F.lit(a)) == 0) & (F.col("q2").bitwiseXOR(F.col("s2")).bitwiseAND(F.lit(b)) == 0), F.lit(t)) for t, (a, b) in enumerate(masks)]))
-    pairs = keyed(queries, "q").join(keyed(stored, "s"), ["t", "k1", "k2"]).withColumn("distance", bits).where((F.col("distance") <= radius) & (F.col("t") == first)).select("q1", "q2", "s1", "s2", "distance")
+    return keyed(queries, "q").join(keyed(stored, "s"), ["t", "k1", "k2"]).withColumn("distance", bits).where((F.col("distance") <= radius) & (F.col("t") == first)).select("q1", "q2", "s1", "s2", "distance")
+
+
+def find_within(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """All (query_id, id, distance) with fingerprints at most radius bits apart; repeated rows come as often as they are.
+
+    queries (query_id, fp1, fp2), stored (id, fp1, fp2), further columns are left out; null fingerprints find nothing and are found by none.
+    """
+    pairs = close_classes(queries, stored, radius, blocks)
     named = queries.select("query_id", F.col("fp1").alias("q1"), F.col("fp2").alias("q2")).join(pairs, ["q1", "q2"])
     return named.join(stored.select("id", F.col("fp1").alias("s1"), F.col("fp2").alias("s2")), ["s1", "s2"]).select("query_id", "id", "distance")
 
 
-def with_next(docs: DataFrame, bucket_rows: int = 512, max_buckets: int = 4096) -> DataFrame:
+def counted_within(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """(fp1, fp2, n_within) for each distinct fingerprint of queries: how many stored rows lie within radius bits. Rows of one fingerprint are
+    counted together before they meet, so no list of copies is made."""
+    copies = stored.groupBy(F.col("fp1").alias("s1"), F.col("fp2").alias("s2")).agg(F.count("*").alias("copies"))
+    return close_classes(queries, stored, radius, blocks).join(copies, ["s1", "s2"]).groupBy(F.col("q1").alias("fp1"), F.col("q2").alias("fp2")).agg(F.sum("copies").alias("n_within"))
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 512, max_buckets: int = 65_536) -> DataFrame:
     """Rows of docs (doc_id, text) ordered by doc_id within buckets of ids, each bucket closed by copies of the
     next one's first rows (the last by the first's), so that lead() finds every row's successor without a global sort.
 
     Adds bucket, copy (true for the closing rows) and place, the order within the bucket. Bucket limits
-    are quantiles and thus ids that occur; an id's rows all lie in one bucket.
+    are quantiles and thus ids that occur; an id's rows all lie in one bucket. Beyond bucket_rows * max_buckets rows
+    buckets grow; they are sorted, on disk if need be, and read in order.
     """
     n = docs.agg(F.count("doc_id")).first()[0]
     parts = max(1, min(max_buckets, n // bucket_rows))
-    at = F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(parts)]), F.lit(max(10_000, 4 * parts)))
+    at = F.percentile_approx("doc_id", F.from_json(F.lit(json.dumps([i / parts for i in range(parts)])), "array<double>"), F.lit(max(10_000, 4 * parts)))
     limits = sorted(set(docs.agg(at.alias("q")).first()["q"] or [])) or [0]
-    held = F.array(*[F.lit(x).cast("long") for x in limits])
+    held = F.from_json(F.lit(json.dumps(limits)), "array<bigint>")
     steps = [1 << i for i in reversed(range(len(limits).bit_length()))]
     known = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda pos, s: F.when(F.get(held, pos + s - 1) <= F.col("doc_id"), pos + s).otherwise(pos))
     own = (known - 1).alias("bucket")
@@ -116,7 +133,7 @@ def with_next(docs: DataFrame, bucket_rows: int = 512, max_buckets: int = 4096)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document, of its edited text and how like they are.
+    """Fingerprints of every document (fp1 and fp2, and in hexadecimal), of its edited text and how like they are. An empty table gives no row.
 
     Edited: the last floor(n/2) code points replaced by the first as many (or all) of the next document by
     doc_id, ties by the text's hash; after the last comes the first. A row with a null doc_id stands in no order:
@@ -145,7 +162,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     following = W.partitionBy("bucket").orderBy("row")
     joined = by_row.withColumn("n1", F.lead("f1").over(following)).withColumn("n2", F.lead("f2").over(following)).where(~F.col("copy"))
     placed = joined.select(
-        "doc_id", "n_chars", "edited_sha256",
+        "doc_id", "n_chars", "edited_sha256", F.col("f1").alias("fp1"), F.col("f2").alias("fp2"),
         hex128(F.col("f1"), F.col("f2")).alias("fingerprint"),
         hex128(F.col("e1"), F.col("e2")).alias("edited_fingerprint"),
         likeness(F.col("f1"), F.col("f2"), F.col("e1"), F.col("e2")).alias("near_edited"),
@@ -155,9 +172,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     lone = fingerprint(nowhere, ["_row", "doc_id", "n_chars"])
     none = F.lit(None)
     return placed.unionByName(
-        lone.select("doc_id", "n_chars", none.cast("string").alias("edited_sha256"), hex128(F.col("fp1"), F.col("fp2")).alias("fingerprint"), none.cast("string").alias("edited_fingerprint"), none.cast("double").alias("near_edited"), none.cast("double").alias("near_next"))
+        lone.select("doc_id", "n_chars", none.cast("string").alias("edited_sha256"), "fp1", "fp2", hex128(F.col("fp1"), F.col("fp2")).alias("fingerprint"), none.cast("string").alias("edited_fingerprint"), none.cast("double").alias("near_edited"), none.cast("double").alias("near_next"))
     )
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    """Every document's fingerprints and likenesses; for those whose doc_id is divisible by 100 also n_within, how many other documents have a
+    fingerprint within three bits, found by the permuted tables (null for others). See edited_fingerprints() for odd rows."""
+    made = Scratch(spark).keep(edited_fingerprints(table(spark, sf_dir, "documents")))
+    asks = F.col("doc_id") % 100 == 0
+    counts = counted_within(made.where(asks), made)
+    found = join_checked(made, counts, ["fp1", "fp2"], "left")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.when(asks, F.col("n_within") - 1).alias("n_within"))

@@ -123,6 +123,9 @@ def test_fingerprints_of_texts_and_edits(spark, documents):
         assert (r["fingerprint"], r["edited_fingerprint"]) == (want[k], want_edited[k])
         assert r["near_edited"] == likeness(want[k], want_edited[k]) and r["near_next"] == likeness(want[k], want[(k + 1) % len(want)])
     assert np.mean([got[i]["near_edited"] > got[i]["near_next"] for i, _ in documents]) > 0.95
+    for k, (i, _) in enumerate(documents):
+        others = sum((int(want[k], 16) ^ int(x, 16)).bit_count() <= 3 for x in want) - 1
+        assert got[i]["n_within"] == (others if i % 100 == 0 else None)
 
 
 def test_order_holds_across_buckets(spark):
@@ -463,6 +466,26 @@ def test_audit_locates_damage(spark):
     assert len(got) == 3002
 
 
+def test_versions_and_pages_without_id(spark):
+    kind = "page_id long, url string, html string, digest int"
+    rows = [(1, "u", f"v{k}", 0) for k in range(50)] + [(None, "n", "a", 0), (None, "n", "b", 0), (-1, "m", "c", 0), (2, None, None, 0)]
+    one = spark.createDataFrame(rows, kind)
+    assert {r["status"] for r in warc_fixity.audit(one, one).collect()} == {"ok"}
+    swapped = spark.createDataFrame([(1, "u", f"v{k}" if k != 20 else "w20", 0) for k in range(50)] + rows[50:], kind)
+    assert {r["page_id"]: r["status"] for r in warc_fixity.audit(one, swapped).collect()} == {1: "changed", None: "ok", -1: "ok", 2: "ok"}
+    other = spark.createDataFrame([r for r in rows if r[2] != "a"], kind)
+    got = {(r["file_id"], r["page_id"]): r["status"] for r in warc_fixity.audit(one, other).collect()}
+    assert got == {(0, 1): "ok", (None, None): "changed", (-1, -1): "ok", (0, 2): "ok"}
+
+
+def test_nodes_hash_their_offset_ranges(spark):
+    level = spark.createDataFrame([(0, 0, "x", 0, 10), (0, 1, "y", 10, 30)], "file_id long, node long, hash string, start long, end long").withColumn("parts", F.lit(1))
+    shifted = level.withColumn("start", F.col("start") + 5).withColumn("end", F.col("end") + 5)
+    longer = level.withColumn("end", F.col("end") + F.col("node"))
+    top = [warc_fixity._above(x, ["file_id"]).first()["hash"] for x in (level, shifted, longer)]
+    assert top[0] == top[1] != top[2]
+
+
 def test_files_hold_what_leaves_say(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     files = {r["file_id"]: bytes(r["content"]) for r in warc_fixity.warc_files(pages).collect()}
