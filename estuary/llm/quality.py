@@ -2,11 +2,12 @@
 
 The text view sees words and their shapes (hashed); the metadata view sees what a page record tells besides its
 words: language, source, length, lines and shares of kinds of characters and of repetition. Each view has a
-logistic classifier. Over ``ROUNDS`` rounds, each labels the pool's documents that it is surest of, in the labels'
-own proportions, and hands them to the other. Each view is calibrated on labelled rows that neither trained on; the
-views' log-odds are combined there too, and all documents are scored.
+logistic classifier. Over ``ROUNDS`` rounds, each labels the documents of a pool that it is surest of, in the labels'
+own proportions, and hands them to the other; then the pool is filled up from further documents. Each view is calibrated on labelled rows that neither
+trained on; the views' log-odds are combined there too, and all documents are scored, by the whole of their texts.
 
-Fitting is bounded: at most ``LABELLED`` labelled rows and ``POOL`` others, both by the hash of the id.
+Fitting is bounded: at most ``LABELLED`` labelled rows, and as co-training has it a pool of ``POOL`` unlabelled ones, with ``REFILL`` more in each
+round; all are chosen by the hash of the id. A document without a label is only ever used for pseudo-labels.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table, text_or_empty
+from .common import hash_sample, spelled_schema, table, text_or_empty
 
-LABELLED, POOL, ROUNDS, EACH_ROUND = 5_000, 4_000, 4, 400
+LABELLED, POOL, REFILL, ROUNDS, EACH_ROUND = 6_000, 4_000, 400, 4, 400
 BUCKETS, KINDS = 1 << 14, 32
 STEPS, DECAY = 40, 1e-4
+LONGEST = 64
 REJECT_BELOW = 0.5
 
 _DIGIT, _LETTERS = re.compile(r"\d+"), re.compile(r"[^\W\d_]+")
@@ -35,15 +37,23 @@ _DIGIT, _LETTERS = re.compile(r"\d+"), re.compile(r"[^\W\d_]+")
 
 def shape(word: str) -> str:
     """Letter runs become a, digit runs 0; other characters stay."""
-    return _LETTERS.sub("a", _DIGIT.sub("0", word))[:24]
+    return _LETTERS.sub("a", _DIGIT.sub("0", word))
+
+
+def words_of(text: str) -> list[str]:
+    """What white space separates; a run of over LONGEST characters counts as several words of that length."""
+    words = text.split()
+    if len(text) > LONGEST and max(map(len, words), default=0) > LONGEST:
+        return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+    return words
 
 
 class _Buckets(dict):
     """The buckets of a word and of its shape, remembered."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        found = zlib.crc32(word[:64].lower().encode()) % BUCKETS, BUCKETS + zlib.crc32(shape(word[:64]).encode()) % BUCKETS
-        if len(self) < 300_000:
+        found = zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS, BUCKETS + zlib.crc32(shape(word).encode("utf-8", "replace")) % BUCKETS
+        if len(self) < 200_000:
             self[word] = found
         return found
 
@@ -87,7 +97,7 @@ def meta_view(text: str, words: list[str], lang: str | None, source: str | None)
 
 
 def views(text: str | None, lang: str | None, source: str | None) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    words = (text or "").split()
+    words = words_of(text or "")
     return text_view(words), meta_view(text or "", words, lang, source)
 
 
@@ -96,18 +106,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Rows of (feature, weight), flat."""
+    """Rows of (feature, weight), flat: at and w one after the other, n of them in each row."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
-        self.at, self.w = (np.concatenate([r[i] for r in rows]) if rows else np.array([], (np.int32, np.float32)[i]) for i in (0, 1))
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-        self.n, self.width = len(rows), width
+    def __init__(self, at: np.ndarray, w: np.ndarray, n: np.ndarray, width: int) -> None:
+        self.at, self.w, self.n, self.width = at, w, len(n), width
+        self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.w * weights[self.at], minlength=self.n)
+        return np.bincount(self.row, weights=self.w * weights.astype(np.float32)[self.at], minlength=self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=self.w * g[self.row], minlength=self.width)
+        return np.bincount(self.at, weights=self.w * g.astype(np.float32)[self.row], minlength=self.width)
 
 
 class Dense:
@@ -164,9 +173,9 @@ class Model:
         return tuple(float(_sigmoid(np.float64(z))) for z in (t * self.both[0] + m * self.both[1] + self.both[2], t, m))
 
 
-def co_train(rows: list[tuple], labels: np.ndarray, held: np.ndarray) -> Model:
-    """rows: views; labels: 0, 1 or nan (the pool); held: labelled rows kept for calibration."""
-    text, meta = Sparse([r[0] for r in rows], AGAIN + 2), Dense(np.array([r[1] for r in rows]).reshape(-1, META))
+def co_train(text: Sparse, meta: Dense, labels: np.ndarray, held: np.ndarray, arrives: np.ndarray | None = None) -> Model:
+    """labels: 0, 1 or nan (unlabelled); held: labelled rows kept for calibration; arrives: the round in which an unlabelled row joins the pool."""
+    arrives = np.zeros(len(labels), int) if arrives is None else arrives
     train = ~np.isnan(labels) & ~held
     pool = np.isnan(labels)
     given = {"text": np.where(train, labels, np.nan), "meta": np.where(train, labels, np.nan)}
@@ -181,7 +190,7 @@ def co_train(rows: list[tuple], labels: np.ndarray, held: np.ndarray) -> Model:
         moved = []
         for name, other in (("text", "meta"), ("meta", "text")):
             z = view[name].dot(weights[name][:-1]) + weights[name][-1]
-            free = np.flatnonzero(pool & np.isnan(given[other]))
+            free = np.flatnonzero(pool & (arrives <= turn) & np.isnan(given[other]))
             order = free[np.argsort(z[free], kind="stable")]
             sure = np.abs(z[order]) > 2.0
             bad = order[(z[order] < 0) & sure][: round(EACH_ROUND * (1 - good))]
@@ -203,32 +212,51 @@ def _extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "at": [v[0][0].astype("<i4").tobytes() for v in each], "w": [v[0][1].astype("<f4").tobytes() for v in each], "meta": [v[1].astype("<f4").tobytes() for v in each]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """labels (doc_id, quality): of several labels of one document the least counts; null ids and labels are left out.
-    Without labels every document scores 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, refill: int = REFILL) -> Model:
+    """labels (doc_id, quality): of several labels of one document the least counts; null ids and labels are left out, labels without a document too.
+    Of documents that share an id one counts, the least by its features. Null texts, languages and sources are empty ones. Without labels, or
+    documents, every document scores 0.5."""
     spark = docs.sparkSession
     known = hash_sample(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")), F.col("doc_id"), labelled).collect()
-    ids = {r[0] for r in known}
-    others = [r[0] for r in hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"), F.col("doc_id"), pool + labelled).collect()]
-    free = [i for i in dict.fromkeys(others) if i not in ids][:pool]
+    ids, wanted = {r[0] for r in known}, pool + ROUNDS * refill
+    others = [r[0] for r in hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), F.col("doc_id"), wanted + labelled).collect()]
+    free = [i for i in others if i not in ids][:wanted]
+    joins = {i: max(0, (k - pool) // refill + 1) for k, i in enumerate(free)}
     listed = pd.DataFrame({"doc_id": pd.Series([*(r[0] for r in known), *free], dtype="int64"), "quality": pd.Series([*(r[1] for r in known), *[-1] * len(free)], dtype="int32")})
     small = spark.createDataFrame(listed, "doc_id long, quality int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).join(F.broadcast(small), "doc_id")
-    got = rows.select("doc_id", "text", "lang", "source", "quality").mapInPandas(_extract, "doc_id long, quality int, at binary, w binary, meta binary")
-    got = sorted(got.toLocalIterator(), key=lambda r: (r["doc_id"], r["at"], r["w"]))
-    if not any(r["quality"] >= 0 for r in got):
+    made = rows.select("doc_id", "text", "lang", "source", "quality").mapInPandas(_extract, "doc_id long, quality int, at binary, w binary, meta binary")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("at", "w", "meta", "quality")).alias("r")).select("doc_id", "r.*")
+    # Features go straight into flat arrays; the rows' order is that of the ids, whatever the order in which they come.
+    doc, quality, at, w, meta, sizes = [], [], bytearray(), bytearray(), bytearray(), []
+    for r in one.coalesce(8).toLocalIterator():
+        doc.append(r["doc_id"])
+        quality.append(r["quality"])
+        sizes.append(len(r["at"]) // 4)
+        at += r["at"]
+        w += r["w"]
+        meta += r["meta"]
+    y = np.array([q if q >= 0 else np.nan for q in quality], float)
+    if np.isnan(y).all():
         return Model(np.zeros(AGAIN + 3), np.zeros(META + 1), np.zeros(2), np.zeros(2), np.zeros(3))
-    each = [((np.frombuffer(r["at"], "<i4"), np.frombuffer(r["w"], "<f4")), np.frombuffer(r["meta"], "<f4")) for r in got]
-    y = np.array([r["quality"] if r["quality"] >= 0 else np.nan for r in got], float)
-    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 1 for r in got]) & ~np.isnan(y)
-    del got
-    return co_train(each, y, held)
+    order, n = np.argsort(np.array(doc, np.int64), kind="stable"), np.array(sizes)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    place = np.repeat(starts[order] - np.concatenate([[0], np.cumsum(n[order])[:-1]]), n[order]) + np.arange(n.sum())
+    text = Sparse(np.frombuffer(at, "<i4")[place], np.frombuffer(w, "<f4")[place], n[order], AGAIN + 2)
+    dense = Dense(np.frombuffer(meta, "<f4").reshape(-1, META)[order])
+    del at, w, meta, place
+    doc, y = [doc[i] for i in order], y[order]
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 1 for i in doc]) & ~np.isnan(y)
+    return co_train(text, dense, y, held, np.array([joins.get(i, 0) for i in doc]))
+
+
+NAMES = ("quality_score", "text_score", "meta_score")
 
 
-def scorer(model: Model, spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Adds quality_score, text_score and meta_score to rows with text, lang and source; all other columns stay."""
+def scorer(model: Model, spark: SparkSession, names: tuple[str, str, str] = NAMES) -> Callable[[DataFrame], DataFrame]:
+    """Adds the scores of both views together, of the text and of the metadata to rows with text, lang and source; all other columns stay, but for
+    those of the three names, which are replaced. Nulls are empty texts; repeated rows score alike; no row gives no row."""
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
-    names = ["quality_score", "text_score", "meta_score"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
@@ -239,8 +267,7 @@ def scorer(model: Model, spark: SparkSession) -> Callable[[DataFrame], DataFrame
 
     def apply(rows: DataFrame) -> DataFrame:
         kept = rows.drop(*names).withColumns({c: F.col(c).cast("string") for c in ("text", "lang", "source")})
-        spec = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-        return kept.mapInArrow(run, f"{spec}, {', '.join(f'{n} double' for n in names)}")
+        return kept.mapInArrow(run, f"{spelled_schema(kept)}, {', '.join(f'{n} double' for n in names)}")
 
     return apply
 
