@@ -71,23 +71,54 @@ def table_digest(spelled: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[F.coalesce(q, F.lit(0)).cast("string") for q in quarters]).cast("binary"), 256)
 
 
+# The first venue's payout texts, the subjects that its titles name, the longer first, and the codes of what is refused.
+PAYOUT_ABOVE = r"^Above\s+([0-9]+(?:\.[0-9]+)?)%\s*$"
+PAYOUT_BELOW = r"^([0-9]+(?:\.[0-9]+)?)%\s+or\s+below\s*$"
+PAYOUT_STILL = r"(?i)^(Fed maintains rate|No change)$"
+PAYOUT_CHANGE = r"(?i)^(Cut|Hike)\s+(>)?\s*([0-9]+)\s*bps\s*$"
+PAYOUT_SUBJECTS = {"target federal funds rate": "target_level", "federal funds rate": "level"}
+TEXT_UNREADABLE, SUBJECT_UNREADABLE, MONTH_UNKNOWN = "payout_text_unreadable", "rate_subject_unreadable", "month_not_in_calendar"
+EXPIRY = r"^([A-Z]+)-([0-9]{2})([A-Z]{3})$"
+MONTH_CODES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
 def payout_predicate(subtitle: Column, title: Column) -> Column:
-    """struct(subject, threshold, inequality, orientation, refusal) of a rate contract's texts.
+    """struct(subject, threshold, inequality, orientation, refusal) of a rate contract's texts; the subtitle must be one form in full.
 
-    Above R% -> level, above, +1; R% or below -> level, below, -1; no change -> change, 0; Cut|Hike [>]N bps -> signed
-    basis points, with an inequality only where > is written. What none of these reads is refused.
+    Above R% -> the title's rate, above, +1; R% or below -> the title's rate, below, -1; no change -> change, 0; Cut|Hike [>]N bps -> signed
+    basis points, with an inequality in the direction of the change only where > is written. Any other text is refused, and so is a level whose title names
+    no rate; a refusal leaves the rest null.
     """
-    above = F.regexp_extract(subtitle, r"(?i)^above (\d+(?:\.\d+)?)%", 1)
-    below = F.regexp_extract(subtitle, r"(?i)^(\d+(?:\.\d+)?)% or below", 1)
-    still = subtitle.rlike(r"(?i)maintains rate|no change")
-    verb = F.lower(F.regexp_extract(subtitle, r"(?i)(cut|hike) (>?)(\d+) ?bps", 1))
-    more = F.regexp_extract(subtitle, r"(?i)(cut|hike) (>?)(\d+) ?bps", 2)
-    points = F.regexp_extract(subtitle, r"(?i)(cut|hike) (>?)(\d+) ?bps", 3)
-    signed = F.when(verb == "cut", -points.try_cast("double")).otherwise(points.try_cast("double"))
-    subject = F.when((above != "") | (below != ""), F.when(title.rlike("(?i)target"), "target_level").otherwise("level")).when(still | (verb != ""), "change")
-    threshold = F.when(above != "", above.try_cast("double")).when(below != "", below.try_cast("double")).when(still, 0.0).when(verb != "", signed)
-    inequality = F.when(above != "", "above").when(below != "", "below").when((verb != "") & (more == ">"), "above")
-    return F.struct(subject.alias("subject"), threshold.alias("threshold"), inequality.alias("inequality"), F.when(below != "", -1).when(subject.isNotNull(), 1).alias("orientation"), F.when(subject.isNull(), "unreadable_predicate").alias("refusal"))
+    x = F.trim(F.coalesce(subtitle, F.lit("")))
+    above, below = F.regexp_extract(x, PAYOUT_ABOVE, 1), F.regexp_extract(x, PAYOUT_BELOW, 1)
+    still = x.rlike(PAYOUT_STILL)
+    verb, strict, points = (F.regexp_extract(x, PAYOUT_CHANGE, i) for i in (1, 2, 3))
+    changes = still | (verb != "")
+    named = F.coalesce(*[F.when(F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(t)), F.lit(v)) for t, v in PAYOUT_SUBJECTS.items()])
+    down = F.lower(verb) == "cut"
+    level = (above != "") | (below != "")
+    refusal = F.when(~level & ~changes, TEXT_UNREADABLE).when(level & named.isNull(), SUBJECT_UNREADABLE)
+    signed = F.when(down, -points.try_cast("double")).otherwise(points.try_cast("double"))
+    threshold = F.when(above != "", above.try_cast("double")).when(below != "", below.try_cast("double")).when(still, 0.0).otherwise(signed)
+    inequality = F.when(above != "", "above").when(below != "", "below").when((verb != "") & (strict != ""), F.when(signed > 0, "above").otherwise("below"))
+    ok = refusal.isNull()
+    return F.struct(
+        F.when(ok, F.when(level, named).otherwise("change")).alias("subject"), F.when(ok, threshold).alias("threshold"), F.when(ok, inequality).alias("inequality"),
+        F.when(ok, F.when(below != "", -1).otherwise(1)).alias("orientation"), refusal.alias("refusal"),
+    )
+
+
+def decision_month(ticker: Column) -> Column:
+    """yyyy-MM of a ticker SERIES-YYMMM; null where it has another form or names no month."""
+    code = F.regexp_extract(ticker, EXPIRY, 3)
+    number = F.array_position(F.array(*map(F.lit, MONTH_CODES)), code)
+    return F.when(number > 0, F.concat(F.lit("20"), F.regexp_extract(ticker, EXPIRY, 2), F.lit("-"), F.lpad(number.cast("string"), 2, "0")))
+
+
+def decision_date(ticker: Column, calendar: Column) -> Column:
+    """struct(date, refusal): the meeting that a declared calendar (map from yyyy-MM) has for the ticker's month; a month that it lacks is refused."""
+    date = F.try_element_at(calendar, decision_month(ticker))
+    return F.struct(date.alias("date"), F.when(date.isNull(), MONTH_UNKNOWN).alias("refusal"))
 
 
 def json_pointer(document: Column, pointer: Column) -> Column:

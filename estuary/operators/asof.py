@@ -50,17 +50,21 @@ def latest_by_key(records: DataFrame, keys: list[str], time: str, tie: str) -> D
     return records.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in records.columns if c not in keys]), rank).alias("_r")).select(*keys, "_r.*")
 
 
-def tie_groups(records: DataFrame, keys: list[str], time: str, value: str, tie: str) -> DataFrame:
-    """One row for each keys and time: records at one instant are one observation. mean is null if any value is."""
+def tie_groups(records: DataFrame, keys: list[str], time: str, value: str, tie: str | None = None, axis: str | None = None) -> DataFrame:
+    """One row for each keys and time: records at one instant are one observation. mean is null if any value is.
+
+    ids (if tie is named) are the members' ids, ordered. axes (if axis is named) is struct(low, high, unset): the least and greatest axis among the
+    members and how many have none, which tells whether they share one without a set of them."""
     known = F.count(value) == F.count("*")
-    return records.groupBy(*keys, time).agg(
-        F.when(known, F.avg(value)).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("members"), F.array_sort(F.collect_set(tie)).alias("ids")
-    )
+    more = [F.array_sort(F.collect_set(tie)).alias("ids")] if tie else []
+    if axis:
+        more.append(F.struct(F.min(axis).alias("low"), F.max(axis).alias("high"), F.count_if(F.col(axis).isNull()).alias("unset")).alias("axes"))
+    return records.groupBy(*keys, time).agg(F.when(known, F.avg(value)).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("members"), *more)
 
 
 def last_group(groups: DataFrame, keys: list[str], time: str) -> DataFrame:
     """The latest tie group of keys, and the members of all of them."""
-    kept = F.struct(F.col(time).alias("time"), "mean", "low", "high", "ids")
+    kept = F.struct(F.col(time).alias("time"), *[c for c in groups.columns if c not in keys and c not in (time, "members")])
     return groups.groupBy(*keys).agg(F.max_by(kept, F.col(time)).alias("g"), F.sum("members").alias("members")).select(*keys, "g.*", "members")
 
 

@@ -34,36 +34,42 @@ def undeclared(events: DataFrame, candidates: DataFrame) -> DataFrame:
     return events.join(candidates, "event_id", "left_anti").select("event_id")
 
 
+# Why a row of the trade panel is masked, in order.
+TRADE_REASONS = ("rule_evidence_missing", "closed_before_release", "missing_baseline", "stale_baseline", "no_post_release_trade", "endpoint_beyond_cap", "mixed_axis")
+
+
 def trade_panel(trades: DataFrame, events: DataFrame, candidates: DataFrame, settings: PanelSettings) -> DataFrame:
     """One row for each declared event, contract and horizon.
 
     trades (trade_id, contract, time, price, axis), events (event_id, at, rule_known, closed_before), candidates
     (event_id, contract). Baseline: the mean of the last tie group in [at - before, at); endpoint: of the last
-    in (at, at + horizon]. A print at the event itself is in neither. Legs stay visible on masked rows, the response does not.
+    in (at, at + horizon]. A print at the event itself is in neither. Only these two groups decide about the axis: a member without one, or two
+    axes among them, mask the row, and what is printed later does not. Legs stay visible on masked rows, the response does not. An event
+    without a declared candidate raises.
     """
+    if missing := undeclared(events, candidates).limit(3).collect():
+        raise ValueError(f"events without a declared candidate, such as {[r[0] for r in missing]}")
     declared = events.join(candidates, "event_id").select("event_id", "contract", "at")
     near = window_join(trades, declared, "time", "at", settings.before, settings.after, ["contract"])
     keys = ["event_id", "contract"]
     pre = near.where(F.col("time") < F.col("at"))
-    base = last_group(tie_groups(pre, keys, "time", "price", "trade_id"), keys, "time").select(*keys, F.col("time").alias("baseline_time"), F.col("mean").alias("baseline"), F.col("ids").alias("baseline_ids"), F.col("members").alias("n_pre"))
-    axes = near.where(F.col("time") != F.col("at")).groupBy(*keys).agg(F.count_distinct("axis").alias("axes"), F.count_if(F.col("axis").isNull()).alias("no_axis"))
-    groups = tie_groups(near.where(F.col("time") > F.col("at")).withColumn("wait", F.col("time") - F.col("at")), [*keys, "wait"], "time", "price", "trade_id")
+    base = last_group(tie_groups(pre, keys, "time", "price", "trade_id", "axis"), keys, "time").select(
+        *keys, F.col("time").alias("baseline_time"), F.col("mean").alias("baseline"), F.col("ids").alias("baseline_ids"), F.col("axes").alias("baseline_axes"), F.col("members").alias("n_pre")
+    )
+    groups = tie_groups(near.where(F.col("time") > F.col("at")).withColumn("wait", F.col("time") - F.col("at")), [*keys, "wait"], "time", "price", axis="axis")
     reached = groups.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in settings.horizons]))).where(F.col("wait") <= F.col("horizon"))
-    ends = last_group(reached, [*keys, "horizon"], "time").select(
-        *keys, "horizon", F.col("time").alias("endpoint_time"), F.col("mean").alias("endpoint"), F.col("low").alias("endpoint_low"), F.col("high").alias("endpoint_high"), F.col("members").alias("n_post")
+    ends = last_group(reached.drop("wait"), [*keys, "horizon"], "time").select(
+        *keys, "horizon", F.col("time").alias("endpoint_time"), F.col("mean").alias("endpoint"), F.col("low").alias("endpoint_low"), F.col("high").alias("endpoint_high"), F.col("axes").alias("endpoint_axes"), F.col("members").alias("n_post")
     )
-    rows = dense_grid(events, candidates, settings.horizons).join(base, keys, "left").join(ends, [*keys, "horizon"], "left").join(axes, keys, "left").na.fill(0, ["n_pre", "n_post", "axes", "no_axis"])
+    rows = dense_grid(events, candidates, settings.horizons).join(base, keys, "left").join(ends, [*keys, "horizon"], "left").na.fill(0, ["n_pre", "n_post"])
     rows = rows.withColumn("baseline_age", F.col("at") - F.col("baseline_time")).withColumn("endpoint_age", F.col("at") + F.col("horizon") - F.col("endpoint_time")).withColumn("response", F.col("endpoint") - F.col("baseline"))
-    ladder = [
-        (~F.col("rule_known"), "rule_evidence_missing"),
-        (F.col("closed_before"), "closed_before_release"),
-        (F.col("baseline_time").isNull(), "missing_baseline"),
-        (F.col("baseline_age") > settings.baseline_cap, "stale_baseline"),
-        (F.col("endpoint_time").isNull(), "no_post_release_trade"),
-        ((F.col("endpoint_age") > settings.endpoint_cap) | (F.col("horizon") > settings.after), "endpoint_beyond_cap"),
-        ((F.col("no_axis") > 0) | (F.col("axes") > 1), "mixed_axis"),
-    ]
-    return masked(rows, ladder, ["response"])
+    unset = F.coalesce(F.col("baseline_axes.unset"), F.lit(0)) + F.coalesce(F.col("endpoint_axes.unset"), F.lit(0)) > 0
+    several = F.least("baseline_axes.low", "endpoint_axes.low") < F.greatest("baseline_axes.high", "endpoint_axes.high")
+    conditions = (
+        ~F.col("rule_known"), F.col("closed_before"), F.col("baseline_time").isNull(), F.col("baseline_age") > settings.baseline_cap, F.col("endpoint_time").isNull(),
+        (F.col("endpoint_age") > settings.endpoint_cap) | (F.col("horizon") > settings.after), unset | several,
+    )
+    return masked(rows, list(zip(conditions, TRADE_REASONS, strict=True)), ["response"]).drop("baseline_axes", "endpoint_axes")
 
 
 def panel_counts(panel: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def forecast_rows(trades: DataFrame, events: DataFrame, receivers: DataFrame, do
     reach = dict(before=scan_before, after=delay + horizon)
 
     def leg(near: DataFrame, keep: object, name: str) -> DataFrame:
-        groups = tie_groups(near.where(keep), ["event_id", "contract"], "time", "price", "trade_id")
+        groups = tie_groups(near.where(keep), ["event_id", "contract"], "time", "price")
         return last_group(groups, ["event_id", "contract"], "time").select("event_id", "contract", F.col("time").alias(f"{name}_time"), F.col("mean").alias(name))
 
     t, tau = F.col("time"), F.col("tau")

@@ -29,13 +29,33 @@ def first_occurrences(records: DataFrame, identity: list[str], order: list[str],
     return records.groupBy(*identity).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"), F.count("*").alias("times"), (F.min(digest) != F.max(digest)).alias("conflict")).select(*identity, "_r.*", "times", "conflict")
 
 
-def spacing(records: DataFrame, keys: list[str], at: str, step: int) -> DataFrame:
-    """Gaps of a grid: each record's distance to the one before, whether it is off the grid, and the stamps missing between."""
-    before = F.lag(at).over(W.partitionBy(*keys).orderBy(at))
-    rows = records.select(*keys, at).withColumn("before", before).withColumn("delta", F.col(at) - F.col("before"))
+def spacing(records: DataFrame, keys: list[str], at: str, step: int, bucket: int = 86_400_000_000) -> DataFrame:
+    """Gaps of a grid: each record's distance (delta) to the one before, whether it is off the grid, and how many stamps are missing between.
+
+    Records are sorted within (keys, bucket of time); a bucket's first record finds the one before it in a summary of one row a bucket, so that a key is
+    spread over its buckets. missing_stamps() lists the stamps."""
+    slot = records.select(*keys, at).withColumn("_slot", F.floor(F.col(at) / bucket).cast("long"))
+    near = slot.withColumn("_near", F.lag(at).over(W.partitionBy(*keys, "_slot").orderBy(at)))
+    ends = slot.groupBy(*keys, "_slot").agg(F.max(at).alias("_last"))
+    far = ends.withColumn("_far", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slot"))).drop("_last")
+    rows = near.join(far, [*keys, "_slot"], "left").withColumn("before", F.coalesce("_near", "_far")).withColumn("delta", F.col(at) - F.col("before"))
     off = F.col("delta").isNotNull() & ((F.col("delta") <= 0) | (F.col("delta") % step != 0))
-    missing = F.when(~off & (F.col("delta") > step), F.sequence(F.col("before") + step, F.col(at) - step, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("off_grid", off).withColumn("missing", missing)
+    missing = F.when(~off & (F.col("delta") > step), F.floor(F.col("delta") / step) - 1).otherwise(0).cast("long")
+    return rows.select(*keys, at, "before", "delta", off.alias("off_grid"), missing.alias("missing"))
+
+
+def missing_stamps(spaced: DataFrame, keys: list[str], at: str, step: int) -> DataFrame:
+    """(keys, stamp): every stamp that spacing() counts as missing, a row each."""
+    gaps = spaced.where("missing > 0")
+    return gaps.select(*keys, F.explode(F.sequence(F.col("before") + step, F.col(at) - step, F.lit(step).cast("long"))).alias("stamp"))
+
+
+def window_ends(spaced: DataFrame, keys: list[str], at: str, step: int, start: int, end: int) -> DataFrame:
+    """(keys, prefix, suffix, usable): stamps missing before the first and after the last record of a requested window, and whether the series
+    has no hole, no stamp off the grid and reaches both ends."""
+    ends = spaced.groupBy(*keys).agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.sum("missing").alias("holes"), F.count_if("off_grid").alias("off"))
+    prefix, suffix = (F.floor(F.greatest(x, F.lit(0)) / step).cast("long") for x in (F.col("lo") - start, F.lit(end) - F.col("hi")))
+    return ends.select(*keys, prefix.alias("prefix"), suffix.alias("suffix"), ((prefix == 0) & (suffix == 0) & (F.col("holes") == 0) & (F.col("off") == 0)).alias("usable"))
 
 
 def unordered_pairs(rows: DataFrame, group: list[str], order: Column, prefix: tuple[str, str] = ("a_", "b_")) -> DataFrame:
@@ -62,6 +82,9 @@ def cross_venue_basis(quotes: DataFrame, group: list[str]) -> DataFrame:
     return pairs.withColumn("basis", F.log("high_price") - F.log("low_price"))
 
 
+MOST_MEETINGS = 10_000
+
+
 def neighbor_edges(contracts: DataFrame, calendar: DataFrame, match: list[str]) -> DataFrame:
     """receiver -> donor across the immediately preceding meeting, one row and one reason for each receiver.
 
@@ -69,41 +92,54 @@ def neighbor_edges(contracts: DataFrame, calendar: DataFrame, match: list[str])
     receiver not open at the origin, or not to the window's end, or its rule not verified for it; no earlier meeting; no contract
     there; none that matches; none open at both instants; none verified. Of those left the smallest id lends.
     """
-    one = F.row_number().over(W.orderBy("date"))  # the calendar has one row for each meeting
-    dates = calendar.withColumn("previous", F.lag("date").over(W.orderBy("date"))).withColumn("_n", one)
-    live = lambda p="": F.coalesce(F.col(p + "opened") <= F.col("origin"), F.lit(False)) & F.coalesce(F.col(p + "closed") > F.col("origin"), F.lit(True))
-    through = lambda p="": F.coalesce(F.col(p + "closed") > F.col("window_end"), F.lit(True))
-    ruled = lambda p="": F.coalesce(F.col(p + "verified_from") <= F.col("origin"), F.lit(False)) & F.coalesce(F.col("window_end") < F.col(p + "verified_to"), F.lit(True))
+    # The calendar has one row for each meeting; the meeting before is the largest earlier date, found by its neighbours alone.
+    meetings = sorted(r["date"] for r in calendar.select("date").distinct().limit(MOST_MEETINGS + 1).collect())
+    if len(meetings) > MOST_MEETINGS:
+        raise ValueError(f"a calendar holds at most {MOST_MEETINGS} meetings")
+    kind = calendar.schema["date"].dataType
+    pairs = calendar.sparkSession.createDataFrame(list(zip(meetings, [None, *meetings[:-1]], strict=True)), f"date {kind.simpleString()}, previous {kind.simpleString()}")
+    dates = calendar.join(pairs, "date")
+    live = lambda: F.coalesce(F.col("opened") <= F.col("origin"), F.lit(False)) & F.coalesce(F.col("closed") > F.col("origin"), F.lit(True))
+    through = lambda: F.coalesce(F.col("closed") > F.col("window_end"), F.lit(True))
+    ruled = lambda: F.coalesce(F.col("verified_from") <= F.col("origin"), F.lit(False)) & F.coalesce(F.col("window_end") < F.col("verified_to"), F.lit(True))
     receivers = contracts.join(F.broadcast(dates), "date")
-    donors = contracts.select(F.col("date").alias("previous"), *match, *[F.col(c).alias("d_" + c) for c in ("contract", "opened", "closed", "verified_from", "verified_to")])
-    there = contracts.groupBy(F.col("date").alias("previous")).agg(F.count("*").alias("_there"))
-    met = receivers.join(donors, ["previous", *match], "left")
-    ok = live("d_") & through("d_")
-    found = met.groupBy("contract", "date", "previous", "origin", "window_end", "opened", "closed", "verified_from", "verified_to").agg(
-        F.count("d_contract").alias("_same"), F.count_if(ok & F.col("d_contract").isNotNull()).alias("_live"), F.min(F.when(ok & ruled("d_"), F.col("d_contract"))).alias("donor")
-    )
-    found = found.join(there, "previous", "left")
+    # What a donor must be depends on the receiver's meeting only, so donors are summed by that meeting before receivers join, one to one.
+    later = dates.where("previous is not null").select(F.col("date").alias("to"), F.col("previous").alias("date"), "origin", "window_end")
+    lent = contracts.join(F.broadcast(later), "date")
+    ok = live() & through()
+    offers = lent.groupBy("to", *match).agg(F.count("*").alias("_same"), F.count_if(ok).alias("_live"), F.min(F.when(ok & ruled(), F.col("contract"))).alias("donor")).withColumnRenamed("to", "date")
+    there = lent.groupBy(F.col("to").alias("date")).agg(F.count("*").alias("_there"))
+    found = receivers.join(offers, ["date", *match], "left").join(F.broadcast(there), "date", "left")
     reason = (
         F.when(~live(), "receiver_not_open").when(~through(), "receiver_not_open_through_window").when(~ruled(), "receiver_rule_not_verified").when(F.col("previous").isNull(), "no_earlier_meeting")
-        .when(F.col("_there").isNull(), "no_contract_at_previous_meeting").when(F.col("_same") == 0, "no_matching_contract").when(F.col("_live") == 0, "donor_not_open").when(F.col("donor").isNull(), "donor_rule_not_verified")
+        .when(F.col("_there").isNull(), "no_contract_at_previous_meeting").when(F.col("_same").isNull(), "no_matching_contract").when(F.col("_live") == 0, "donor_not_open").when(F.col("donor").isNull(), "donor_rule_not_verified")
     )
     return found.select("contract", "date", reason.alias("reason"), F.when(reason.isNull(), F.col("donor")).alias("donor"))
 
 
+# Grades, the best first; components of a predicate, and those that must agree.
 GRADES = ("EXACT", "ECONOMICALLY_EQUIVALENT", "APPROXIMATE", "REJECT")
+COMPONENTS = ("underlying_event", "reference_period", "threshold", "operator", "settlement_criterion", "reference_horizon")
+REQUIRED_COMPONENTS = ("underlying_event", "reference_period", "threshold", "operator")
 
 
-def graded_pairs(left: DataFrame, right: DataFrame, components: list[str], required: list[str], tolerant: str, unit_scale: dict[str, float]) -> DataFrame:
-    """Grades of all pairs of two venues' predicates of one underlying: left, right (id, readable, underlying, *components, unit).
+def predicate_classes(predicates: DataFrame, components: list[str]) -> DataFrame:
+    """(readable, unit, components, members, least): predicates that state the same, counted."""
+    return predicates.groupBy("readable", "unit", *components).agg(F.count("*").alias("members"), F.min("id").alias("least"))
 
-    Unobserved or differing required components reject; no difference is EXACT; a ``tolerant`` number that is equal after its unit's
-    scale is ECONOMICALLY_EQUIVALENT; other differences are APPROXIMATE. Predicates of different underlyings are rejected wholesale and not
-    paired, so the join is an equi join.
+
+def graded_classes(left: DataFrame, right: DataFrame, components: list[str], required: list[str], tolerant: str, unit_scale: dict[str, float], join_on: str) -> DataFrame:
+    """Grades of all pairs of two venues' predicates (id, readable, unit, *components) that agree in join_on, by classes of equal predicates.
+
+    Returns grade, reasons and pairs, one row for each pair of classes, with the classes' least ids (left_id, right_id). An unreadable side rejects.
+    Unobserved components and differing required ones reject; a ``tolerant`` number that is equal after its unit's scale makes the pair
+    ECONOMICALLY_EQUIVALENT, other differences APPROXIMATE, none EXACT. Pairs that differ in join_on are rejected wholesale (rejected_wholesale counts
+    them), so the join is an equi join of classes, and no pair of predicates is built.
     """
     scale = F.create_map(*[x for u, s in unit_scale.items() for x in (F.lit(u), F.lit(float(s)))])
-    a = left.select("underlying", *[F.col(c).alias("a_" + c) for c in ("id", "readable", "unit", *components)])
-    b = right.select("underlying", *[F.col(c).alias("b_" + c) for c in ("id", "readable", "unit", *components)])
-    both = a.join(b, "underlying")
+    names = ["least", "members", "readable", "unit", *components]
+    a, b = (predicate_classes(side, components).where(F.col(join_on).isNotNull()).select(*[F.col(c).alias(p + c) for c in names]) for side, p in ((left, "a_"), (right, "b_")))
+    both = a.join(b, F.col("a_" + join_on) == F.col("b_" + join_on))
 
     def verdict(c: str) -> Column:
         x, y = F.col("a_" + c), F.col("b_" + c)
@@ -115,12 +151,22 @@ def graded_pairs(left: DataFrame, right: DataFrame, components: list[str], requi
 
     both = both.withColumns({"v_" + c: verdict(c) for c in components})
     bad = F.filter(F.array(F.when(~(F.col("a_readable") & F.col("b_readable")), "unreadable"), *[F.when(F.col("v_" + c) == "unobserved", F.lit(c + "_unobserved")) for c in components], *[F.when(F.col("v_" + c) == "differs", F.lit(c + "_differs")) for c in required]), lambda r: r.isNotNull())
-    differs = [F.col("v_" + c) == "differs" for c in components]
-    any_differs = differs[0]
-    for d in differs[1:]:
-        any_differs = any_differs | d
-    grade = F.when(F.size(bad) > 0, "REJECT").when(any_differs, "APPROXIMATE").when(F.col("v_" + tolerant) == "equivalent", "ECONOMICALLY_EQUIVALENT").otherwise("EXACT")
-    return both.select("underlying", F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), grade.alias("grade"), F.array_join(bad, ",").alias("reasons"))
+    differs = F.lit(False)
+    for c in components:
+        differs = differs | (F.col("v_" + c) == "differs")
+    grade = F.when(F.size(bad) > 0, "REJECT").when(F.col("v_" + tolerant) == "equivalent", "ECONOMICALLY_EQUIVALENT").when(differs, "APPROXIMATE").otherwise("EXACT")
+    return both.select(F.col("a_least").alias("left_id"), F.col("b_least").alias("right_id"), grade.alias("grade"), F.array_join(bad, ",").alias("reasons"), (F.col("a_members") * F.col("b_members")).alias("pairs"))
+
+
+def registry_counts(graded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs by grade, pairs by reason) of graded_classes()."""
+    by_reason = graded.where("reasons != ''").select(F.explode(F.split("reasons", ",")).alias("reason"), "pairs")
+    return graded.groupBy("grade").agg(F.sum("pairs").alias("pairs")), by_reason.groupBy("reason").agg(F.sum("pairs").alias("pairs"))
+
+
+def rejected_wholesale(left: DataFrame, right: DataFrame, graded: DataFrame) -> int:
+    """Pairs that differ in what graded_classes() joins on: all pairs less those that it graded."""
+    return left.count() * right.count() - (graded.agg(F.sum("pairs")).first()[0] or 0)
 
 
 def distinct_names(df: DataFrame, name: str, key: str, pattern: str, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -10,19 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import order_statistics, quantiles
+
 
 def unit_series(df: DataFrame, unit: str, event: str, time: str) -> DataFrame:
     return df.groupBy(unit).agg(F.min(time).alias("first_time"), F.count_distinct(event).alias("events"), F.count("*").alias("rows"))
 
 
 def forecast_scores(df: DataFrame, actual: str, predicted: str, by: list[str], tolerance: float = 0.0) -> DataFrame:
-    """n, absolute and squared errors, bias, median, maximum, and the share of right signs where both lie beyond tolerance."""
+    """n, absolute and squared errors, bias, exact median, maximum, and the share of right signs where both lie beyond tolerance."""
     e, a, p = F.col(predicted) - F.col(actual), F.col(actual), F.col(predicted)
     sided = (F.abs(a) > tolerance) & (F.abs(p) > tolerance)
-    return df.where(a.isNotNull() & p.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.median(F.abs(e)).alias("median_ae"), F.max(F.abs(e)).alias("max_ae"),
+    known = df.where(a.isNotNull() & p.isNotNull())
+    scores = known.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.max(F.abs(e)).alias("max_ae"),
         F.try_divide(F.count_if(sided & (F.signum(a) == F.signum(p))), F.count_if(sided)).alias("directional"),
     )
+    middle = quantiles(known.select(*by, F.abs(e).alias("_e")), "_e", [0.5], by).withColumnRenamed("q0", "median_ae")
+    return scores.join(middle, by).select(*by, "n", "mae", "mse", "rmse", "bias", "median_ae", "max_ae", "directional")
 
 
 def mean_by_event(df: DataFrame, actual: str, predicted: str, event: str) -> DataFrame:
@@ -87,17 +92,32 @@ def chronological_split(df: DataFrame, unit: str, time: str, span: str, train: f
         raise ValueError("a split needs three units")
     n_train = min(max(int(n * train), 1), n - 2)
     n_val = min(max(int(n * validation), 1), n - n_train - 1)
-    # Units (events or clusters) are few beside rows; their order is one narrow sort.
-    at = F.row_number().over(W.orderBy("_start", unit))
-    folds = units.withColumn("_at", at).withColumn("fold", F.when(F.col("_at") <= n_train, "train").when(F.col("_at") <= n_train + n_val, "validation").otherwise("test"))
+    edges = _nth_units(units, unit, [n_train, n_train + n_val])
+    before = lambda e: (F.col("_start") < e[0]) | ((F.col("_start") == e[0]) & (F.col(unit) <= F.lit(e[1])))
+    folds = units.withColumn("fold", F.when(before(edges[0]), "train").when(before(edges[1]), "validation").otherwise("test"))
     starts = {r["fold"]: (r["a"], r["z"]) for r in folds.groupBy("fold").agg(F.min("_start").alias("a"), F.max("_start").alias("z")).collect()}
-    wait = embargo if embargo is not None else kept.agg(F.percentile(F.greatest(F.col(span), F.lit(0)), 0.95)).first()[0]
-    ends = F.col(time) + F.greatest(F.col(span), F.lit(0)) + F.lit(wait)
+    reach = F.greatest(F.col(span), F.lit(0))
+    wait = embargo if embargo is not None else quantiles(kept.select(reach.alias("_span")), "_span", [0.95]).first()[0]
+    ends = F.col(time) + reach + F.lit(wait)
     purged = F.when(F.col("fold") == "train", ends > starts["validation"][0]).when(F.col("fold") == "validation", ends > starts["test"][0]).otherwise(F.lit(False))
     cutoff = F.when(F.col("fold") == "test", starts["validation"][1]).otherwise(starts["train"][1])
     return kept.join(folds.select(unit, "fold"), unit).withColumn("purged", purged).withColumn("training_cutoff", cutoff)
 
 
+def _nth_units(units: DataFrame, unit: str, counts: list[int]) -> list[tuple]:
+    """(start, id) of the n-th unit by (start, id), for each n of counts: the start by an order statistic, the id among those of that start alone."""
+    spark = units.sparkSession
+    ranks = spark.createDataFrame([(i, n - 1) for i, n in enumerate(counts)], "i int, k long")
+    found = {r["i"]: r["value"] for r in order_statistics(units, "_start", ranks, []).collect()}
+    out = []
+    for i, n in enumerate(counts):
+        earlier = units.where(F.col("_start") < found[i]).count()
+        tied = units.where(F.col("_start") == found[i])
+        row = tied.withColumn("_at", F.row_number().over(W.partitionBy("_start").orderBy(unit))).where(F.col("_at") == n - earlier).first()
+        out.append((row["_start"], row[unit]))
+    return out
+
+
 def stable_seed(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), digest_size=8).digest(), "big")
 
@@ -157,7 +177,8 @@ def permutations_table(spark: SparkSession, units: list[tuple], repetitions: int
 
 def quantile_strata(df: DataFrame, value: str, parts: int = 4) -> DataFrame:
     """Adds stratum: right-closed quantile bins, equal limits merged, so ties share a bin."""
-    at = df.agg(F.percentile(value, [i / parts for i in range(1, parts)])).first()[0] or []
+    found = quantiles(df, value, [i / parts for i in range(1, parts)]).first()
+    at = list(found) if found else []
     limits = sorted(set(at))
     bin_of = F.lit(0)
     for x in limits:

@@ -49,20 +49,23 @@ def occurrence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.first_occurrences(e, ["venue", "occurrence"], ["ts", "event_id"], ["event_type"]).drop("ts")
 
 
-@query("""WITH h AS (SELECT DISTINCT event_type AS venue, epoch_us(date_trunc('hour', ts)) AS stamp FROM events WHERE user_id % 4 = 0), g AS (SELECT *, stamp - lag(stamp) OVER (PARTITION BY venue ORDER BY stamp) AS delta FROM h)
-SELECT venue, count(*) AS stamps, CAST(coalesce(sum(CASE WHEN delta > 3600000000 THEN delta // 3600000000 - 1 END), 0) AS BIGINT) AS missing, count(*) FILTER (WHERE delta % 3600000000 <> 0) AS off_grid, max(delta) AS widest FROM g GROUP BY venue""")
+@query("""WITH e AS (SELECT event_type AS venue, epoch_us(date_trunc('hour', ts)) AS stamp FROM events), h AS (SELECT DISTINCT venue, CASE WHEN stamp // 3600000000 % 7 = 3 THEN stamp - 3600000000 WHEN stamp // 3600000000 % 11 = 5 THEN stamp + 1800000000 ELSE stamp END AS stamp FROM e), g AS (SELECT *, stamp - lag(stamp) OVER (PARTITION BY venue ORDER BY stamp) AS delta FROM h)
+SELECT venue, count(*) AS stamps, CAST(coalesce(sum(CASE WHEN delta % 3600000000 = 0 AND delta > 3600000000 THEN delta // 3600000000 - 1 END), 0) AS BIGINT) AS missing, count(*) FILTER (WHERE delta % 3600000000 <> 0) AS off_grid, max(delta) AS widest FROM g GROUP BY venue""")
 def candle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = read(spark, sf_dir, "events").where("user_id % 4 = 0").select(F.col("event_type").alias("venue"), (F.floor(micros(F.col("ts")) / (3600 * SECOND)) * 3600 * SECOND).alias("stamp")).distinct()
+    """Hours at which a venue printed, with gaps and stamps off the grid planted by moving whole hours."""
+    hour = F.floor(micros(F.col("ts")) / (3600 * SECOND))
+    moved = F.when(hour % 7 == 3, (hour - 1) * 3600 * SECOND).when(hour % 11 == 5, hour * 3600 * SECOND + 1800 * SECOND).otherwise(hour * 3600 * SECOND)
+    h = read(spark, sf_dir, "events").select(F.col("event_type").alias("venue"), moved.alias("stamp")).distinct()
     gaps = sets.spacing(h, ["venue"], "stamp", 3600 * SECOND)
-    return gaps.groupBy("venue").agg(F.count("*").alias("stamps"), F.sum(F.size("missing")).alias("missing"), F.count_if("off_grid").alias("off_grid"), F.max("delta").alias("widest"))
+    return gaps.groupBy("venue").agg(F.count("*").alias("stamps"), F.sum("missing").alias("missing"), F.count_if("off_grid").alias("off_grid"), F.max("delta").alias("widest"))
 
 
 QUOTES = """q AS (SELECT l_partkey AS asset, l_suppkey AS venue, l_orderkey AS symbol, l_linenumber AS ord, l_discount / 100 AS rate, CASE WHEN l_linenumber % 4 <> 0 THEN l_tax - l_discount END AS apr, l_extendedprice / l_quantity AS price,
-  CASE WHEN l_returnflag = 'A' THEN 8.0 WHEN l_returnflag = 'N' THEN 4.0 END AS hours, CASE WHEN l_linestatus = 'F' THEN l_tax END AS paid FROM lineitem WHERE l_partkey % 10 = 1)"""
+  CASE WHEN l_returnflag = 'A' THEN 8.0 WHEN l_returnflag = 'N' THEN 4.0 END AS hours, CASE WHEN l_linestatus = 'F' THEN l_tax END AS paid FROM lineitem)"""
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").where("l_partkey % 10 = 1")
+    li = read(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("venue"), F.col("l_orderkey").alias("symbol"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("order"), (F.col("l_discount") / 100).alias("rate"),
         F.when(F.col("l_linenumber") % 4 != 0, F.col("l_tax") - F.col("l_discount")).alias("apr"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -78,7 +81,8 @@ def funding_differentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("asset").agg(F.count("*").alias("pairs"), F.round(F.max("apr_spread"), 8).alias("widest"), F.round(F.avg("apr_spread"), 8).alias("mean"), F.count("per_hour").alias("with_hours"), F.count("settled_30d").alias("settled"))
 
 
-@query(f"WITH {QUOTES} SELECT a.asset, count(*) AS pairs, round(max(abs(ln(a.price) - ln(b.price))), 8) AS widest FROM q a JOIN q b ON a.asset = b.asset AND (a.symbol, a.ord, a.venue) < (b.symbol, b.ord, b.venue) GROUP BY a.asset")
+@query(f"""WITH {QUOTES}, k AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY price, symbol, ord, venue) AS rn FROM q WHERE price > 0)
+SELECT a.asset, count(*) AS pairs, round(max(ln(b.price) - ln(a.price)), 8) AS widest FROM k a JOIN k b ON a.asset = b.asset AND a.rn < b.rn GROUP BY a.asset""")
 def cross_venue_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sets.cross_venue_basis(quotes(spark, sf_dir), ["asset"])
     return d.groupBy("asset").agg(F.count("*").alias("pairs"), F.round(F.max("basis"), 8).alias("widest"))
@@ -96,20 +100,36 @@ def interval_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.implied_interval(q).groupBy(F.col("interval_hours").alias("hours"), F.col("interval_refusal").alias("refusal")).agg(F.count("*").alias("quotes"))
 
 
-@query("""WITH l AS (SELECT p_partkey AS id, p_size % 7 <> 0 AS readable, p_brand AS underlying, p_size AS threshold, CASE WHEN p_partkey % 9 <> 0 THEN p_type END AS period, CASE WHEN p_partkey % 2 = 0 THEN 'pct' ELSE 'bps' END AS unit FROM part WHERE p_partkey % 2 = 0),
-r AS (SELECT p_partkey AS id, p_size % 7 <> 0 AS readable, p_brand AS underlying, CASE WHEN p_partkey % 3 = 0 THEN p_size * 100 ELSE p_size END AS threshold, p_type AS period, CASE WHEN p_partkey % 3 = 0 THEN 'bps' ELSE 'pct' END AS unit FROM part WHERE p_partkey % 2 = 1),
-v AS (SELECT l.id AS a, r.id AS b, l.readable AND r.readable AS ok, l.period IS NULL OR r.period IS NULL AS unseen, l.period <> r.period AS pd, CASE WHEN l.threshold = r.threshold AND l.unit = r.unit THEN 'equal'
-  WHEN abs(l.threshold * CASE l.unit WHEN 'pct' THEN 1.0 ELSE 0.01 END - r.threshold * CASE r.unit WHEN 'pct' THEN 1.0 ELSE 0.01 END) < 1e-9 THEN 'equivalent' ELSE 'differs' END AS tv FROM l JOIN r USING (underlying))
-SELECT CASE WHEN NOT ok OR unseen OR tv = 'differs' THEN 'REJECT' WHEN pd THEN 'APPROXIMATE' WHEN tv = 'equivalent' THEN 'ECONOMICALLY_EQUIVALENT' ELSE 'EXACT' END AS grade, count(*) AS pairs FROM v GROUP BY ALL""")
-def graded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+PREDICATES = """l AS (SELECT p_partkey AS id, p_size % 7 <> 0 AS readable, p_brand AS underlying_event, CASE WHEN p_partkey % 9 <> 0 THEN p_type END AS reference_period, CAST(p_size AS DOUBLE) AS threshold, CASE WHEN p_size % 2 = 0 THEN 'above' ELSE 'below' END AS operator, split_part(p_name, ' ', 1) AS settlement_criterion, p_size % 3 AS reference_horizon, 'pct' AS unit FROM part WHERE p_partkey % 2 = 0),
+r AS (SELECT p_partkey AS id, p_size % 7 <> 0 AS readable, p_brand AS underlying_event, p_type AS reference_period, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size * 100 ELSE p_size END AS DOUBLE) AS threshold, CASE WHEN p_size % 2 = 0 THEN 'above' ELSE 'below' END AS operator, split_part(p_name, ' ', 2) AS settlement_criterion, p_size % 3 AS reference_horizon, CASE WHEN p_partkey % 3 = 0 THEN 'bps' ELSE 'pct' END AS unit FROM part WHERE p_partkey % 2 = 1),
+v AS (SELECT l.id AS a, r.id AS b, l.readable AND r.readable AS ok, l.reference_period IS NULL AS unseen, l.reference_period <> r.reference_period AS pd, l.operator <> r.operator AS od, l.settlement_criterion <> r.settlement_criterion OR l.reference_horizon <> r.reference_horizon AS other, CASE WHEN l.threshold = r.threshold AND l.unit = r.unit THEN 'equal'
+  WHEN abs(l.threshold * CASE l.unit WHEN 'pct' THEN 1.0 ELSE 0.01 END - r.threshold * CASE r.unit WHEN 'pct' THEN 1.0 ELSE 0.01 END) < 1e-9 THEN 'equivalent' ELSE 'differs' END AS tv FROM l JOIN r USING (underlying_event)),
+g AS (SELECT *, CASE WHEN NOT ok OR unseen OR pd OR od OR tv = 'differs' THEN 'REJECT' WHEN tv = 'equivalent' THEN 'ECONOMICALLY_EQUIVALENT' WHEN other THEN 'APPROXIMATE' ELSE 'EXACT' END AS grade FROM v)"""
+
+
+def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair classes of two venues' predicates: even parts on the one, odd ones, some in another unit, on the other."""
     p, k, n = read(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size").cast("double")
-    both = [k.alias("id"), (F.col("p_size") % 7 != 0).alias("readable"), F.col("p_brand").alias("underlying")]
-    left = p.where(k % 2 == 0).select(*both, n.alias("threshold"), F.when(k % 9 != 0, F.col("p_type")).alias("period"), F.lit("pct").alias("unit"))
-    right = p.where(k % 2 == 1).select(*both, F.when(k % 3 == 0, n * 100).otherwise(n).alias("threshold"), F.col("p_type").alias("period"), F.when(k % 3 == 0, "bps").otherwise("pct").alias("unit"))
-    return sets.graded_pairs(left, right, ["threshold", "period"], ["threshold"], "threshold", {"pct": 1.0, "bps": 0.01}).groupBy("grade").agg(F.count("*").alias("pairs"))
+    word = F.split("p_name", " ")
+    both = [k.alias("id"), (F.col("p_size") % 7 != 0).alias("readable"), F.col("p_brand").alias("underlying_event"), F.when(F.col("p_size") % 2 == 0, "above").otherwise("below").alias("operator"), (F.col("p_size") % 3).alias("reference_horizon")]
+    left = p.where(k % 2 == 0).select(*both, n.alias("threshold"), F.when(k % 9 != 0, F.col("p_type")).alias("reference_period"), word[0].alias("settlement_criterion"), F.lit("pct").alias("unit"))
+    right = p.where(k % 2 == 1).select(*both, F.when(k % 3 == 0, n * 100).otherwise(n).alias("threshold"), F.col("p_type").alias("reference_period"), F.coalesce(F.get(word, F.lit(1)), F.lit("")).alias("settlement_criterion"), F.when(k % 3 == 0, "bps").otherwise("pct").alias("unit"))
+    return sets.graded_classes(left, right, list(sets.COMPONENTS), list(sets.REQUIRED_COMPONENTS), "threshold", {"pct": 1.0, "bps": 0.01}, "underlying_event")
+
+
+@query(f"WITH {PREDICATES} SELECT grade, count(*) AS pairs FROM g GROUP BY ALL")
+def graded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sets.registry_counts(predicates(spark, sf_dir))[0]
+
+
+@query(f"""WITH {PREDICATES}, x AS (SELECT unnest(list_filter([CASE WHEN NOT ok THEN 'unreadable' END, CASE WHEN unseen THEN 'reference_period_unobserved' END, CASE WHEN pd THEN 'reference_period_differs' END, CASE WHEN tv = 'differs' THEN 'threshold_differs' END, CASE WHEN od THEN 'operator_differs' END], lambda y: y IS NOT NULL)) AS reason FROM g)
+SELECT reason, count(*) AS pairs FROM x GROUP BY reason""")
+def grade_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by each reason of a rejection; a pair counts under all of its reasons."""
+    return sets.registry_counts(predicates(spark, sf_dir))[1]
 
 
-@query("""WITH c AS (SELECT o_orderkey AS contract, o_orderkey % 12 AS date, o_custkey % 20 AS strike, o_orderkey % 7 AS opened, CASE WHEN o_orderkey % 5 <> 0 THEN 8 + o_orderkey % 60 END AS closed, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 9 END AS vf, CASE WHEN o_orderkey % 2 = 0 THEN 20 + o_orderkey % 60 END AS vt FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 12 <> 6),
+@query("""WITH c AS (SELECT o_orderkey AS contract, CASE o_orderkey % 12 WHEN 6 THEN 7 ELSE o_orderkey % 12 END AS date, o_custkey % 20 AS strike, o_orderkey % 7 AS opened, CASE WHEN o_orderkey % 5 <> 0 THEN 8 + o_orderkey % 60 END AS closed, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 9 END AS vf, CASE WHEN o_orderkey % 2 = 0 THEN 20 + o_orderkey % 60 END AS vt FROM orders),
 cal AS (SELECT date, date * 4 AS origin, date * 4 + 3 AS we, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT unnest(range(12)) AS date)),
 r AS (SELECT c.*, origin, we, prev FROM c JOIN cal USING (date)),
 m AS (SELECT r.contract, count(d.contract) AS same, count(d.contract) FILTER (WHERE d.opened <= origin AND coalesce(d.closed > origin AND d.closed > we, true)) AS live, min(d.contract) FILTER (WHERE d.opened <= origin AND coalesce(d.closed > origin AND d.closed > we, true) AND coalesce(d.vf <= origin, false) AND coalesce(we < d.vt, true)) AS donor
@@ -119,8 +139,8 @@ SELECT contract, date, reason, CASE WHEN reason IS NULL THEN donor END AS donor
 FROM r JOIN m USING (contract))""")
 def neighbor_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    c = read(spark, sf_dir, "orders").where((k % 3 == 0) & (k % 12 != 6)).select(
-        k.alias("contract"), (k % 12).alias("date"), (F.col("o_custkey") % 20).alias("strike"), (k % 7).alias("opened"), F.when(k % 5 != 0, 8 + k % 60).alias("closed"), F.when(k % 11 != 0, k % 9).alias("verified_from"), F.when(k % 2 == 0, 20 + k % 60).alias("verified_to")
+    c = read(spark, sf_dir, "orders").select(
+        k.alias("contract"), F.when(k % 12 == 6, 7).otherwise(k % 12).alias("date"), (F.col("o_custkey") % 20).alias("strike"), (k % 7).alias("opened"), F.when(k % 5 != 0, 8 + k % 60).alias("closed"), F.when(k % 11 != 0, k % 9).alias("verified_from"), F.when(k % 2 == 0, 20 + k % 60).alias("verified_to")
     )
     cal = spark.range(12).select(F.col("id").alias("date"), (F.col("id") * 4).alias("origin"), (F.col("id") * 4 + 3).alias("window_end"))
     return sets.neighbor_edges(c, cal, ["strike"])

@@ -21,7 +21,7 @@ SETTINGS = panel.PanelSettings(12 * HOUR, 24 * HOUR, 12 * HOUR, 12 * HOUR, (1 *
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("trade_id"), F.col("user_id").alias("contract"), micros(F.col("ts")).alias("time"), F.least(F.col("value") / 400, F.lit(1.0)).alias("price"), F.when(F.col("event_id") % 11 != 0, "yes").alias("axis")
+        F.col("event_id").alias("trade_id"), F.col("user_id").alias("contract"), micros(F.col("ts")).alias("time"), F.least(F.col("value") / 400, F.lit(1.0)).alias("price"), F.when(F.col("event_id") % 11 != 0, F.when(F.col("event_id") % 29 == 0, "no").otherwise("yes")).alias("axis")
     )
 
 
@@ -41,7 +41,7 @@ def built(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRINTS = """prints AS (
-  SELECT event_id AS trade_id, user_id AS contract, epoch_us(ts) AS time, least(value / 400, 1.0) AS price, CASE WHEN event_id % 11 <> 0 THEN 'yes' END AS axis FROM events
+  SELECT event_id AS trade_id, user_id AS contract, epoch_us(ts) AS time, least(value / 400, 1.0) AS price, CASE WHEN event_id % 11 <> 0 THEN CASE WHEN event_id % 29 = 0 THEN 'no' ELSE 'yes' END END AS axis FROM events
 ), releases AS (
   SELECT i AS event_id, 1704110400000000 + i * 86400000000 AS "at", i % 10 <> 9 AS rule_known, i % 13 = 12 AS closed_before FROM range(30) t(i)
 ), declared AS (
@@ -52,23 +52,23 @@ PANEL = f"""{PRINTS}, near AS (
 ), pre AS (
   SELECT *, max(time) OVER (PARTITION BY event_id, contract) AS top FROM near WHERE time < "at"
 ), base AS (
-  SELECT event_id, contract, max(time) AS baseline_time, avg(price) FILTER (WHERE time = top) AS baseline, count(*) AS n_pre FROM pre GROUP BY ALL
+  SELECT event_id, contract, max(time) AS baseline_time, avg(price) FILTER (WHERE time = top) AS baseline, string_agg(CAST(trade_id AS VARCHAR), ',' ORDER BY trade_id) FILTER (WHERE time = top) AS baseline_ids, count(*) AS n_pre,
+    count(*) FILTER (WHERE time = top AND axis IS NULL) AS unset_pre, min(axis) FILTER (WHERE time = top) AS low_pre, max(axis) FILTER (WHERE time = top) AS high_pre FROM pre GROUP BY ALL
 ), post AS (
   SELECT n.*, h.horizon, max(time) OVER (PARTITION BY event_id, contract, horizon) AS top
   FROM near n JOIN (SELECT unnest([3600000000, 21600000000, 43200000000, 86400000000]) AS horizon) h ON n.time > n."at" AND n.time - n."at" <= h.horizon
 ), ends AS (
-  SELECT event_id, contract, horizon, max(time) AS endpoint_time, avg(price) FILTER (WHERE time = top) AS endpoint, count(*) AS n_post FROM post GROUP BY ALL
-), axes AS (
-  SELECT event_id, contract, count(DISTINCT axis) AS axes, count(*) FILTER (WHERE axis IS NULL) AS no_axis FROM near WHERE time <> "at" GROUP BY ALL
+  SELECT event_id, contract, horizon, max(time) AS endpoint_time, avg(price) FILTER (WHERE time = top) AS endpoint, count(*) AS n_post,
+    count(*) FILTER (WHERE time = top AND axis IS NULL) AS unset_post, min(axis) FILTER (WHERE time = top) AS low_post, max(axis) FILTER (WHERE time = top) AS high_post FROM post GROUP BY ALL
 ), grid AS (
   SELECT d.*, h.horizon FROM declared d, (SELECT unnest([3600000000, 21600000000, 43200000000, 86400000000]) AS horizon) h
 ), panel AS (
   SELECT g.event_id, g.contract, g.horizon, baseline_time, baseline, coalesce(n_pre, 0) AS n_pre, endpoint, coalesce(n_post, 0) AS n_post,
     CASE WHEN NOT rule_known THEN 'rule_evidence_missing' WHEN closed_before THEN 'closed_before_release' WHEN baseline_time IS NULL THEN 'missing_baseline'
       WHEN "at" - baseline_time > 43200000000 THEN 'stale_baseline' WHEN endpoint_time IS NULL THEN 'no_post_release_trade'
-      WHEN "at" + g.horizon - endpoint_time > 43200000000 OR g.horizon > 86400000000 THEN 'endpoint_beyond_cap' WHEN no_axis > 0 OR axes > 1 THEN 'mixed_axis' END AS exclusion_reason,
+      WHEN "at" + g.horizon - endpoint_time > 43200000000 OR g.horizon > 86400000000 THEN 'endpoint_beyond_cap' WHEN coalesce(unset_pre, 0) + coalesce(unset_post, 0) > 0 OR least(low_pre, low_post) < greatest(high_pre, high_post) THEN 'mixed_axis' END AS exclusion_reason,
     exclusion_reason IS NULL AS valid, CASE WHEN exclusion_reason IS NULL THEN endpoint - baseline END AS response
-  FROM grid g LEFT JOIN base USING (event_id, contract) LEFT JOIN ends e ON e.event_id = g.event_id AND e.contract = g.contract AND e.horizon = g.horizon LEFT JOIN axes a ON a.event_id = g.event_id AND a.contract = g.contract
+  FROM grid g LEFT JOIN base USING (event_id, contract) LEFT JOIN ends e ON e.event_id = g.event_id AND e.contract = g.contract AND e.horizon = g.horizon
 )"""
 
 
@@ -103,10 +103,16 @@ def panel_count_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.panel_counts(built(spark, sf_dir)).withColumn("valid_share", F.round("valid_share", 8))
 
 
-@query(f"WITH {PANEL}, one AS (SELECT event_id, horizon, CASE WHEN count(endpoint) = count(*) THEN count(*) FILTER (WHERE endpoint > baseline) END AS risen, count(*) AS pairs FROM panel WHERE event_id < 5 GROUP BY ALL) SELECT * FROM one")
+@query(f"WITH {PANEL}, one AS (SELECT event_id, horizon, CASE WHEN count(endpoint) = count(*) THEN count(*) FILTER (WHERE endpoint > baseline) END AS risen, count(*) AS pairs FROM panel GROUP BY ALL) SELECT * FROM one")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = built(spark, sf_dir).where("event_id < 5")
-    return rows.groupBy("event_id", "horizon").agg(unknown_if_any(F.col("endpoint"), F.col("endpoint") > F.col("baseline")).alias("risen"), F.count("*").alias("pairs"))
+    return built(spark, sf_dir).groupBy("event_id", "horizon").agg(unknown_if_any(F.col("endpoint"), F.col("endpoint") > F.col("baseline")).alias("risen"), F.count("*").alias("pairs"))
+
+
+@query(f"WITH {PANEL} SELECT event_id, contract, baseline_ids FROM base JOIN declared USING (event_id, contract)")
+def baseline_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prints behind each declared baseline, ties and all."""
+    rows = built(spark, sf_dir).where(f"horizon = {SETTINGS.horizons[0]} and baseline_time is not null")
+    return rows.select("event_id", "contract", F.array_join(F.transform("baseline_ids", lambda i: i.cast("string")), ",").alias("baseline_ids"))
 
 
 @query(f"WITH {PANEL} SELECT g.event_id, h.horizon FROM (SELECT DISTINCT event_id FROM panel) g, (SELECT DISTINCT horizon FROM panel) h WHERE NOT EXISTS (FROM panel p WHERE p.event_id = g.event_id AND p.horizon = h.horizon AND p.valid)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, times
 from ..operators import absorption as paths
-from ..operators import models, replay, simulate, stats
+from ..operators import models, quantiles, replay, simulate, stats
 from .panels import PANEL, built
 from .registry import query, read
 
@@ -92,7 +92,9 @@ def trailing_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     last = e.agg(F.max("ts").alias("z"))
     near = e.join(F.broadcast(last), F.col("ts") > F.col("z") - F.expr("INTERVAL 3 DAYS"))
-    return near.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.median("value"), 6).alias("mid"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    middle = quantiles.quantiles(near, "value", [0.5], ["event_type"])
+    ends = near.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+    return ends.join(middle, "event_type").select("event_type", "n", "low", F.round("q0", 6).alias("mid"), "high", "mean")
 
 
 @query("""SELECT l_partkey AS partkey, max(l_discount) AS best_bid, min(l_tax) AS best_ask, max(l_discount) <= min(l_tax) AS feasible, count(*) FILTER (WHERE l_discount > l_tax) AS crossed FROM lineitem GROUP BY 1""")
@@ -186,32 +188,82 @@ def coherence_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.coherence(li.select(F.col("l_suppkey").alias("suppkey"), unit.alias("payouts"), (F.col("rung") * 0.2 + F.col("d")).alias("bid"), (F.col("rung") * 0.2 + F.col("d") + F.col("t")).alias("ask")), ["suppkey"])
 
 
+NUMBERED = """n AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_type, event_id) AS n FROM events), e AS (
+  SELECT CAST(user_id % 10 AS VARCHAR) AS venue, event_id AS record_id, event_type AS contract, CASE WHEN n <= 5 OR event_id % 97 = 0 THEN 'snapshot' WHEN event_id % 211 = 0 THEN 'halt' WHEN event_id % 307 = 0 THEN 'disconnect' ELSE 'delta' END AS kind,
+    CASE WHEN event_id % 307 <> 0 OR event_id % 97 = 0 OR n <= 5 OR event_id % 211 = 0 THEN n + n // 13 END AS sequence, t, t + event_id % 3 * 7200000000 AS usable, n FROM n)"""
+
+
 def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book per event type; a scope per venue of ten users; every 13th number is skipped."""
+    """A book per event type; a scope per venue of ten users; every 13th number is skipped, disconnects have none."""
     e = read(spark, sf_dir, "events")
-    n = F.row_number().over(W.partitionBy(F.pmod("user_id", F.lit(10))).orderBy("ts", "event_id"))
+    n = F.row_number().over(W.partitionBy(F.pmod("user_id", F.lit(10))).orderBy("ts", "event_type", "event_id"))
     e = e.withColumn("n", n.cast("long")).withColumn("t", times.micros(F.col("ts")))
     kind = F.when((F.col("n") <= 5) | (F.col("event_id") % 97 == 0), "snapshot").when(F.col("event_id") % 211 == 0, "halt").when(F.col("event_id") % 307 == 0, "disconnect").otherwise("delta")
     price = F.round(F.col("value") / 400, 2)
     side = F.when(F.col("event_id") % 2 == 0, "bid").otherwise("ask")
     return e.select(
-        F.pmod("user_id", F.lit(10)).cast("string").alias("venue"), F.lit("c1").alias("connection_id"), F.lit("s").alias("scope"), F.col("event_id").alias("record_id"), F.col("event_type").alias("contract"), kind.alias("kind"), (F.col("n") + F.floor(F.col("n") / 13)).alias("sequence"),
+        F.pmod("user_id", F.lit(10)).cast("string").alias("venue"), F.lit("c1").alias("connection_id"), F.lit("s").alias("scope"), F.col("event_id").alias("record_id"), F.col("event_type").alias("contract"), kind.alias("kind"), F.when(kind != "disconnect", F.col("n") + F.floor(F.col("n") / 13)).alias("sequence"),
         F.when(F.col("event_id") % 5 == 0, "delete").when(F.col("event_id") % 5 == 1, "increment").otherwise("replace").alias("operation"), side.alias("side"), (F.when(side == "bid", price / 2).otherwise(0.5 + price / 2)).alias("price"), F.lit(5.0).alias("size"),
         F.lit('{"bids": [[0.4, 10.0]], "asks": [[0.6, 10.0]]}').alias("levels"), F.col("t").alias("source_time"), (F.col("t") + F.col("event_id") % 3 * 7200 * times.SECOND).alias("usable_time"),
     )
 
 
-@query()
+@query(f"""WITH {NUMBERED}, a AS (SELECT *, lag(sequence IGNORE NULLS) OVER w AS before FROM e WINDOW w AS (PARTITION BY venue ORDER BY n)),
+b AS (SELECT *, CASE WHEN sequence > before + 1 THEN 'sequence_gap' END AS issue, CASE WHEN sequence > before + 1 THEN sequence - before - 1 ELSE 0 END AS missing FROM a),
+g AS (SELECT *, CAST(sum(CASE WHEN issue IS NOT NULL OR kind = 'disconnect' THEN 1 ELSE 0 END) OVER (PARTITION BY venue ORDER BY n) AS INT) AS generation,
+  max(CASE WHEN kind = 'snapshot' THEN n END) OVER (PARTITION BY venue ORDER BY n) AS any_snapshot, max(CASE WHEN kind = 'disconnect' THEN n END) OVER (PARTITION BY venue ORDER BY n) AS cut, max(CASE WHEN issue IS NOT NULL THEN n END) OVER (PARTITION BY venue ORDER BY n) AS jump,
+  max(CASE WHEN kind = 'snapshot' THEN n END) OVER (PARTITION BY venue, contract ORDER BY n) AS own_snapshot, max(CASE WHEN kind = 'halt' THEN n END) OVER (PARTITION BY venue, contract ORDER BY n) AS halt, min(n) OVER (PARTITION BY venue, contract) AS first FROM b),
+s AS (SELECT g.*, x.generation AS own FROM g LEFT JOIN g x ON x.venue = g.venue AND x.n = g.own_snapshot)
+SELECT venue, record_id, issue, missing, generation, CASE WHEN coalesce(cut, 0) > coalesce(any_snapshot, 0) THEN 'disconnected' WHEN own IS DISTINCT FROM generation THEN CASE WHEN coalesce(jump, 0) > coalesce(any_snapshot, 0) OR own IS NOT NULL THEN 'gap'
+    WHEN greatest(coalesce(jump, 0), coalesce(cut, 0)) < first THEN 'unseen' WHEN coalesce(jump, 0) > coalesce(cut, 0) THEN 'gap' ELSE 'disconnected' END
+  WHEN coalesce(halt, 0) > own_snapshot THEN 'halted' ELSE 'open' END AS validity FROM s""")
 def book_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(book_events(spark, sf_dir), "source_time")
+    """The fold's numbers, generations and validity; whether a book is crossed depends on its levels and counts as open, why one was never seen as unseen."""
+    state = F.when(F.col("validity").isin("valid", "crossed"), "open").when(F.col("validity") == "awaiting_snapshot", "unseen").otherwise(F.col("validity"))
+    quotes = replay.replay(book_events(spark, sf_dir), "source_time")
+    return quotes.select("venue", "record_id", "issue", "missing", "generation", state.alias("validity"))
+
+
+# A stream of one scope: (contract, kind, sequence, operation, side, price, size), and what the fold gives after each: (bid, ask, validity, issue).
+CASES = (
+    ("A", "snapshot", 1, None, None, None, None), ("B", "snapshot", 2, None, None, None, None), ("A", "delta", 3, "replace", "bid", 0.51, 4.0), ("B", "delta", 4, "increment", "bid", 0.4, -10.0), ("A", "delta", 5, "delete", "ask", 0.6, None),
+    ("A", "delta", 9, "replace", "bid", 0.3, 1.0), ("B", "snapshot", 10, None, None, None, None), ("B", "delta", 10, "replace", "bid", 0.45, 1.0), ("B", "delta", 8, "replace", "bid", 0.1, 1.0), ("A", "delta", 11, "replace", "ask", 0.5, 1.0),
+    ("A", "snapshot", 12, None, None, None, None), ("A", "halt", 13, None, None, None, None), ("A", "delta", 14, "replace", "ask", 0.39, 1.0), ("B", "disconnect", None, None, None, None, None), ("A", "delta", None, "replace", "bid", 0.2, 1.0),
+    ("C", "delta", 15, "replace", "bid", 0.2, 1.0), ("A", "snapshot", 2, None, None, None, None), ("A", "delta", 16, "replace", "ask", 0.39, 1.0), ("A", "close", 17, None, None, None, None), ("A", "snapshot", 18, None, None, None, None),
+)
+
+
+@query("""SELECT record_id, CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, validity, issue, generation FROM (VALUES (0, 0.4, 0.6, 'valid', NULL, 0), (1, 0.4, 0.6, 'valid', NULL, 0), (2, 0.51, 0.6, 'valid', NULL, 0), (3, NULL, 0.6, 'valid', NULL, 0), (4, 0.51, NULL, 'valid', NULL, 0), (5, 0.51, NULL, 'gap', 'sequence_gap', 1), (6, 0.4, 0.6, 'valid', NULL, 1),
+  (7, 0.4, 0.6, 'valid', 'duplicate_sequence', 1), (8, 0.4, 0.6, 'valid', 'stale_sequence', 1), (9, 0.51, 0.5, 'gap', NULL, 1), (10, 0.4, 0.6, 'valid', NULL, 1), (11, 0.4, 0.6, 'halted', NULL, 1), (12, 0.4, 0.39, 'halted', NULL, 1), (13, 0.4, 0.6, 'disconnected', NULL, 2), (14, 0.4, 0.39, 'disconnected', NULL, 2),
+  (15, 0.2, NULL, 'disconnected', NULL, 2), (16, 0.4, 0.6, 'valid', NULL, 2), (17, 0.4, 0.39, 'crossed', NULL, 2), (18, 0.4, 0.39, 'closed', NULL, 2), (19, 0.4, 0.6, 'closed', NULL, 2)) t(record_id, bid, ask, validity, issue, generation)""")
+def book_fold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels, best prices and validity after each event of a fixed stream."""
+    spec = "venue string, connection_id string, scope string, record_id long, contract string, kind string, sequence long, operation string, side string, price double, size double, levels string, source_time long, usable_time long"
+    levels = '{"bids": [[0.4, 10.0]], "asks": [[0.6, 10.0]]}'
+    rows = [("v", "c", "s", i, *x, levels if x[1] == "snapshot" else None, i * times.SECOND, i * times.SECOND) for i, x in enumerate(CASES)]
+    return replay.replay(spark.createDataFrame(rows, spec), "usable_time").select(F.col("record_id").cast("int").alias("record_id"), "bid", "ask", "validity", "issue", "generation")
+
+
+@query(f"""WITH {NUMBERED}, k AS (SELECT venue, record_id, t, usable FROM e) SELECT a.venue, CAST((SELECT count(*) FROM k c WHERE c.venue = a.venue) AS BIGINT) AS shared, count(*) AS inversions
+FROM k a JOIN k b ON a.venue = b.venue AND (a.t, a.record_id) < (b.t, b.record_id) AND (a.usable, a.record_id) > (b.usable, b.record_id) GROUP BY a.venue""")
+def replay_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of a venue's events swap places between the two orders."""
+    return replay.inversions(book_events(spark, sf_dir), "source_time", "usable_time").select("venue", "shared", "inversions")
 
 
 @query()
 def replay_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.compare_orders(book_events(spark, sf_dir), "source_time", "usable_time").groupBy("venue", "same").agg(F.count("*").alias("records"))
+    return replay.compare_orders(book_events(spark, sf_dir), "source_time", "usable_time").groupBy("venue", "side", "same").agg(F.count("*").alias("records"))
+
+
+@query(f"""WITH {NUMBERED}, a AS (SELECT *, lag(sequence IGNORE NULLS) OVER (PARTITION BY venue ORDER BY n) AS before FROM e)
+SELECT venue, count(*) AS quotes, count(DISTINCT contract) AS contracts, count(*) FILTER (WHERE sequence > before + 1 OR kind = 'disconnect') AS gaps, CAST(sum(CASE WHEN sequence > before + 1 THEN sequence - before - 1 ELSE 0 END) AS BIGINT) AS missing, min(t) AS first_time, max(t) AS last_time FROM a GROUP BY venue""")
+def replay_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = replay.coverage(replay.replay(book_events(spark, sf_dir), "source_time"))
+    return covered.select("venue", "quotes", "contracts", "gaps", "missing", "first_time", "last_time")
 
 
-@query("""WITH n AS (SELECT CAST(user_id % 10 AS VARCHAR) AS venue, event_id AS record_id, ts, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events), s AS (SELECT *, n + n // 13 AS sequence FROM n), b AS (SELECT *, max(sequence) OVER (PARTITION BY venue ORDER BY ts, sequence, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+@query(f"""WITH {NUMBERED}, b AS (SELECT *, max(sequence) OVER (PARTITION BY venue ORDER BY t, contract, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e WHERE sequence IS NOT NULL)
 SELECT venue, record_id, before, sequence FROM b WHERE sequence > before + 1""")
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.sequence_gaps(book_events(spark, sf_dir), "source_time").select("venue", "record_id", "before", "sequence")

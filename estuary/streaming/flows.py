@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.replay import QUOTE, SCOPE, stream_fold
+from ..operators.replay import EVENT_COLUMNS, QUOTE, SCOPE, ordered, stream_fold
 
 
 def book_quotes(events: DataFrame, order: str = "usable_time") -> DataFrame:
     """A stream of book events as a stream of quotes. Events of a scope are folded in the order they become available; what comes
     later than its successors is an issue of the fold, not dropped."""
-    rows = events.withColumn("time", F.col(order)).select(*SCOPE, "record_id", "contract", "kind", "sequence", "operation", "side", "price", "size", "levels", "time")
-    return rows.groupBy(*SCOPE).applyInPandasWithState(stream_fold, QUOTE, "state string", "append", "NoTimeout")
+    return ordered(events, order).select(*SCOPE, *EVENT_COLUMNS).groupBy(*SCOPE).applyInPandasWithState(stream_fold, QUOTE, "state string", "append", "NoTimeout")
 
 
 def candles(events: DataFrame, at: str, keys: list[str], value: str, width: str, late: str) -> DataFrame:

@@ -60,8 +60,13 @@ def test_union_by_precedence(spark):
 
 def test_spacing(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 60, 240, 250)], "k string, t long")
-    got = {r["t"]: (r["off_grid"], r["missing"]) for r in sets.spacing(df, ["k"], "t", 60).collect()}
-    assert got == {0: (False, []), 60: (False, []), 240: (False, [120, 180]), 250: (True, [])}
+    for bucket in (100, 10_000):
+        spaced = sets.spacing(df, ["k"], "t", 60, bucket)
+        assert {r["t"]: (r["off_grid"], r["missing"]) for r in spaced.collect()} == {0: (False, 0), 60: (False, 0), 240: (False, 2), 250: (True, 0)}
+    assert sorted(r["stamp"] for r in sets.missing_stamps(spaced, ["k"], "t", 60).collect()) == [120, 180]
+    whole = sets.spacing(df.where("t < 100"), ["k"], "t", 60)
+    assert [tuple(r)[1:] for r in sets.window_ends(whole, ["k"], "t", 60, 0, 60).collect()] == [(0, 0, True)]
+    assert [tuple(r)[1:] for r in sets.window_ends(whole, ["k"], "t", 60, -120, 200).collect()] == [(2, 2, False)]
 
 
 def book(spark, rows):
@@ -76,8 +81,8 @@ STEPS = [
     ("m", "delta", 11, "replace", "bid", 0.61, 1.0), ("m", "close", None, None, None, None, None), ("m", "snapshot", 12, None, None, None, None),
 ]
 WANT = [
-    (None, None, "awaiting_snapshot", "sequence_baseline_missing"), (0.4, 0.6, "valid", None), (0.45, 0.6, "valid", None), (0.4, 0.6, "valid", None), (0.4, None, "valid", None), (0.4, 0.6, "valid", None), (0.4, 0.7, "gap", "sequence_gap"),
-    (0.4, 0.6, "valid", None), (0.4, 0.6, "valid", "sequence_duplicate"), (0.4, 0.6, "valid", "sequence_stale"), (0.4, 0.6, "halted", None), (0.61, 0.6, "halted", None), (0.61, 0.6, "closed", None), (0.4, 0.6, "closed", None),
+    (None, None, "gap", "sequence_baseline_missing"), (0.4, 0.6, "valid", None), (0.45, 0.6, "valid", None), (0.4, 0.6, "valid", None), (0.4, None, "valid", None), (0.4, 0.6, "valid", None), (0.4, 0.7, "gap", "sequence_gap"),
+    (0.4, 0.6, "valid", None), (0.4, 0.6, "valid", "duplicate_sequence"), (0.4, 0.6, "valid", "stale_sequence"), (0.4, 0.6, "halted", None), (0.61, 0.6, "halted", None), (0.61, 0.6, "closed", None), (0.4, 0.6, "closed", None),
 ]
 
 
@@ -159,10 +164,15 @@ def test_text_and_times(spark):
     L = F.lit
     assert tuple(one(spark, *[text.figure(L(x)) for x in ("$1.2B", "3.4K", "-", "1,250")], text.percent(L("+0.98%")), text.percent(L("-")))) == (1.2e9, 3400.0, None, 1250.0, pytest.approx(0.0098), None)
     assert tuple(one(spark, *[text.strict_decimal(L(x)).cast("string") for x in ("1.5", "NaN", "1e5")])) == ("1.500000000000", None, None)
-    got = one(spark, *[text.payout_predicate(L(s), L("target federal funds rate")) for s in ("Above 4.25%", "3% or below", "No change", "Cut >25 bps", "who knows")])
+    texts = ("Above 4.25%", "3% or below", "No change", "Cut >25 bps", "Hike 50 bps", "who knows", "Cut 25 bps or more", "Above 4% or so", "Fed maintains rate")
+    got = one(spark, *[text.payout_predicate(L(s), L("target federal funds rate")) for s in texts])
     assert [(g["subject"], g["threshold"], g["inequality"], g["orientation"], g["refusal"]) for g in got] == [
-        ("target_level", 4.25, "above", 1, None), ("target_level", 3.0, "below", -1, None), ("change", 0.0, None, 1, None), ("change", -25.0, "above", 1, None), (None, None, None, None, "unreadable_predicate")
+        ("target_level", 4.25, "above", 1, None), ("target_level", 3.0, "below", -1, None), ("change", 0.0, None, 1, None), ("change", -25.0, "below", 1, None), ("change", 50.0, None, 1, None),
+        *[(None, None, None, None, text.TEXT_UNREADABLE)] * 3, ("change", 0.0, None, 1, None),
     ]
+    assert one(spark, text.payout_predicate(L("Above 4%"), L("a rate")))[0]["refusal"] == text.SUBJECT_UNREADABLE
+    calendar = F.create_map(L("2026-03"), L("2026-03-18"))
+    assert [tuple(x) for x in one(spark, *[text.decision_date(L(x), calendar) for x in ("FED-26MAR", "FED-26APR", "FED-26XXX", "odd")])] == [("2026-03-18", None)] + [(None, text.MONTH_UNKNOWN)] * 3
     assert one(spark, text.sentence_at(L("One. Two here! Three."), L(8)))[0] == "Two here!"
     doc = L('{"a": [{"b/c": 1}]}')
     assert tuple(one(spark, text.json_pointer(doc, L("/a/0/b~1c")), text.json_pointer(doc, L("/a/1")))) == ("1", None)
@@ -229,3 +239,97 @@ def test_simulator_is_deterministic(spark):
     assert a == simulate.simulated(spark, "communication", 50, 9).repartition(7).orderBy("event_id").collect()
     rates = {r["scenario"]: r["rate"] for r in simulate.detections(spark, ["null", "communication"], 20, 150, 1).collect()}
     assert rates["null"] <= 0.2 and rates["communication"] >= 0.8
+
+
+def test_later_prints_leave_earlier_horizons_alone(spark):
+    at, second = 1_000_000_000, 1_000_000
+    prints = [(1, "m", at - 5 * second, 0.5, "yes"), (2, "m", at + 5 * second, 0.6, "yes"), (3, "m", at + 50 * second, 0.7, None), (4, "n", at - 5 * second, 0.5, "yes"), (5, "n", at + 5 * second, 0.6, "no")]
+    trades = spark.createDataFrame(prints, "trade_id long, contract string, time long, price double, axis string")
+    events = spark.createDataFrame([(1, at, True, False)], "event_id long, at long, rule_known boolean, closed_before boolean")
+    declared = spark.createDataFrame([(1, "m"), (1, "n"), (1, "o")], "event_id long, contract string")
+    settings = panel.PanelSettings(60 * second, 60 * second, 60 * second, 60 * second, (10 * second, 60 * second))
+    got = {(r["contract"], r["horizon"] // second): (r["exclusion_reason"], r["baseline_ids"]) for r in panel.trade_panel(trades, events, declared, settings).collect()}
+    assert got == {("m", 10): (None, [1]), ("m", 60): ("mixed_axis", [1]), ("n", 10): ("mixed_axis", [4]), ("n", 60): ("mixed_axis", [4]), ("o", 10): ("missing_baseline", None), ("o", 60): ("missing_baseline", None)}
+    with pytest.raises(ValueError, match="without a declared"):
+        panel.trade_panel(trades, events, declared.limit(0), settings)
+
+
+def fold(spark, rows, trades=None):
+    got = replay.replay(book(spark, rows), "source_time", trades).orderBy("record_id").collect()
+    return [(r["contract"], r["bid"], r["validity"], r["issue"], r["missing"]) for r in got]
+
+
+def test_a_disconnect_ends_the_scope(spark):
+    snap, bid = lambda m, n: (m, "snapshot", n, None, None, None, None), lambda m, n: (m, "delta", n, "replace", "bid", 0.45, 1.0)
+    assert fold(spark, [snap("m", 1), snap("n", 2), ("m", "disconnect", None, None, None, None, None), bid("n", None), bid("m", None), snap("m", 3), bid("n", 4), snap("n", 5)]) == [
+        ("m", 0.4, "valid", None, 0), ("n", 0.4, "valid", None, 0), ("m", 0.4, "disconnected", None, 0), ("n", 0.4, "disconnected", None, 0), ("m", 0.4, "disconnected", None, 0), ("m", 0.4, "valid", None, 0), ("n", 0.45, "gap", None, 0), ("n", 0.4, "valid", None, 0),
+    ]
+
+
+def test_halts_and_closes_have_numbers(spark):
+    still = lambda kind, n: ("m", kind, n, None, None, None, None)
+    assert [x[2:] for x in fold(spark, [still("snapshot", 1), still("halt", 2), ("m", "delta", 3, "replace", "bid", 0.41, 1.0), still("snapshot", 4), still("close", 5), ("m", "delta", 6, "replace", "bid", 0.42, 1.0), still("halt", 9)])] == [
+        ("valid", None, 0), ("halted", None, 0), ("halted", None, 0), ("valid", None, 0), ("closed", None, 0), ("closed", None, 0), ("closed", "sequence_gap", 2),
+    ]
+
+
+def test_trades_mark_books_and_set_no_side(spark):
+    trades = spark.createDataFrame([("v", "m", 100, 5, None), ("v", "m", 101, 25, 7), ("w", "m", 102, 25, 7)], "venue string, contract string, record_id long, source_time long, usable_time long")
+    rows = [("m", "snapshot", 1, None, None, None, None), ("m", "delta", 2, "replace", "bid", 0.45, 1.0), ("m", "delta", 3, "replace", "bid", 0.46, 1.0), ("m", "delta", 4, "replace", "bid", 0.47, 1.0)]
+    got = replay.replay(book(spark, rows), "source_time", trades).orderBy("record_id").collect()
+    assert [r["record_id"] for r in got] == [0, 1, 2, 3] and [r["last_trade"] for r in got] == [None, 5, 5, 7] and [r["last_verified"] for r in got] == [1000, 990, 980, 970]
+    done = replay.coverage(replay.replay(book(spark, STEPS), "source_time"))
+    r = done.first()
+    assert (r["quotes"], r["contracts"], r["valid_contracts"], r["gaps"], r["missing"], r["open_gaps"]) == (14, 2, 0, 2, 2, 2) and not r["all_valid"]
+    assert replay.totals(done).first()["scopes"] == 1
+
+
+def test_inversions_equal_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"v{i % 3}", "c", "s", i, rng.randrange(60), rng.randrange(60) if i % 9 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "venue string, connection_id string, scope string, record_id long, source_time long, usable_time long")
+    got = {r["venue"]: (r["shared"], r["inversions"]) for r in replay.inversions(df, "source_time", "usable_time", bucket=7).collect()}
+    for v in ("v0", "v1", "v2"):
+        own = [(a, i, b) for w, _, _, i, a, b in rows if w == v and b is not None]
+        crossed = sum(((x[0], x[1]) < (y[0], y[1])) != ((x[2], x[1]) < (y[2], y[1])) for x, y in itertools.combinations(own, 2))
+        assert got[v] == (len(own), crossed)
+
+
+def test_channel_messages(spark):
+    bodies = [
+        '{"event_type": "book", "asset_id": "A", "timestamp": "1700000000", "bids": [{"price": "0.4", "size": "3"}, {"price": "0.3", "size": "0"}], "asks": []}',
+        '{"event_type": "price_change", "timestamp": "1700000001000", "price_changes": [{"asset_id": "A", "price": "0.41", "size": "2", "side": "BUY"}, {"asset_id": "A", "price": "0.4", "size": "0", "side": "BUY"}, {"asset_id": "A", "side": "SELL"}]}',
+        '{"event_type": "price_change", "asset_id": "A", "price": "0.6", "size": "1", "side": "SELL"}', '{"event_type": "last_trade_price", "asset_id": "A", "price": "0.5", "size": "1"}',
+        '{"event_type": "last_trade_price", "asset_id": "A"}', '{"event_type": "price_change", "asset_id": "A", "price": "0.6", "size": "1", "side": "UP"}', '{"event_type": "tick_size_change"}', "not json",
+    ]
+    messages = spark.createDataFrame([("c", i, i * 10, b) for i, b in enumerate(bodies)], "connection_id string, position long, received long, body string")
+    events, counts = replay.channel_events(messages)
+    got = sorted((r["record_id"], r["kind"], r["operation"], r["side"], r["price"], r["size"], r["source_time"]) for r in events.collect())
+    assert got == [
+        (0, "snapshot", None, None, None, None, 1_700_000_000_000_000), (1024, "delta", "replace", "bid", 0.41, 2.0, 1_700_000_001_000_000), (1025, "delta", "delete", "bid", 0.4, None, 1_700_000_001_000_000),
+        (2048, "delta", "replace", "ask", 0.6, 1.0, None), (3072, "trade", None, None, 0.5, 1.0, None),
+    ]
+    assert {r["event_type"]: (r["messages"], r["refused"]) for r in counts.collect()} == {"book": (1, 0), "price_change": (3, 1), "last_trade_price": (2, 1), "tick_size_change": (1, 0), None: (1, 0)}
+    marks = replay.disconnect_markers(events, spark.createDataFrame([("c", 500), ("d", None)], "connection_id string, ended long")).collect()
+    assert [(r["contract"], r["scope"], r["kind"], r["usable_time"]) for r in marks] == [("A", "c", "disconnect", 500)]
+    quotes = replay.replay(events.where("kind != 'trade'"), "usable_time", events.where("kind = 'trade'")).orderBy("record_id").collect()
+    assert [(r["bid"], r["ask"], r["validity"]) for r in quotes] == [(0.4, None, "valid"), (0.41, None, "valid"), (0.41, None, "valid"), (0.41, 0.6, "valid")]
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from estuary.operators import quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in rng.lognormal(0, 4, 9000)] + [("b", 1.0)] * 7000 + [("b", 2.0)] * 3 + [("c", float(x)) for x in rng.integers(0, 5, 50)] + [("d", None), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r["g"]: list(r)[1:] for r in quantiles.quantiles(df, "x", ps, ["g"]).collect()}
+    for g in "abc":
+        assert got[g] == pytest.approx(np.quantile([x for k, x in rows if k == g], ps).tolist(), rel=1e-12)
+    assert "d" not in got and list(quantiles.quantiles(df.where("g = 'a'"), "x", [0.5]).first()) == pytest.approx([np.median([x for k, x in rows if k == "a"])])
+    assert quantiles.quantiles(df.where("g = 'd'"), "x", [0.5]).first() is None
