@@ -28,8 +28,8 @@ def strict_decimal(text: Column, kind: str = DECIMAL) -> Column:
 def figure(text: Column) -> Column:
     """$1.2B, 3.4K, 1,250 as double; a dash is unknown, not zero."""
     clean = F.regexp_replace(F.trim(text), r"[$,]", "")
-    number = F.regexp_extract(clean, r"^([+-]?\d+(?:\.\d+)?)([KMBT]?)$", 1)
-    suffix = F.regexp_extract(clean, r"^([+-]?\d+(?:\.\d+)?)([KMBT]?)$", 2)
+    number = F.regexp_extract(clean, r"(?i)^([+-]?\d+(?:\.\d+)?)([KMBT]?)$", 1)
+    suffix = F.upper(F.regexp_extract(clean, r"(?i)^([+-]?\d+(?:\.\d+)?)([KMBT]?)$", 2))
     scale = F.when(suffix == "K", 1e3).when(suffix == "M", 1e6).when(suffix == "B", 1e9).when(suffix == "T", 1e12).otherwise(1.0)
     return F.when(number != "", number.cast("double") * scale)
 
@@ -47,11 +47,11 @@ def visible_text(html: Column) -> Column:
 
 
 def sentence_at(text: Column, position: Column) -> Column:
-    """The sentence that holds the 1-based position."""
+    """The sentence, from the full stop before to the one at or after the 1-based position, with white space shrunk. Other marks end no sentence."""
     before = F.substring(text, F.lit(1), position - 1)
     after = F.substring(text, position, F.char_length(text))
-    head = F.regexp_extract(before, r"(?s)([^.!?]*)$", 1)
-    return F.trim(F.concat(head, F.regexp_extract(after, r"(?s)^([^.!?]*[.!?]?)", 1)))
+    head = F.regexp_extract(before, r"(?s)([^.]*)$", 1)
+    return F.trim(F.regexp_replace(F.concat(head, F.regexp_extract(after, r"(?s)^([^.]*\.?)", 1)), r"\s+", " "))
 
 
 def first_of(*columns: Column) -> Column:

@@ -25,8 +25,8 @@ def utc_text(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(value))
 
 
-def local_kind(local: Column, zone: str) -> Column:
-    """unique, ambiguous (it occurs twice) or nonexistent (it was skipped) for a zone-less local timestamp."""
+def _sides(local: Column, zone: str) -> tuple[Column, Column, Column, Column, Column]:
+    """(earlier reading, later one, whether each fits, whether the zone's offset changes near) of a zone-less local timestamp, in microseconds."""
     micro = micros(local)
 
     def offset(at: Column) -> Column:
@@ -37,9 +37,21 @@ def local_kind(local: Column, zone: str) -> Column:
     day = 86_400 * SECOND
     before, after = offset(micro - day), offset(micro + day)
     early, late = micro - before, micro - after
-    fits = lambda instant, off: offset(instant) == off
-    a, b = fits(early, before), fits(late, after)
-    return F.when(before == after, "unique").when(a & b, "ambiguous").when(a | b, "unique").otherwise("nonexistent")
+    return early, late, offset(early) == before, offset(late) == after, before != after
+
+
+def local_kind(local: Column, zone: str) -> Column:
+    """unique, ambiguous (it occurs twice) or nonexistent (it was skipped) for a zone-less local timestamp."""
+    _, _, a, b, changes = _sides(local, zone)
+    return F.when(~changes, "unique").when(a & b, "ambiguous").when(a | b, "unique").otherwise("nonexistent")
+
+
+def local_instant(local: Column, zone: str, fold: int = 0) -> Column:
+    """The instant, in microseconds, of a zone-less local timestamp: of an ambiguous one the first (fold 0) or the second (fold 1) reading; one that was skipped
+    is null, for no offset makes it an instant."""
+    early, late, a, b, changes = _sides(local, zone)
+    both = F.least(early, late) if fold == 0 else F.greatest(early, late)
+    return F.when(~changes, early).when(a & b, both).when(a, early).when(b, late)
 
 
 def minute_bucket(ntz: Column, minutes: int) -> Column:
