@@ -44,13 +44,35 @@ def orientation(operator: Column) -> Column:
     return F.when(operator.isin("above", "at_least"), 1).when(operator.isin("below", "at_most"), -1).otherwise(0)
 
 
-def payoff(threshold: Column, operator: Column, atom: Column, scale: int = 0, rounding: str = "nearest") -> Column:
-    """0 or 1: whether an outcome, rounded to the threshold's scale (half up, up or down), satisfies the operator."""
-    x = {"nearest": lambda: F.round(atom, scale), "up": lambda: F.ceil(atom * 10**scale) / 10**scale, "down": lambda: F.floor(atom * 10**scale) / 10**scale}[rounding]()
-    hit = F.when(operator == "above", x > threshold).when(operator == "at_least", x >= threshold).when(operator == "below", x < threshold).when(operator == "at_most", x <= threshold).when(operator == "equals", x == threshold)
+def stated_places(threshold: Column) -> Column:
+    """How many decimal places a threshold states, as text: 4.250 states three."""
+    return F.char_length(F.regexp_extract(threshold, r"\.([0-9]+)$", 1))
+
+
+def payoff(threshold: Column, operator: Column, atom: Column, rounding: str | None = "nearest") -> Column:
+    """0 or 1: whether an outcome satisfies the operator, for a threshold in text. The outcome is first brought to the threshold's own places: to the nearest (half
+    away from zero), up or down; without a rounding it is taken as it is. An operator that compares with no threshold is null."""
+    level, x = threshold.try_cast("decimal(38,12)"), atom.cast("decimal(38,12)")
+    unit = F.element_at(F.array(*[F.lit(f"1e-{p}").cast("decimal(12,12)") if p else F.lit("1").cast("decimal(13,12)") for p in range(13)]).cast("array<decimal(13,12)>"), F.least(stated_places(threshold), F.lit(12)) + 1)
+    steps = (x / unit).cast("decimal(38,6)")
+    whole = {"nearest": lambda: F.signum(steps) * F.floor(F.abs(steps) + F.lit(0.5).cast("decimal(2,1)")), "up": lambda: F.ceil(steps), "down": lambda: F.floor(steps)}
+    seen = x if rounding is None else (whole[rounding]().cast("decimal(26,0)") * unit).cast("decimal(38,12)")
+    hit = F.when(operator == "above", seen > level).when(operator == "at_least", seen >= level).when(operator == "below", seen < level).when(operator == "at_most", seen <= level).when(operator == "equal", seen == level)
     return hit.cast("int")
 
 
+def bounded_features(price: Column, families: list[str], family: Column) -> Column:
+    """struct(variance, edge, one of each family, refusal): p(1-p), min(p,1-p) and indicators; a price outside [0, 1] is refused and leaves them null."""
+    refusal = F.when(price.isNull() | (price < 0) | (price > 1), "price_outside_unit_interval")
+    ok = refusal.isNull()
+    return F.struct(F.when(ok, price_variance(price)).alias("variance"), F.when(ok, edge_distance(price)).alias("edge"), *[F.when(ok, (family == f).cast("int")).alias(f"is_{f}") for f in families], refusal.alias("refusal"))
+
+
+def depth(bid_size: Column, ask_size: Column) -> Column:
+    """Size at the top of a book: the sum of the known sides, null where neither is."""
+    return F.when(bid_size.isNotNull() | ask_size.isNotNull(), F.coalesce(bid_size, F.lit(0)) + F.coalesce(ask_size, F.lit(0)))
+
+
 def fill_cost(levels: Column, quantity: Column) -> Column:
     """Cost of taking quantity from array<struct<price, size>>, best first; null where the depth does not suffice."""
     start = F.struct(quantity.cast("double").alias("left"), F.lit(0.0).alias("cost"))

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+
 PENALTIES = (0.001, 0.01, 0.1, 1.0, 10.0)
 KINDS = {"no_change": 0, "own": 1, "news": 2, "network": 3}
 
@@ -108,12 +110,87 @@ def projection(df: DataFrame, features: list[str], target: str, cluster: str, by
             out.append({"key": key, "status": "too_few_clusters", "n": n})
             continue
         cov = inverse @ m @ inverse * (g / (g - 1)) * ((n - 1) / (n - k))
-        out.append({"key": key, "status": "estimated", "n": n, "clusters": g, "coefficients": beta.tolist(), "errors": np.sqrt(np.maximum(np.diag(cov), 0)).tolist()})
+        out.append({"key": key, "status": "estimated", "n": n, "clusters": g, "coefficients": beta.tolist(), "errors": np.sqrt(np.maximum(np.diag(cov), 0)).tolist(), "covariance": cov.tolist()})
+    return out
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """Probability that a chi-square variable of df degrees exceeds x: a series for small x, a continued fraction for large."""
+    if x <= 0:
+        return 1.0
+    a, h = df / 2, x / 2
+    scale = math.exp(a * math.log(h) - h - math.lgamma(a))
+    if h < a + 1:
+        term = total = 1 / a
+        for n in range(1, 1000):
+            term *= h / (a + n)
+            total += term
+            if term < total * 1e-16:
+                break
+        return max(0.0, 1 - total * scale)
+    b, c = h + 1 - a, 1e300
+    d = 1 / b
+    f = d
+    for n in range(1, 1000):
+        an = -n * (n - a)
+        b += 2
+        d = 1 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        f *= c * d
+        if abs(c * d - 1) < 1e-16:
+            break
+    return min(1.0, scale * f)
+
+
+def wald(cell: dict, at: list[int]) -> dict:
+    """Joint test that the coefficients at those places of an estimated cell are nil, from its covariance robust to clusters."""
+    b, v = np.array(cell["coefficients"])[at], np.array(cell["covariance"])[np.ix_(at, at)]
+    if not len(at) or np.linalg.matrix_rank(v) < len(at):
+        return {"statistic": None, "df": len(at), "p": None}
+    statistic = float(b @ np.linalg.solve(v, b))
+    return {"statistic": statistic, "df": len(at), "p": chi_square_tail(statistic, len(at))}
+
+
+def interacted_projection(df: DataFrame, shock: str, covariates: list[str], liquidity: list[str], target: str, cluster: str, by: list[str]) -> list[dict]:
+    """projection() of target on the shock, covariates, liquidity and the shock's product with each liquidity, with the joint test of the products and the shock's
+    marginal effect, with its error, at the cell's mean liquidity. Rows that lack any of them are left out."""
+    products = [f"_{shock}_x_{c}" for c in liquidity]
+    whole = F.lit(True)
+    for c in (shock, *covariates, *liquidity, target):
+        whole = whole & F.col(c).isNotNull()
+    rows = df.where(whole).withColumns({p: F.col(shock) * F.col(c) for p, c in zip(products, liquidity, strict=True)})
+    features = [shock, *covariates, *liquidity, *products]
+    means = {tuple(r[b] for b in by): [r[f"_m{i}"] for i in range(len(liquidity))] for r in rows.groupBy(*by).agg(F.count("*").alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(liquidity)]).collect()}  # one row a cell
+    out = []
+    for cell in projection(rows, features, target, cluster, by):
+        if cell["status"] == "estimated":
+            at = list(range(len(features) - len(products) + 1, len(features) + 1))
+            weights = np.zeros(len(features) + 1)
+            weights[1], weights[at] = 1.0, means[cell["key"]]
+            beta, v = np.array(cell["coefficients"]), np.array(cell["covariance"])
+            cell = cell | {"names": ["intercept", *features], "interactions": wald(cell, at), "marginal": float(weights @ beta), "marginal_error": math.sqrt(max(0.0, float(weights @ v @ weights)))}
+        out.append(cell)
     return out
 
 
+def frozen_scores(model: Ridge, test: DataFrame, price: str, target: str, event: str) -> DataFrame:
+    """(event, rows, mae, bias) of a frozen model on rows that it never saw: its change is mapped into the bounds of a price, and each event's errors are averaged.
+    Rows that lack a feature, the price or the target are left out."""
+    whole = F.col(price).isNotNull() & F.col(target).isNotNull()
+    for f in model.features:
+        whole = whole & F.col(f).isNotNull()
+    predicted = geometry.bounded_level(F.col(price), model.column()) - F.col(price)
+    error = predicted - F.col(target)
+    return test.where(whole).groupBy(event).agg(F.count("*").alias("rows"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias"))
+
+
 def box_distance(payouts: np.ndarray, bids: np.ndarray, asks: np.ndarray, steps: int = 20_000) -> float:
-    """How far quotes lie from any coherent prices: the least t with a distribution pi over outcomes so that bids - t <= A pi <= asks + t.
+    """How far quotes lie from any coherent prices: the least t with a distribution pi over outcomes so that bids - t <= A pi <= asks + t."""
+    return coherent_prices(payouts, bids, asks, steps)[0]
+
+
+def coherent_prices(payouts: np.ndarray, bids: np.ndarray, asks: np.ndarray, steps: int = 20_000) -> tuple[float, np.ndarray]:
+    """(distance, pi): see box_distance. The distance is checked against the violation that pi in fact has; one that disagrees raises.
 
     A linear programme, solved by a dense simplex on its standard form with Bland's rule."""
     a, (n, k) = np.asarray(payouts, float), np.shape(payouts)
@@ -152,20 +229,39 @@ def box_distance(payouts: np.ndarray, bids: np.ndarray, asks: np.ndarray, steps:
         raise ValueError("the programme has no feasible point")
     cost = np.zeros(v + m)
     cost[k], cost[v:] = 1.0, 1e6
-    return max(0.0, run(cost, v))
-
-
-def coherence(quotes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, distance): box_distance of each family's rows (payouts array<double>, bid, ask). A family is one contract ladder: a few rows."""
+    distance = max(0.0, run(cost, v))
+    pi = np.zeros(k)
+    for i, j in enumerate(basis):
+        if j < k:
+            pi[j] = max(0.0, table[i, -1])
+    pi /= pi.sum()
+    price = a @ pi
+    worst = float(max(np.max(np.asarray(bids, float) - price, initial=0.0), np.max(price - np.asarray(asks, float), initial=0.0)))
+    if abs(worst - distance) > 1e-7 * max(1.0, abs(distance)):
+        raise ValueError(f"distance {distance} disagrees with the violation {worst}")
+    return distance, pi
+
+
+def coherence(quotes: DataFrame, by: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(by, distance, feasible, midpoint_distance, midpoint_feasible, refusal) of each family's rows (payouts array<double>, bid, ask): how far its boxes, and
+    their midpoints alone, are from any coherent prices. A missing or crossed box refuses its family. A family is one contract ladder: a few rows."""
 
     def one(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        d = box_distance(np.array(pdf["payouts"].tolist(), float), pdf["bid"].to_numpy(float), pdf["ask"].to_numpy(float))
-        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "distance": [d]})
+        key = {b: [pdf[b].iloc[0]] for b in by}
+        none = {"distance": [None], "feasible": [None], "midpoint_distance": [None], "midpoint_feasible": [None]}
+        if pdf[["bid", "ask"]].isna().any(axis=None) or pdf["payouts"].isna().any():
+            return pd.DataFrame({**key, **none, "refusal": ["missing_box"]})
+        bid, ask = pdf["bid"].to_numpy(float), pdf["ask"].to_numpy(float)
+        if (bid > ask).any():
+            return pd.DataFrame({**key, **none, "refusal": ["crossed_box"]})
+        payouts, middle = np.array(pdf["payouts"].tolist(), float), (bid + ask) / 2
+        d, m = box_distance(payouts, bid, ask), box_distance(payouts, middle, middle)
+        return pd.DataFrame({**key, "distance": [d], "feasible": [d <= tolerance], "midpoint_distance": [m], "midpoint_feasible": [m <= tolerance], "refusal": [None]})
 
     kinds = ", ".join(f"{b} {quotes.schema[b].dataType.simpleString()}" for b in by)
-    return quotes.groupBy(*by).applyInPandas(one, f"{kinds}, distance double")
+    return quotes.groupBy(*by).applyInPandas(one, f"{kinds}, distance double, feasible boolean, midpoint_distance double, midpoint_feasible boolean, refusal string")
 
 
 def release_weights(df: DataFrame, release: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -233,3 +235,39 @@ def promoted(gain: float | None, null_upper: float | None, least_gain: float, ce
     if gain is None or null_upper is None:
         return "inconclusive"
     return "promoted" if gain >= least_gain and null_upper <= ceiling else "not_promoted"
+
+
+MOST_UNITS = 200_000
+
+
+def statistic_bootstrap(units: DataFrame, cluster: str, statistic: Callable[[pd.DataFrame], dict[str, float]], samples: int, seed: int = 0, coverage: float = 0.95) -> DataFrame:
+    """(metric, point, lower, upper, effective, status) of a caller's own statistic: units (a frame) -> metrics, evaluated on all units and on each replicate.
+
+    A replicate draws as many clusters as there are, with replacement, and keeps all units of a drawn cluster as often as it was drawn. Units are releases, at most
+    MOST_UNITS, and are sent to every executor; replicates are what is distributed. Under two clusters or two usable replicates the interval is inconclusive,
+    one without width degenerate.
+    """
+    spark = units.sparkSession
+    held = units.limit(MOST_UNITS + 1).toPandas()
+    if len(held) > MOST_UNITS:
+        raise ValueError(f"at most {MOST_UNITS} units")
+    groups = {c: g for c, g in held.groupby(cluster, sort=True)}
+    labels, point = list(groups), statistic(held)
+    sent = spark.sparkContext.broadcast(groups)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        for pdf in it:
+            rows = []
+            for r in pdf["id"]:
+                drawn = np.random.default_rng([stable_seed(seed, samples, *labels) % (1 << 32), int(r)]).integers(0, len(labels), len(labels))
+                rows += [(int(r), m, float(v)) for m, v in statistic(pd.concat([own[labels[i]] for i in drawn], ignore_index=True)).items() if v is not None and math.isfinite(v)]
+            yield pd.DataFrame(rows, columns=["replicate", "metric", "estimate"])
+
+    points = spark.createDataFrame([(m, float(v)) for m, v in point.items()], "metric string, point double")
+    if len(labels) < 2:
+        return points.select("*", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.lit(0).cast("long").alias("effective"), F.lit("inconclusive").alias("status"))
+    replicates = spark.range(samples).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "replicate long, metric string, estimate double")
+    found = percentile_interval(replicates, ["metric"], coverage).withColumnRenamed("replicates", "effective")
+    joined = points.join(found, "metric", "left").withColumn("effective", F.coalesce("effective", F.lit(0).cast("long"))).withColumn("status", F.coalesce("status", F.lit("inconclusive")))
+    return joined.select("metric", "point", "lower", "upper", "effective", "status")

@@ -210,10 +210,15 @@ def epoch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("at is not null").groupBy("user_id").agg(F.count("*").alias("plausible"))
 
 
-@query("""SELECT p_partkey AS partkey, t.op AS operator, CAST(CASE t.op WHEN 'above' THEN p_retailprice > p_size * 100 WHEN 'at_least' THEN p_retailprice >= p_size * 100 WHEN 'below' THEN p_retailprice < p_size * 100 ELSE p_retailprice <= p_size * 100 END AS INT) AS payoff, CASE WHEN t.op IN ('above', 'at_least') THEN 1 ELSE -1 END AS orientation FROM part, (VALUES ('above'), ('at_least'), ('below'), ('at_most')) t(op)""")
+@query("""WITH x AS (SELECT p_partkey, t.op, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || '.5' ELSE p_size || '.25' END AS threshold, p_size + p_partkey % 8 / 8.0 AS atom FROM part, (VALUES ('above'), ('at_least'), ('below'), ('at_most'), ('equal')) t(op)),
+r AS (SELECT *, CAST(threshold AS DOUBLE) AS th, CASE p_partkey % 3 WHEN 0 THEN floor(atom + 0.5) WHEN 1 THEN floor(atom * 10 + 0.5) / 10 ELSE floor(atom * 100 + 0.5) / 100 END AS seen FROM x)
+SELECT p_partkey AS partkey, op AS operator, threshold, CAST(CASE op WHEN 'above' THEN seen > th WHEN 'at_least' THEN seen >= th WHEN 'below' THEN seen < th WHEN 'at_most' THEN seen <= th ELSE seen = th END AS INT) AS payoff, CASE WHEN op IN ('above', 'at_least') THEN 1 WHEN op = 'equal' THEN 0 ELSE -1 END AS orientation FROM r""")
 def threshold_payoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").withColumn("operator", F.explode(F.array(*map(F.lit, ("above", "at_least", "below", "at_most")))))
-    return p.select(F.col("p_partkey").alias("partkey"), "operator", geometry.payoff(F.col("p_size") * 100, F.col("operator"), F.col("p_retailprice"), 6).alias("payoff"), geometry.orientation(F.col("operator")).alias("orientation"))
+    """Outcomes brought to each threshold's own places, half up, before they are compared."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    threshold = F.when(k % 3 == 0, size).when(k % 3 == 1, F.concat(size, F.lit(".5"))).otherwise(F.concat(size, F.lit(".25")))
+    p = read(spark, sf_dir, "part").withColumn("operator", F.explode(F.array(*map(F.lit, ("above", "at_least", "below", "at_most", "equal"))))).withColumn("threshold", threshold)
+    return p.select(k.alias("partkey"), "operator", "threshold", geometry.payoff(F.col("threshold"), F.col("operator"), F.col("p_size") + k % 8 / 8.0).alias("payoff"), geometry.orientation(F.col("operator")).alias("orientation"))
 
 
 @query("""WITH l AS (SELECT l_orderkey AS orderkey, l_linenumber, l_extendedprice / l_quantity AS p, l_quantity AS s, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice / l_quantity, l_linenumber, l_quantity, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem)

@@ -31,11 +31,14 @@ def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"), text.text_digest(F.col("n_name"), F.col("n_regionkey").cast("string")).alias("digest"))
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(concat_ws(chr(31), CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), l_returnflag, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))) AS sha FROM lineitem),
+q AS (SELECT count(*) AS n, CAST(sum(CAST('0x' || sha[1:12] AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || sha[13:24] AS BIGINT)) AS VARCHAR) AS b, CAST(sum(CAST('0x' || sha[25:36] AS BIGINT)) AS VARCHAR) AS c, CAST(sum(CAST('0x' || sha[37:48] AS BIGINT)) AS VARCHAR) AS d FROM h)
+SELECT sha256(concat_ws(':', CAST(n AS VARCHAR), a, b, c, d)) AS identity FROM q""")
 def table_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order-free digest of a whole table."""
-    d = read(spark, sf_dir, "lineitem")
-    return d.agg(text.table_digest(F.to_json(F.struct(*sorted(d.columns)))).alias("identity"))
+    """An order-free digest of a whole table's rows."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    spelled = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")], cents.cast("string"))
+    return read(spark, sf_dir, "lineitem").agg(text.table_digest(spelled).alias("identity"))
 
 
 @query()
@@ -54,9 +57,12 @@ def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query()
+@query("""WITH h AS (SELECT TIMESTAMP '2024-03-10 00:30:00' + INTERVAL (i) HOUR AS l, 1 AS side, i FROM range(6) t(i) UNION ALL SELECT TIMESTAMP '2024-11-03 00:30:00' + INTERVAL (i) HOUR, 2, i FROM range(6) t(i))
+SELECT epoch_us(l) AS local, CASE WHEN side = 1 AND i = 2 THEN 'nonexistent' WHEN side = 2 AND i = 1 THEN 'ambiguous' ELSE 'unique' END AS kind, CASE WHEN side = 1 AND i = 2 THEN NULL ELSE epoch_us(l) + CASE WHEN (side = 1 AND i < 2) OR (side = 2 AND i > 1) THEN 5 ELSE 4 END * 3600000000 END AS first,
+  CASE WHEN side = 1 AND i = 2 THEN NULL ELSE epoch_us(l) + CASE WHEN (side = 1 AND i < 2) OR (side = 2 AND i >= 1) THEN 5 ELSE 4 END * 3600000000 END AS second FROM h""")
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours around both changes of the clocks: skipped, repeated or plain."""
+    """Hours around both changes of the clocks: skipped, repeated or plain, and the instants that either reading gives."""
     start = F.lit("2024-03-10 00:30:00").cast("timestamp_ntz"), F.lit("2024-11-03 00:30:00").cast("timestamp_ntz")
     hours = spark.range(6).select(F.explode(F.array(*[s + F.expr("make_dt_interval(0, cast(id as int), 0, 0)") for s in start])).alias("local"))
-    return hours.select(times.micros(F.col("local")).alias("local"), times.local_kind(F.col("local"), "America/New_York").alias("kind"))
+    zone, local = "America/New_York", F.col("local")
+    return hours.select(times.micros(local).alias("local"), times.local_kind(local, zone).alias("kind"), times.local_instant(local, zone).alias("first"), times.local_instant(local, zone, 1).alias("second"))

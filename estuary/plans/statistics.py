@@ -161,11 +161,17 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_type", "replicates", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
-@query()
+@query("""WITH d AS (SELECT CAST(i AS INT) AS replicate, j AS cluster, CAST((i * 11 + j * 5 + i * j) % 4 AS INT) AS times FROM range(60) a(i), range(12) b(j)), u AS (SELECT user_id % 12 AS cluster, event_type, sum(value) AS s, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT event_type, replicate, sum(s * times) / nullif(sum(n * times), 0) AS estimate FROM u JOIN d USING (cluster) GROUP BY ALL), g AS (SELECT * FROM r WHERE replicate NOT IN (SELECT replicate FROM r WHERE estimate IS NULL)),
+c AS (SELECT event_type, stddev_pop(estimate) AS sd FROM g GROUP BY 1), p AS (SELECT event_type, avg(value) AS point FROM events GROUP BY 1), f AS (SELECT replicate, max(CASE WHEN sd > 0 THEN abs(estimate - point) / sd ELSE 0 END) AS far FROM g JOIN c USING (event_type) JOIN p USING (event_type) GROUP BY 1), q AS (SELECT quantile_cont(far, 0.95) AS c FROM f)
+SELECT event_type, round(point, 6) AS point, round(point - q.c * sd, 6) AS lower, round(point + q.c * sd, 6) AS upper FROM p JOIN c USING (event_type), q""")
 def curve_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band over all points at once, with a declared table of draws."""
+    i, j = F.col("id"), F.col("cluster")
+    draws = spark.range(60).withColumn("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")))).select(i.cast("int").alias("replicate"), "cluster", ((i * 11 + j * 5 + i * j) % 4).cast("int").alias("times"))
     e = read(spark, sf_dir, "events").withColumn("c", F.pmod("user_id", F.lit(12)))
-    reps = stats.bootstrap_mean(e, stats.draws_table(spark, list(range(12)), 200, 7), "c", "value", ["event_type"])
-    return stats.curve_band(reps, e.groupBy("event_type").agg(F.avg("value").alias("point")), "event_type")
+    band = stats.curve_band(stats.bootstrap_mean(e, draws, "c", "value", ["event_type"]), e.groupBy("event_type").agg(F.avg("value").alias("point")), "event_type")
+    return band.select("event_type", *[F.round(c, 6).alias(c) for c in ("point", "lower", "upper")])
 
 
 @query()
@@ -180,12 +186,33 @@ def ridge_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, m.alpha, float(errors[n])) for n, m in fits.items()], "kind string, alpha double, mae double")
 
 
-@query()
+RUNGS = """q AS (SELECT l_suppkey AS suppkey, least(l_linenumber, 3) AS rung, least(l_linenumber, 3) * 0.2 + avg(l_discount) + (l_suppkey % 5) * 0.1 * (2 - least(l_linenumber, 3)) AS bid, avg(l_tax) AS t FROM lineitem GROUP BY 1, 2, l_suppkey % 5),
+b AS (SELECT suppkey, rung, bid, bid + t + 0.001 AS ask, bid + (t + 0.001) / 2 AS mid FROM q),
+w AS (SELECT suppkey, max(bid) FILTER (WHERE rung = 1) AS b1, max(ask) FILTER (WHERE rung = 1) AS a1, max(mid) FILTER (WHERE rung = 1) AS m1, max(bid) FILTER (WHERE rung = 2) AS b2, max(ask) FILTER (WHERE rung = 2) AS a2, max(mid) FILTER (WHERE rung = 2) AS m2, max(bid) FILTER (WHERE rung = 3) AS b3, max(ask) FILTER (WHERE rung = 3) AS a3, max(mid) FILTER (WHERE rung = 3) AS m3 FROM b GROUP BY 1)"""
+
+
+@query(f"""WITH {RUNGS}, d AS (SELECT suppkey, greatest(0, (b1 - a2) / 2, b1 - 1, b2 - 1, b3 - 1, 1 - a3, -a1, -a2) AS distance, greatest(0, (m1 - m2) / 2, m1 - 1, m2 - 1, m3 - 1, 1 - m3, -m1, -m2) AS midpoint FROM w)
+SELECT suppkey, round(distance, 7) AS distance, distance <= 1e-9 AS feasible, round(midpoint, 7) AS midpoint_distance, CAST(NULL AS VARCHAR) AS refusal FROM d""")
 def coherence_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ladders of three rungs: how far each supplier's quotes are from any coherent set."""
-    li = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.least(F.col("l_linenumber"), F.lit(3)).alias("rung")).agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
+    """Ladders of three rungs, each paying where the one below pays and in one outcome more: how far each supplier's quotes, and their midpoints, are from any
+    coherent set. The last rung pays always, so the distance has a closed form."""
+    rung, k = F.least(F.col("l_linenumber"), F.lit(3)), F.col("l_suppkey")
+    li = read(spark, sf_dir, "lineitem").groupBy(k.alias("suppkey"), rung.alias("rung")).agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"))
     unit = F.array(*[(F.col("rung") >= k).cast("double") for k in (1, 2, 3)])
-    return models.coherence(li.select(F.col("l_suppkey").alias("suppkey"), unit.alias("payouts"), (F.col("rung") * 0.2 + F.col("d")).alias("bid"), (F.col("rung") * 0.2 + F.col("d") + F.col("t")).alias("ask")), ["suppkey"])
+    bid = F.col("rung") * 0.2 + F.col("d") + (F.col("suppkey") % 5) * 0.1 * (2 - F.col("rung"))
+    made = models.coherence(li.select("suppkey", unit.alias("payouts"), bid.alias("bid"), (bid + F.col("t") + 0.001).alias("ask")), ["suppkey"])
+    return made.select("suppkey", F.round("distance", 7).alias("distance"), "feasible", F.round("midpoint_distance", 7).alias("midpoint_distance"), "refusal")
+
+
+@query("""WITH p AS (SELECT o_custkey AS event, l_tax AS target, l_discount * 5 + 0.3 AS price, 0.01 + 0.002 * (l_quantity - 25) / 14 - 0.001 * (l_linenumber - 3) AS change FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT event, least(greatest(price + 100 * tanh(change / 100), 1e-6), 1 - 1e-6) - price - target AS error FROM p) SELECT event, count(*) AS rows, round(avg(abs(error)), 8) AS mae, round(avg(error), 8) AS bias FROM s GROUP BY event""")
+def frozen_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frozen model of two features, scored by event on prices that it may not leave."""
+    li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = li.select(F.col("o_custkey").alias("event"), F.col("l_tax").alias("target"), (F.col("l_discount") * 5 + 0.3).alias("price"), F.col("l_quantity").alias("q"), F.col("l_linenumber").cast("double").alias("n"))
+    model = models.Ridge(("q", "n"), (25.0, 3.0), (14.0, 1.0), (0.002, -0.001), 0.01, 0.1)
+    scored = models.frozen_scores(model, rows, "price", "target", "event")
+    return scored.select("event", "rows", F.round("mae", 8).alias("mae"), F.round("bias", 8).alias("bias"))
 
 
 NUMBERED = """n AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_type, event_id) AS n FROM events), e AS (
