@@ -2,9 +2,9 @@
 
 Vectors stay where they lie and are indexed in blocks. A component is a posting of its dimension; its impact is its size in units of the block's
 largest, rounded down to one of ``IMPACTS`` levels, and a segment holds the postings of one dimension, sign and impact. A query processes segments
-by descending impact times the size of its own component, and adds the segment's middle to the accumulators of the vectors in it. When a vector's
-posting is in a segment still to come, that posting counts at most the next segment's bound; so every accumulator has an error that is known.
-Processing stops only on proof: when the vectors whose bound still reaches the k-th proven score are few, or no segment is left. These possible
+by descending impact times the size of its own component, and adds the segment's middle to the accumulators of the vectors in it. A posting
+processed is off by half a level at most, and one still to come brings no more than the next segment's bound; so the error of every accumulator is known.
+Processing stops only on proof: when the vectors that can still reach the k-th proven score are few, or no segment is left. These possible
 members, ties included, are scored exactly. Where sums may pass 2**62 all vectors of the block are scored, in whole numbers of any length.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
-IMPACTS, FEW, PROOFS = 64, 64, 12
+VECTOR_BLOCK, QUERY_BLOCK = 32_768, 4096
+IMPACTS, FEW, PROOFS = 12, 0.4, 10
 OUT = "query_id long, vec_id long, score long"
 LONG = (1 << 63) - 1
 
@@ -50,56 +50,59 @@ class Index:
         new = np.ones(len(row), bool)
         new[1:] = (dim[1:] != dim[:-1]) | (sign[1:] != sign[:-1]) | (impact[1:] != impact[:-1])
         self.start = np.append(np.flatnonzero(new), len(row))
-        self.rows = row
+        self.rows = row.astype(np.int32)
         at = self.start[:-1]
         self.seg_dim, self.seg_sign, self.seg_impact = dim[at], np.where(sign[at] == 1, 1.0, -1.0), impact[at]
-        self.postings = np.bincount(row, minlength=self.n).astype(np.float64)
+        self.top = np.zeros(self.dim)
+        np.maximum.at(self.top, self.seg_dim, (self.seg_impact + 1) * self.step)
 
     def wide(self, query: np.ndarray) -> bool:
         """Whether a product may pass 2**62."""
         return self.largest * float(np.abs(query.astype(np.float64)).max(initial=0.0)) * self.dim >= 2.0**62
 
-    def exact(self, query: np.ndarray, members: np.ndarray) -> list[int]:
+    def exact(self, query: np.ndarray, members: np.ndarray) -> np.ndarray:
         """Scores as whole numbers. Where a product may pass 2**62 it is made without a fixed width; beyond a long it is the nearest long."""
         if not self.wide(query):
-            return (self.vectors[members] @ query).tolist()
+            return self.vectors[members] @ query
         sums = (sum(a * b for a, b in zip(self.vectors[m].tolist(), query.tolist(), strict=True)) for m in members)
-        return [max(-LONG - 1, min(LONG, x)) for x in sums]
+        return np.array([max(-LONG - 1, min(LONG, x)) for x in sums], np.int64)
 
-    def possible(self, query: np.ndarray, own: np.ndarray, k: int, few: int = FEW) -> np.ndarray:
-        """The vectors that can be among the query's k best; own: those that may not be found."""
+    def possible(self, query: np.ndarray, own: np.ndarray, k: int, few: float = FEW) -> np.ndarray:
+        """The vectors that can be among the query's k best; own: those that may not be found. Stops once they are no more than that share of the block."""
         q = query.astype(np.float64)
-        weight = np.abs(q)[self.seg_dim]
+        size = np.abs(q)
+        weight = size[self.seg_dim]
         bound = weight * (self.seg_impact + 1) * self.step
         order = np.argsort(-bound, kind="stable")
-        middle = (q[self.seg_dim] * self.seg_sign) * (self.seg_impact + 0.5) * self.step
-        slack = 0.5 * weight * self.step
-        score, error, left = np.zeros(self.n), np.zeros(self.n), self.postings.copy()
-        sizes = (self.start[1:] - self.start[:-1])[order]
-        done, next_proof, total = 0, 0.0, max(1, int(sizes.sum()))
-        for at, s in enumerate(order):
-            rows = self.rows[self.start[s] : self.start[s + 1]]
-            score[rows] += middle[s]
-            error[rows] += slack[s]
-            left[rows] -= 1
-            done += len(rows)
-            if done / total < next_proof and at + 1 < len(order):
+        middle = ((q[self.seg_dim] * self.seg_sign) * (self.seg_impact + 0.5) * self.step)[order].tolist()
+        starts, ends, coming = self.start[:-1][order].tolist(), self.start[1:][order].tolist(), [*bound[order][1:].tolist(), 0.0]
+        # What a processed posting may be off by, and the most that a dimension can still bring.
+        off, most = 0.5 * size.sum() * self.step, size * self.top
+        score, rows, done, next_proof, total = np.zeros(self.n), self.rows, 0, 1 / PROOFS, max(1, len(self.rows))
+        may = ~own
+        for at, (a, z, m) in enumerate(zip(starts, ends, middle, strict=True)):
+            score[rows[a:z]] += m
+            done += z - a
+            if done < next_proof * total and at + 1 < len(order):
                 continue
             next_proof = done / total + 1 / PROOFS
-            coming = bound[order[at + 1]] if at + 1 < len(order) else 0.0
-            reach = (error + left * coming) * (1 + 1e-9) + 1e-9 * np.abs(score)
-            floor = np.where(own, -np.inf, score - reach)
-            kth = np.partition(floor, self.n - k)[self.n - k] if self.n > k else -np.inf
-            may = (score + reach >= kth) & ~own
-            if may.sum() <= max(k, few):
-                return np.flatnonzero(may)
-        return np.flatnonzero(~own) if not len(order) else np.flatnonzero(may)
+            reach = (off + np.minimum(most, coming[at]).sum()) * (1 + 1e-9) + 1e-9 * float(np.abs(score).max(initial=0.0))
+            found = score if not own.any() else np.where(own, -np.inf, score)
+            kth = np.partition(found, self.n - k)[self.n - k] if self.n > k else -np.inf
+            may = (found >= kth - 2 * reach) & ~own
+            if may.sum() <= max(k, few * self.n):
+                break
+        return np.flatnonzero(may)
 
     def topk(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
         """(score, vec_id) of the query's k best, ties to the smaller id."""
         own = self.ids == query_id
         members = np.flatnonzero(~own) if self.wide(query) else self.possible(query, own, k)
-        return sorted(zip(self.exact(query, members), self.ids[members].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+        scores = self.exact(query, members)
+        if len(scores) > k:  # all that reach the k-th score, ties among them
+            kept = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            members, scores = members[kept], scores[kept]
+        return sorted(zip(scores.tolist(), self.ids[members].tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
 
 
 def _matrices(ids: np.ndarray, lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
