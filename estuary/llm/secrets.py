@@ -143,6 +143,11 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often use mentions it: it becomes a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Texts of an index shard, about.
 SHARD = 4096
 
@@ -155,10 +160,10 @@ def index(docs: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
     """(shard, gram, texts, rows): the inverted index. texts: the sorted hashes of the shard's texts that hold gram (an index into grams), each with its
     number of rows. A row without any of the grams is in no list; a null text is an empty one."""
     body = text_or_empty(text)
-    lower = F.lower(body)
-    held = F.filter(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())
+    lowered = docs.select(text_key(body).alias("key"), F.lower(body).alias("lower"))
+    held = _bound(F.col("lower"), lambda lower: F.filter(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull()))
     shards = max(1, docs.count() // SHARD)
-    found = docs.select(text_key(body).alias("key"), F.explode(held).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("rows"))
+    found = lowered.select("key", F.explode(held).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("rows"))
     entry = F.struct("key", "rows")
     return found.groupBy(F.pmod("key", F.lit(shards)).alias("shard"), "gram").agg(F.array_sort(F.collect_list(entry)).alias("texts"))
 
@@ -193,11 +198,6 @@ SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 CHUNK, LEVELS = 64, 2
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is evaluated once however often use mentions it: it becomes a lambda's variable."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def running(values: Column, plus: Callable[[Column, Column], Column], levels: int = LEVELS) -> Column:
     """For each of an array of longs, what plus makes of 0 and all values before it."""
     zero = F.lit(0).cast("long")
