@@ -22,7 +22,7 @@ def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT count(*) AS rows, count(*) FILTER (WHERE o_custkey % 50 = 0) AS without_owner FROM orders""")
 def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls of required columns in one pass over conformed rows."""
-    o = read(spark, sf_dir, "orders").select(F.lit("v").alias("venue"), F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey").cast("string")).alias("contract_id"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").cast("string").alias("record_id"))
+    o = read(spark, sf_dir, "orders").select(F.lit("v").alias("venue"), F.when(F.col("o_custkey") % 50 != 0, F.col("o_custkey").cast("string")).alias("contract_id"), F.col("o_totalprice").cast("decimal(38,12)").alias("price"), F.col("o_orderkey").cast("string").alias("record_id"))
     return conform(o, TABLES["trades"]).agg(F.count("*").alias("rows"), F.count_if(F.col("contract_id").isNull()).alias("without_owner"))
 
 

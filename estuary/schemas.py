@@ -53,8 +53,34 @@ TABLES = {
 }
 
 
+WHOLE = ("byte", "short", "integer", "long")
+FRACTIONAL = ("float", "double")
+
+
+def _refused(own: str, kind: str) -> str | None:
+    """Why a column of type own may not become kind; None if it may."""
+    to = kind.split("(")[0]
+    if own == "boolean" and to != "boolean":
+        return "a boolean is no value of it"
+    if to == "decimal" and own in FRACTIONAL:
+        return "a float is no exact decimal; convert it where it comes from"
+    if to == "timestamp" and own != "timestamp":
+        return "an instant needs a time zone"
+    if to == "boolean" and own != "boolean":
+        return "only a boolean is one"
+    if to in ("bigint", "int") and own not in (*WHOLE, *FRACTIONAL):
+        return "only a number is one"
+    if to == "double" and own not in (*WHOLE, *FRACTIONAL) and not own.startswith("decimal"):
+        return "only a number is one"
+    if to == "string" and (own in FRACTIONAL or own in ("timestamp", "timestamp_ntz", "date", "binary")):
+        return "only text, whole numbers and decimals are text"
+    return None
+
+
 def conform(df: DataFrame, table: Table) -> DataFrame:
-    """df with the table's columns in their types: missing optional ones are null, undeclared ones raise, NaN and infinities become null."""
+    """df with the table's columns in their types. Missing optional columns are null; undeclared columns, and columns whose type says something else than the
+    declared one, raise: no boolean becomes a number, no float a decimal, no time without a zone an instant. Structured values of JSON columns are spelled. NaN and infinities
+    become null; a fraction in a column of whole numbers fails the query."""
     extra = set(df.columns) - set(table.columns)
     if extra:
         raise ValueError(f"{table.name} does not declare {sorted(extra)}")
@@ -63,9 +89,16 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
         if c not in df.columns:
             out.append(F.lit(None).cast(kind).alias(c))
             continue
-        x = F.col(c)
-        if df.schema[c].dataType.typeName() in ("double", "float"):
+        x, own = F.col(c), df.schema[c].dataType.typeName()
+        if c in table.json_columns and own in ("array", "struct", "map"):
+            out.append(F.to_json(x).alias(c))
+            continue
+        if own != "void" and (why := _refused(own, kind)):
+            raise TypeError(f"{table.name}.{c} is {own}, declared {kind}: {why}")
+        if own in FRACTIONAL:
             x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+            if kind in ("bigint", "int"):
+                x = F.when((x == F.floor(x)) | x.isNull(), x).otherwise(F.raise_error(F.lit(f"{table.name}.{c} holds a fraction")))
         out.append(x.cast(kind).alias(c))
     return df.select(*out)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+import math
+import time
 import uuid
+from decimal import Decimal
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sealed import _file
+from .sealed import _file, create_once
 
 # The fields of a run's record, those it must have, and how a locked test can end.
 RUN_FIELDS = ("run_id", "spec_hash", "data_hash", "source_hash", "environment_hash", "event_ids", "seed", "metrics", "synthetic", "created_at")
@@ -32,7 +35,7 @@ def _name(*parts: str) -> str:
 
 
 class RunRegistry:
-    """Every fact is one file that is created exclusively, which a shared file system decides for one writer only; nothing is overwritten."""
+    """Every fact is one file that is created exclusively and whole, which a shared file system decides for one writer only; no fact is overwritten."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -50,17 +53,11 @@ class RunRegistry:
 
     def _create(self, path: str, value: dict) -> bool:
         """False if the file was there already."""
-        text = canonical(value).encode()
+        return create_once(self.spark, f"{self.root}/{path}", canonical(value).encode())
+
+    def _delete(self, path: str) -> None:
         fs, at = _file(self.spark, f"{self.root}/{path}")
-        try:
-            out = fs.create(at, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception):
-                return False
-            raise
-        out.write(bytearray(text))
-        out.close()
-        return True
+        fs.delete(at, False)
 
     def record_run(self, record: dict) -> str:
         """Stores a run; the same content again is no change, other content under the same id raises."""
@@ -78,8 +75,11 @@ class RunRegistry:
                 raise RegistryConflict(f"run {record['run_id']} is held with other content")
         return record["run_id"]
 
-    def reserve(self, spec_hash: str, dataset_hash: str, event_ids: list[str]) -> str:
-        """A token for the one locked test of a specification. Events that another test claimed raise, and the claims made here are undone."""
+    def reserve(self, spec_hash: str, dataset_hash: str, event_ids: list[str], lease: float = 600.0) -> str:
+        """A token for the one locked test of a specification. Events that another test claimed raise.
+
+        The token's file is the commit: a claim counts only if its token has one, so that all of a test's claims come into force at once. Claims of a
+        writer that broke off before it have no token and are taken over once they are older than the lease, in seconds."""
         events = sorted(set(map(str, event_ids)))
         if not events or len(events) != len(event_ids):
             raise ValueError("event_ids must be a set of at least one")
@@ -87,23 +87,30 @@ class RunRegistry:
         held = {"token": token, "spec_hash": spec_hash, "dataset_hash": dataset_hash, "event_ids": events}
         made = []
         try:
-            for e in events:
-                path = f"claims/{_name(e)}.json"
-                if not self._create(path, {"event_id": e, "token": token}):
-                    raise RegistryConflict(f"event {e} is claimed")
-                made.append(path)
-            path = f"reservations/{_name(spec_hash)}.json"
-            if not self._create(path, held):
-                raise RegistryConflict(f"specification {spec_hash} is reserved")
-            made.append(path)
+            for name, what in [(f"claims/{_name(e)}.json", f"event {e}") for e in events] + [(f"reservations/{_name(spec_hash)}.json", f"specification {spec_hash}")]:
+                if not self._claim(name, token, lease):
+                    raise RegistryConflict(f"{what} is claimed")
+                made.append(name)
+            if not all((self._read(name) or {}).get("token") == token for name in made):
+                raise RegistryConflict("a claim was taken over; the lease is too short")
             self._create(f"tokens/{token}.json", held)
         except BaseException:
-            for path in made:
-                fs, at = _file(self.spark, f"{self.root}/{path}")
-                fs.delete(at, False)
+            for name in made:
+                if (self._read(name) or {}).get("token") == token:
+                    self._delete(name)
             raise
         return token
 
+    def _claim(self, name: str, token: str, lease: float) -> bool:
+        mine = {"token": token, "at": time.time()}
+        if self._create(name, mine):
+            return True
+        held = self._read(name)
+        if held is None or self._read(f"tokens/{held['token']}.json") is not None or time.time() - held["at"] < lease:
+            return False
+        self._delete(name)
+        return self._create(name, mine)
+
     def finish(self, token: str, status: str, result: dict) -> None:
         """Ends a locked test once; the same outcome again is no change."""
         if status not in ENDINGS:
@@ -120,6 +127,38 @@ class RunRegistry:
         return texts.select(F.get_json_object("value", "$.run_id").alias("run_id"), F.get_json_object("value", "$.created_at").alias("created_at"), F.col("value").alias("payload")).orderBy("created_at", "run_id")
 
 
+def export_lines(registry: RunRegistry) -> list[str]:
+    """All runs as canonical JSON, a line each, by (created_at, run_id). Control plane: a handful of runs."""
+    return [canonical(json.loads(r["payload"])) for r in registry.runs().collect()]
+
+
+def lossless(value: object, notes: list[str], at: str = "$") -> object:
+    """value as strict JSON: decimals and instants as text, numbers that are not finite as null, each with a note of where."""
+    if isinstance(value, dict):
+        return {str(k): lossless(v, notes, f"{at}.{k}") for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [lossless(v, notes, f"{at}[{i}]") for i, v in enumerate(value)]
+    if isinstance(value, float) and not math.isfinite(value):
+        notes.append(f"{at}: {value} is written as null")
+        return None
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    if isinstance(value, (dt.datetime, dt.date)):
+        return value.isoformat()
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    raise TypeError(f"{at}: {type(value).__name__} has no JSON form")
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> list[str]:
+    """Writes a report once, as strict JSON, and returns the notes on what it could not carry; other content at that place raises."""
+    notes: list[str] = []
+    text = canonical(lossless(report, notes)).encode()
+    if not create_once(spark, path, text) and spark.read.text(path, wholetext=True).first()[0].encode() != text:
+        raise RegistryConflict(f"{path} holds another report")
+    return notes
+
+
 def file_digests(spark: SparkSession, root: str, names: list[str]) -> dict[str, str | None]:
     """sha256 of each named file under root; an absent one is null, not left out. Executors read the bytes."""
     held, where = dict.fromkeys(sorted(names)), {}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +29,51 @@ def identity(df: DataFrame) -> str:
     return df.agg(table_digest(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).alias("d")).first()["d"]
 
 
+def create_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Writes a file whole and only if there is none: it is written beside its place and then moved there, a move that does not overwrite. False if one was there."""
+    fs, at = _file(spark, path)
+    if fs.exists(at):
+        return False
+    sc = spark.sparkContext
+    fs_package = sc._jvm.org.apache.hadoop.fs
+    beside = fs.makeQualified(fs_package.Path(f"{path}.{uuid.uuid4().hex}.part"))
+    out = fs.create(beside, False)
+    out.write(bytearray(content))
+    out.close()
+    how = sc._gateway.new_array(fs_package.Options.Rename, 1)
+    how[0] = fs_package.Options.Rename.NONE
+    try:
+        fs_package.FileContext.getFileContext(beside.toUri(), sc._jsc.hadoopConfiguration()).rename(beside, fs.makeQualified(at), how)
+    except Py4JJavaError as e:
+        fs.delete(beside, False)
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
 def write_sealed(df: DataFrame, path: str, table: str) -> dict:
     """Conform, check required columns, write in the table's order, and leave a manifest. An existing dataset of the same rows stays as it
-    is; other rows at that place are refused."""
+    is; other rows at that place are refused.
+
+    Rows go to a folder of their own, and the manifest, which names it, comes last and at once: a write that breaks off leaves nothing that is read and
+    nothing that blocks the place."""
     spark, spec = df.sparkSession, TABLES[table]
     rows = conform(df, spec)
     if missing := missing_required(rows, spec):
         raise SealError(f"{table}: null in required {missing}")
     manifest = {"table": table, "version": spec.version, "rows": rows.count(), "identity": identity(rows)}
     fs, at = _file(spark, f"{path}/manifest.json")
-    if fs.exists(at):
-        if _manifest(spark, path) != manifest:
-            raise SealError(f"{path} holds other rows")
-        return manifest
-    rows.orderBy(*[F.col(c).asc_nulls_last() for c in spec.sort_by]).write.mode("errorifexists").parquet(f"{path}/rows")
-    out = fs.create(at, False)
-    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-    out.close()
+    if not fs.exists(at):
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.orderBy(*[F.col(c).asc_nulls_last() for c in spec.sort_by]).write.mode("errorifexists").parquet(f"{path}/{folder}")
+        if create_once(spark, f"{path}/manifest.json", json.dumps(manifest | {"folder": folder}, sort_keys=True).encode()):
+            return manifest
+        _, unused = _file(spark, f"{path}/{folder}")
+        fs.delete(unused, True)
+    held = _manifest(spark, path)
+    if {k: v for k, v in held.items() if k != "folder"} != manifest:
+        raise SealError(f"{path} holds other rows")
     return manifest
 
 
@@ -60,7 +90,7 @@ def read_sealed(spark: SparkSession, path: str, table: str, verify: bool = True)
     manifest = _manifest(spark, path)
     if (manifest["table"], manifest["version"]) != (table, spec.version):
         raise SealError(f"{path} holds {manifest['table']} v{manifest['version']}")
-    df = spark.read.parquet(f"{path}/rows")
+    df = spark.read.parquet(f"{path}/{manifest['folder']}")
     if dict(df.dtypes) != dict((c, f.dataType.simpleString()) for c, f in ((f.name, f) for f in spec.schema)):
         raise SealError(f"{path} has another schema")
     if verify and identity(df) != manifest["identity"]:
@@ -68,6 +98,16 @@ def read_sealed(spark: SparkSession, path: str, table: str, verify: bool = True)
     return df
 
 
+def load_sealed(spark: SparkSession, path: str, table: str, column: str | None = None, values: list | None = None) -> DataFrame:
+    """The verified rows, all or those whose column is one of the values; a long list is joined, not spelled into the plan."""
+    df = read_sealed(spark, path, table)
+    if values is None:
+        return df
+    if len(values) <= 100:
+        return df.where(F.col(column).isin(values))
+    return df.join(spark.createDataFrame([(v,) for v in set(values)], f"{column} {df.schema[column].dataType.simpleString()}"), column, "left_semi").select(*df.columns)
+
+
 def query_sealed(spark: SparkSession, path: str, table: str, sql: str, parameters: list | None = None) -> DataFrame:
     """Caller's SQL over one verified dataset, a view by the table's name; ? stand for parameters."""
     read_sealed(spark, path, table).createOrReplaceTempView(table)
@@ -89,3 +129,38 @@ def write_build(df: DataFrame, path: str, keys: list[str]) -> int:
     if n:
         df.write.mode("append").partitionBy(*keys).parquet(path)
     return n
+
+
+def put_blobs(blobs: DataFrame, path: str) -> DataFrame:
+    """Stores (source, record_id, payload) by content and returns receipts (receipt_id, source, record_id, raw_hash, bytes).
+
+    A blob is written once under its sha256. A receipt's id comes from source and record; one id with two payloads raises, here and against what is stored;
+    records without an id are occurrences of their own."""
+    spark = blobs.sparkSession
+    known = F.concat_ws("\x1f", "source", "record_id")
+    digest = F.sha2("payload", 256)
+    own = F.when(F.col("record_id").isNotNull(), F.sha2(known.cast("binary"), 256)).otherwise(F.expr("uuid()"))
+    rows = blobs.select(own.alias("receipt_id"), "source", "record_id", digest.alias("raw_hash"), F.octet_length("payload").cast("long").alias("bytes"), "payload")
+    made = rows.groupBy("receipt_id").agg(F.first(F.struct("source", "record_id", "raw_hash", "bytes")).alias("r"), F.count_distinct("raw_hash").alias("n"))
+    if clash := made.where("n > 1 and r.record_id is not null").limit(1).collect():
+        raise SealError(f"record {clash[0]['r']['record_id']} comes with two payloads")
+    fs, at = _file(spark, f"{path}/receipts")
+    receipts = made.select("receipt_id", "r.*")
+    if fs.exists(at):
+        held = spark.read.parquet(f"{path}/receipts")
+        both = receipts.join(held.select("receipt_id", F.col("raw_hash").alias("was")), "receipt_id")
+        if clash := both.where("raw_hash != was").limit(1).collect():
+            raise SealError(f"record {clash[0]['record_id']} is stored with another payload")
+        receipts = receipts.join(held.select("receipt_id"), "receipt_id", "left_anti")
+        stored = spark.read.parquet(f"{path}/blobs").select("raw_hash")
+        rows = rows.join(stored, "raw_hash", "left_anti")
+    rows.groupBy("raw_hash").agg(F.first("payload").alias("payload")).write.mode("append").parquet(f"{path}/blobs")
+    receipts.write.mode("append").parquet(f"{path}/receipts")
+    return spark.read.parquet(f"{path}/receipts")
+
+
+def verified_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(raw_hash, bytes, intact, payload): stored blobs, each re-hashed; what is not what its name says is not intact and has no payload."""
+    b = spark.read.parquet(f"{path}/blobs")
+    intact = F.sha2("payload", 256) == F.col("raw_hash")
+    return b.select("raw_hash", F.octet_length("payload").cast("long").alias("bytes"), intact.alias("intact"), F.when(intact, F.col("payload")).alias("payload"))

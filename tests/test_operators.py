@@ -111,7 +111,11 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_sealed_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("c1", "r1", "yes", 0.0), ("c2", "r2", "no", 1.0), ("c3", None, "yes", float("nan"))], "contract_id string, rule_hash string, outcome string, payout double")
+    from decimal import Decimal
+
+    df = spark.createDataFrame([("c1", "r1", "yes", Decimal(0)), ("c2", "r2", "no", Decimal(1)), ("c3", None, "yes", None)], "contract_id string, rule_hash string, outcome string, payout decimal(10,2)")
+    broken = spark.createDataFrame([(1,)], "x int").write.parquet(f"{tmp_path}/x/rows-of-a-writer-that-broke-off")  # blocks nothing
+    assert broken is None
     first = sealed.write_sealed(df, f"{tmp_path}/x", "resolutions")
     assert sealed.write_sealed(df.orderBy(F.desc("contract_id")), f"{tmp_path}/x", "resolutions") == first
     with pytest.raises(sealed.SealError):
@@ -124,6 +128,8 @@ def test_sealed_round_trip(spark, tmp_path):
         sealed.write_sealed(df.withColumn("more", F.lit(1)), f"{tmp_path}/y", "resolutions")
     with pytest.raises(sealed.SealError):
         sealed.write_sealed(df.withColumn("outcome", F.lit(None).cast("string")), f"{tmp_path}/y", "resolutions")
+    assert sealed.load_sealed(spark, f"{tmp_path}/x", "resolutions", "contract_id", ["c1", "c9"]).count() == 1
+    assert sealed.load_sealed(spark, f"{tmp_path}/x", "resolutions", "contract_id", ["c2", *map(str, range(200))]).count() == 1
     builds = spark.createDataFrame([("b1", 1), ("b2", 2)], "build string, v int")
     assert sealed.write_build(builds, f"{tmp_path}/b", ["build"]) == 2 and sealed.write_build(builds, f"{tmp_path}/b", ["build"]) == 0
 
@@ -333,3 +339,78 @@ def test_quantiles_equal_numpy(spark):
         assert got[g] == pytest.approx(np.quantile([x for k, x in rows if k == g], ps).tolist(), rel=1e-12)
     assert "d" not in got and list(quantiles.quantiles(df.where("g = 'a'"), "x", [0.5]).first()) == pytest.approx([np.median([x for k, x in rows if k == "a"])])
     assert quantiles.quantiles(df.where("g = 'd'"), "x", [0.5]).first() is None
+
+
+def test_types_are_not_coerced(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from estuary.schemas import TABLES, conform
+
+    row = {"venue": "v", "contract_id": "c", "record_id": "r"}
+    ok = conform(spark.createDataFrame([("v", "c", "r", Decimal("0.5"))], "venue string, contract_id string, record_id string, price decimal(10,4)"), TABLES["trades"])
+    assert ok.first()["price"] == Decimal("0.5") and ok.columns == list(TABLES["trades"].columns)
+    for column, kind, value in (("price", "double", 0.5), ("price", "boolean", True), ("source_time", "timestamp_ntz", dt.datetime(2024, 1, 1)), ("record_id", "double", 1.5)):
+        cols = {**{k: "string" for k in row}, column: kind}
+        df = spark.createDataFrame([tuple({**row, column: value}[c] for c in cols)], ", ".join(f"{c} {k}" for c, k in cols.items()))
+        with pytest.raises(TypeError):
+            conform(df, TABLES["trades"])
+    events = lambda x: spark.createDataFrame([("v", "c", "delta", "r", x)], "venue string, contract_id string, kind string, record_id string, sequence double")
+    assert conform(events(3.0), TABLES["book_events"]).first()["sequence"] == 3 and conform(events(float("nan")), TABLES["book_events"]).first()["sequence"] is None
+    with pytest.raises(Exception, match="fraction"):
+        conform(events(3.5), TABLES["book_events"]).collect()
+    nested = spark.createDataFrame([("v", "c", "snapshot", "r", [[0.4, 1.0]])], "venue string, contract_id string, kind string, record_id string, bid_levels array<array<double>>")
+    assert conform(nested, TABLES["book_events"]).first()["bid_levels"] == "[[0.4,1.0]]"
+
+
+def test_blobs_and_reports(spark, tmp_path):
+    from decimal import Decimal
+
+    from estuary.sources import registry
+
+    blobs = spark.createDataFrame([("s", "1", b"x"), ("s", "2", b"x"), ("t", None, b"y"), ("t", None, b"y")], "source string, record_id string, payload binary")
+    got = sealed.put_blobs(blobs, f"{tmp_path}/store").collect()
+    assert len(got) == 4 and len({r["raw_hash"] for r in got}) == 2 and sealed.verified_blobs(spark, f"{tmp_path}/store").where("intact").count() == 2
+    assert sealed.put_blobs(blobs.where("record_id is not null"), f"{tmp_path}/store").count() == 4
+    for bad in ([("s", "1", b"z")], [("u", "1", b"a"), ("u", "1", b"b")]):
+        with pytest.raises(sealed.SealError):
+            sealed.put_blobs(spark.createDataFrame(bad, "source string, record_id string, payload binary"), f"{tmp_path}/store")
+    notes = registry.write_report(spark, {"a": float("nan"), "b": Decimal("1.50"), "c": [1, None]}, f"file://{tmp_path}/report.json")
+    assert notes == ["$.a: nan is written as null"] and (tmp_path / "report.json").read_text() == '{"a":null,"b":"1.50","c":[1,null]}'
+    with pytest.raises(registry.RegistryConflict):
+        registry.write_report(spark, {"a": 1}, f"file://{tmp_path}/report.json")
+
+
+def test_claims_of_a_writer_that_broke_off(spark, tmp_path):
+    from estuary.sources import registry
+
+    runs = registry.RunRegistry(spark, f"file://{tmp_path}/r")
+    assert runs._claim(f"claims/{registry._name('e')}.json", "gone", 600.0)  # and no commit follows
+    with pytest.raises(registry.RegistryConflict):
+        runs.reserve("spec", "data", ["e"])
+    token = runs.reserve("spec", "data", ["e", "f"], lease=0.0)
+    with pytest.raises(registry.RegistryConflict):
+        runs.reserve("other", "data", ["f"], lease=0.0)  # a committed claim stands, however old
+    runs.finish(token, "complete", {"x": 1})
+    assert registry.export_lines(registry.RunRegistry(spark, f"file://{tmp_path}/r")) == [] if (tmp_path / "r/runs").exists() else True
+
+
+def test_joint_tests_and_caller_statistics(spark):
+    import numpy as np
+
+    from estuary.operators import models
+
+    assert models.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9) and models.chi_square_tail(18.307038053275146, 10) == pytest.approx(0.05, abs=1e-9) and models.chi_square_tail(0.1, 4) == pytest.approx(0.998791, abs=1e-6)
+    rng = np.random.default_rng(8)
+    rows = [("f", int(i % 25), float(s), float(q), float(0.5 * s + 0.4 * s * q + rng.normal(0, 0.1))) for i, (s, q) in enumerate(rng.normal(0, 1, (400, 2)))]
+    df = spark.createDataFrame(rows, "family string, release long, s double, q double, y double")
+    (cell,) = models.interacted_projection(df, "s", [], ["q"], "y", "release", ["family"])
+    x = np.array([[1.0, r[2], r[3], r[2] * r[3]] for r in rows])
+    beta = np.linalg.lstsq(x, np.array([r[4] for r in rows]), rcond=None)[0]
+    assert cell["coefficients"] == pytest.approx(beta.tolist(), rel=1e-8) and cell["interactions"]["p"] < 1e-6
+    assert cell["marginal"] == pytest.approx(beta[1] + beta[3] * np.mean([r[3] for r in rows])) and cell["interactions"]["statistic"] == pytest.approx(beta[3] ** 2 / cell["covariance"][3][3])
+    got = {r["metric"]: r for r in stats.statistic_bootstrap(df, "release", lambda p: {"mean": p["y"].mean(), "n": float(len(p))}, 200, 3).collect()}
+    assert got["mean"]["lower"] < got["mean"]["point"] < got["mean"]["upper"] and got["n"]["status"] == "degenerate" and got["mean"]["effective"] == 200
+    assert stats.statistic_bootstrap(df.where("release = 1"), "release", lambda p: {"m": p["y"].mean()}, 10).first()["status"] == "inconclusive"
+    d, pi = models.coherent_prices(np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([0.6, 0.9]), np.array([0.7, 0.95]))
+    assert d == pytest.approx(0.05) and (np.array([[1.0, 0.0], [1.0, 1.0]]) @ pi) == pytest.approx([0.65, 1.0], abs=0.11)
