@@ -298,7 +298,7 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulated_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.detections(spark, ["null", "communication"], 40, 120, 11)
+    return simulate.detections(spark, ["shared_news_delay", "communication"], 24, 120, 11)
 
 
 @query("""SELECT l_orderkey AS release, count(*) AS rows, round(avg(abs(l_tax - l_discount) - abs(0.05 - l_discount)), 8) AS gain FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1""")
@@ -309,4 +309,13 @@ def paired_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def calibrated_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.calibrated(spark, ["null", "own_momentum"], ["communication"], 120, 120, 5)
+    return simulate.calibrated(spark, ["shared_news_delay", "spread_only"], ["communication"], 40, 120, 5)
+
+
+@query()
+def simulated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, complete ones and reasons of every declared scenario."""
+    from functools import reduce
+
+    each = [simulate.simulated(spark, name, 12, 7).withColumn("scenario", F.lit(name)) for name in simulate.SCENARIOS]
+    return reduce(DataFrame.unionByName, each).groupBy("scenario", "exclusion_reason").agg(F.count("*").alias("rows"), F.count("target").alias("targets"))

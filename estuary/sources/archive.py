@@ -11,25 +11,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masking import reasons
+from .layers import admitted_shards
 
 #: Columns that tell how a market ended; no scan may ask for them.
 NEVER_SELECTED = ("winning_outcome_label", "resolution_status")
 
 
+def shard_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The parquet files of paths, folders included, by name. Names are read, contents are not."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(paths)
+    return sorted(r[0] for r in listed.select("path").collect())  # one row a shard
+
+
 def scan_shards(spark: SparkSession, paths: list[str], columns: dict[str, tuple[str, str]], required: tuple[str, ...], window: tuple[Column, Column, Column] | None = None, keep: Column | None = None) -> DataFrame:
-    """name -> (source column, type) of many shards, with shard and row_position. A missing optional column is null, a missing required one raises;
-    the window (time, from, to) and keep are pushed to the scan, and positions survive them."""
+    """name -> (source column, type) of many shards, with shard and row_position. A missing optional column is null; a shard without a required one raises, see extract() for
+    leaving it out. The window (time, from, to) and keep are pushed to the scan, and positions survive them."""
+    df, skipped = extract(spark, paths, columns, required, window, keep)
+    if absent := [x for x in skipped if x[1].startswith("missing_required")]:
+        raise ValueError(f"required columns are missing: {absent[:3]}")
+    return df
+
+
+def extract(
+    spark: SparkSession, paths: list[str], columns: dict[str, tuple[str, str]], required: tuple[str, ...], window: tuple[Column, Column, Column] | None = None, keep: Column | None = None, bounds: dict[str, tuple] | None = None,
+    span: tuple | None = None,
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(rows of all admitted shards, (shard, why not) of the rest): see layers.admitted_shards. bounds, from an inventory, and span tell which shards can hold the window.
+    Shards are read by groups of one schema, so that a column that some lack is null there and an error nowhere."""
     if banned := [s for s, _ in columns.values() if s in NEVER_SELECTED]:
         raise ValueError(f"{banned} may not be selected")
-    df = spark.read.option("mergeSchema", "true").parquet(*paths)
-    if absent := [n for n in required if columns[n][0] not in df.columns]:
-        raise ValueError(f"required {absent} are missing")
-    chosen = [F.col(s).cast(k).alias(n) if s in df.columns else F.lit(None).cast(k).alias(n) for n, (s, k) in columns.items()]
-    if window:
-        df = df.where((window[0] >= window[1]) & (window[0] <= window[2]))
-    if keep is not None:
-        df = df.where(keep)
-    return df.select(*chosen, F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row_position"))
+    admitted, skipped = admitted_shards(spark, shard_files(spark, paths), columns, required, bounds, span)
+    if not admitted:
+        if any(why.startswith("missing_required") for _, why in skipped):
+            raise ValueError(f"required columns are missing: {skipped[:3]}")
+        spec = ", ".join([*(f"{n} {k}" for n, (_, k) in columns.items()), "shard string", "row_position long"])
+        return spark.createDataFrame([], spec), skipped
+    groups: dict[frozenset, list[str]] = {}
+    for path, have in admitted.items():
+        groups.setdefault(frozenset(have), []).append(path)
+    out = None
+    for have, files in groups.items():
+        df = spark.read.parquet(*files)
+        if window:
+            df = df.where((window[0] >= window[1]) & (window[0] <= window[2]))
+        if keep is not None:
+            df = df.where(keep)
+        chosen = [F.col(s).cast(k).alias(n) if s in have else F.lit(None).cast(k).alias(n) for n, (s, k) in columns.items()]
+        rows = df.select(*chosen, F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row_position"))
+        out = rows if out is None else out.unionByName(rows)
+    return out, skipped
 
 
 def occurrence(rows: DataFrame, shard_hashes: DataFrame) -> DataFrame:

@@ -82,9 +82,10 @@ def probe_schema(spark: SparkSession, path: str) -> dict[str, str] | None:
         return None
 
 
-def admitted_shards(spark: SparkSession, paths: list[str], columns: dict[str, tuple[str, str]], required: tuple[str, ...], bounds: dict[str, tuple] | None = None, window: tuple | None = None) -> tuple[list[str], list[tuple[str, str]]]:
-    """(shards to scan, (shard, why not) of the rest): unreadable, without a required column, or with footer bounds outside the window. Control plane: one footer a shard."""
-    kept, skipped = [], []
+def admitted_shards(spark: SparkSession, paths: list[str], columns: dict[str, tuple[str, str]], required: tuple[str, ...], bounds: dict[str, tuple] | None = None, window: tuple | None = None) -> tuple[dict[str, dict[str, str]], list[tuple[str, str]]]:
+    """(shards to scan with their columns, (shard, why not) of the rest): unreadable, without a required column, or with footer bounds outside the window. Control plane: one
+    footer a shard."""
+    kept, skipped = {}, []
     for path in paths:
         low, high = (bounds or {}).get(path, (None, None))
         if window and low is not None and high is not None and (high < window[0] or low > window[1]):
@@ -96,5 +97,5 @@ def admitted_shards(spark: SparkSession, paths: list[str], columns: dict[str, tu
         elif absent := [n for n in required if columns[n][0] not in schema]:
             skipped.append((path, "missing_required:" + ",".join(absent)))
         else:
-            kept.append(path)
+            kept[path] = schema
     return kept, skipped

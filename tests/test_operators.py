@@ -146,7 +146,18 @@ def test_archive_sources(spark, tmp_path):
         archive.scan_shards(spark, [f"{tmp_path}/s"], {"x": ("resolution_status", "string")}, ())
     with pytest.raises(ValueError):
         archive.scan_shards(spark, [f"{tmp_path}/s"], {"x": ("nothing", "string")}, ("x",))
+    df.drop("taker_side").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df.drop("ticker").coalesce(1).write.parquet(f"{tmp_path}/u")
+    both = [f"{tmp_path}/s", f"{tmp_path}/t", f"{tmp_path}/u"]
+    named = {"t": ("ticker", "string"), "side": ("taker_side", "string")}
+    rows, skipped = archive.extract(spark, both, named, ("t",))
+    assert rows.count() == 8 and rows.where("side is null").count() == 4 and [w for _, w in skipped] == ["missing_required:t"]
+    files = archive.shard_files(spark, both[:2])
+    assert [w for _, w in archive.extract(spark, both[:2], named, ("t",), bounds={files[0]: (5, 9)}, span=(1, 4))[1]] == ["outside_window"]
+    with pytest.raises(ValueError, match="missing_required"):
+        archive.scan_shards(spark, both, named, ("t",))
     (tmp_path / "bad.parquet").write_bytes(b"not parquet")
+    assert archive.extract(spark, [f"{tmp_path}/bad.parquet"], named, ("t",))[1][0][1] == "unreadable"
     files = spark.read.format("binaryFile").load([f"{tmp_path}/s/*.parquet", f"{tmp_path}/bad.parquet"])
     rows = archive.inventory(spark, files, "created_time").collect()
     assert sorted(r["error"] is None for r in rows) == [False, True] and sum(r["rows"] or 0 for r in rows) == 4
@@ -241,10 +252,38 @@ def test_resampling(spark):
 
 
 def test_simulator_is_deterministic(spark):
-    a = simulate.simulated(spark, "communication", 50, 9).orderBy("event_id").collect()
-    assert a == simulate.simulated(spark, "communication", 50, 9).repartition(7).orderBy("event_id").collect()
-    rates = {r["scenario"]: r["rate"] for r in simulate.detections(spark, ["null", "communication"], 20, 150, 1).collect()}
-    assert rates["null"] <= 0.2 and rates["communication"] >= 0.8
+    order = ("event_id", "contract", "horizon")
+    a = simulate.simulated(spark, "communication", 20, 9).orderBy(*order).collect()
+    assert a == simulate.simulated(spark, "communication", 20, 9).repartition(7).orderBy(*order).collect() and len(a) == 180
+    rates = {r["scenario"]: r["rate"] for r in simulate.detections(spark, ["shared_news_delay", "communication"], 8, 120, 1).collect()}
+    assert rates["shared_news_delay"] < 0.3 and rates["communication"] > 0.7
+
+
+def test_scenarios_do_what_they_declare(spark):
+    import numpy as np
+
+    many = lambda name: [simulate.Event(name, 3, i) for i in range(30)]
+    end = lambda e, c: e.slow[c][-1] - e.slow[c][0]
+    null, told = many("shared_news_delay"), many("communication")
+    assert all(a.shock == b.shock and np.array_equal(a.fast["C0"], b.fast["C0"]) for a, b in zip(null, told, strict=True))  # they differ by the edge alone
+    assert all(np.array_equal(a.slow["C0"][:400], b.slow["C0"][:400]) and not np.array_equal(a.slow["C0"], b.slow["C0"]) for a, b in zip(null, told, strict=True))
+    still = many("spread_only")
+    assert max(abs(end(e, "C0")) for e in still) < 0.1 and {round(a - b, 2) for e in still for _, c, at, _, b, a, *_ in e.quotes() if c != "G0" and -30 <= at <= 120} == {0.06}
+    apart = many("opposing_sign")
+    assert sum(np.sign(e.news["C0"]) != np.sign(e.news["C1"]) for e in apart) > 25
+    turned = many("later_reversal")
+    assert sum(np.sign(e.slow["C0"][440] - e.slow["C0"][140]) != np.sign(end(e, "C0")) for e in turned if abs(e.news["C0"]) > 0.05) > 5
+    halted = many("resolution_pause")[0]
+    assert not [q for q in halted.quotes() if q[0] == "beta" and 700 < q[2] < 1000] and {r[-1] for r in halted.rows() if r[1] == 900 and r[0] == "C0"} == {"halted_during_window"}
+    assert np.mean([len(e.updates["beta"]) for e in many("dropped_messages")]) < 0.55 * 1350 / 10
+    coarse = many("coarse_sampling")[0]
+    assert set(np.diff(coarse.t)) == {30.0} and all(round(x / 0.05, 6) == round(x / 0.05) for x in coarse.seen["beta", "C0"])
+    prints, contracts, releases = simulate.tapes(spark, "rule_mismatch", 4, 1)
+    rules = {(r["venue"], r["contract"].split("-")[1]): r["operator"] for r in contracts.collect()}
+    assert rules["alpha", "C1"] == "above" and rules["beta", "C1"] == "at_least" and releases.count() == 4
+    grid = releases.select("event_id", F.col("release").alias("at"), F.lit(True).alias("rule_known"), F.lit(False).alias("closed_before"))
+    made = panel.trade_panel(prints, grid, contracts.select("event_id", "contract"), panel.PanelSettings(150_000_000, 600_000_000, 150_000_000, 600_000_000, (300_000_000,)))
+    assert made.where("valid").count() == made.count() == 4 * 5
 
 
 def test_later_prints_leave_earlier_horizons_alone(spark):
