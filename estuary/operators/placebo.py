@@ -90,7 +90,7 @@ def label_permutation(units: DataFrame, regime: str, repetitions: int, seed: int
     base = units.select("event", F.col(regime).alias("regime"), "y", "x")
     every = base.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
     w = W.partitionBy("repetition", "regime")
-    mixed = F.xxhash64(F.lit(seed), "repetition", F.col("event").cast("string"))
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("repetition").cast("string"), F.col("event").cast("string")).cast("binary"))
     receivers = every.withColumn("place", F.row_number().over(w.orderBy("event"))).select("repetition", "regime", "place", "y")
     donors = every.withColumn("place", F.row_number().over(w.orderBy(mixed, "event"))).select("repetition", "regime", "place", "x")
     null = stats.weighted_slope(receivers.join(donors, ["repetition", "regime", "place"]).withColumn("w", F.lit(1.0)), ["repetition"])

@@ -107,10 +107,13 @@ def placebo_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placebo.placebo_suite(e, f).withColumn("slope", F.round("slope", 6))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS event, min(event_type) AS family, avg(value) AS y, avg(ln(1.0 + event_id % 17)) AS x FROM events GROUP BY 1),
+r AS (SELECT i AS repetition, family, y, row_number() OVER (PARTITION BY i, family ORDER BY event) AS place FROM e, range(99) t(i)), d AS (SELECT i AS repetition, family, x, row_number() OVER (PARTITION BY i, family ORDER BY md5('0:' || i || ':' || event), event) AS place FROM e, range(99) t(i)),
+n AS (SELECT repetition, covar_pop(x, y) / var_pop(x) * stddev_pop(x) AS dealt FROM r JOIN d USING (repetition, family, place) GROUP BY 1), s AS (SELECT count(*) AS events, covar_pop(x, y) / var_pop(x) * stddev_pop(x) AS slope FROM e)
+SELECT events, round(slope, 6) AS slope, count(dealt) AS repetitions, round((1 + count(*) FILTER (WHERE abs(dealt) >= abs(slope))) / (count(dealt) + 1), 8) AS p FROM n, s GROUP BY events, slope""")
 def label_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("event")).agg(F.min("event_type").alias("family"), F.avg("value").alias("y"), F.avg(F.log(1.0 + F.col("event_id") % 17)).alias("x"))
-    return placebo.label_permutation(e, "family", 99)
+    return placebo.label_permutation(e, "family", 99).withColumn("slope", F.round("slope", 6)).withColumn("p", F.round("p", 8))
 
 
 @query()

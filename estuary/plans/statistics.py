@@ -174,16 +174,43 @@ def curve_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return band.select("event_type", *[F.round(c, 6).alias(c) for c in ("point", "lower", "upper")])
 
 
-@query()
+LADDER = {"no_change": [], "own": ["l_quantity"], "news": ["l_quantity", "l_discount"], "network": ["l_quantity", "l_discount", "l_tax"]}
+
+
+def _ridge_sql() -> str:
+    """Each rung's ridge by Cramer's rule from the training sums, alpha by the validation error, scored on the rest."""
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return f"({m[0][0]})"
+        return "(" + " + ".join(f"{'-' if j % 2 else ''}({m[0][j]}) * {det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    fs = LADDER["network"]
+    sums = ", ".join([f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in fs] + ["avg(y) AS my, count(*) AS n"])
+    cross = ", ".join([f"sum((({f}) - m_{f}) / s_{f} * (({g}) - m_{g}) / s_{g}) AS c_{f}_{g}" for f in fs for g in fs] + [f"sum((({f}) - m_{f}) / s_{f} * (y - my)) AS b_{f}" for f in fs])
+    rungs, tests = [], []
+    for name, own in LADDER.items():
+        if not own:
+            continue
+        matrix = [[f"c_{f}_{g}" + (" + alpha" if f == g else "") for g in own] for f in own]
+        whole = det(matrix)
+        weights = ", ".join(f"{det([r[:j] + [f'b_{own[i]}'] + r[j + 1 :] for i, r in enumerate(matrix)])} / {whole} AS w_{own[j]}" for j in range(len(own)))
+        predicted = " + ".join(["my", *(f"w_{f} * ({f} - m_{f}) / s_{f}" for f in own)])
+        rungs.append(f"f_{name} AS (SELECT alpha, {weights} FROM g, a), v_{name} AS (SELECT alpha, avg(abs({predicted} - y)) AS e FROM li, f_{name}, t WHERE third = 1 GROUP BY alpha), b_{name} AS (SELECT arg_min(alpha, (round(e, 9), alpha)) AS alpha FROM v_{name})")
+        tests.append(f"SELECT '{name}' AS kind, alpha, round(avg(abs({predicted} - y)), 4) AS mae FROM li, f_{name} JOIN b_{name} USING (alpha), t WHERE third = 2 GROUP BY alpha")
+    head = f"li AS (SELECT l_quantity, l_discount, l_tax, l_extendedprice AS y, l_orderkey % 3 AS third FROM lineitem), t AS (SELECT {sums} FROM li WHERE third = 0), g AS (SELECT {cross} FROM li, t WHERE third = 0), a AS (SELECT unnest(CAST([0.001, 0.01, 0.1, 1.0, 10.0] AS DOUBLE[])) AS alpha)"
+    return f"WITH {head}, {', '.join(rungs)} SELECT 'no_change' AS kind, CAST(0 AS DOUBLE) AS alpha, round(avg(abs(y)), 4) AS mae FROM li WHERE third = 2 UNION ALL " + " UNION ALL ".join(tests)
+
+
+@query(_ridge_sql())
 def ridge_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rungs of features on one common sample; alpha chosen on validation rows, scored on the rest."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("y"))
-    third = F.pmod(F.xxhash64("l_orderkey"), F.lit(3))
-    rungs = {"no_change": [], "own": ["l_quantity"], "news": ["l_quantity", "l_discount"], "network": ["l_quantity", "l_discount", "l_tax"]}
-    fits = models.fit_ladder(li.where(third == 0), li.where(third == 1), rungs, "y")
+    third = F.col("l_orderkey") % 3
+    fits = models.fit_ladder(li.where(third == 0), li.where(third == 1), LADDER, "y")
     test = li.where(third == 2)
     errors = test.agg(*[F.avg(F.abs(m.column() - F.col("y"))).alias(n) for n, m in fits.items()]).first()
-    return spark.createDataFrame([(n, m.alpha, float(errors[n])) for n, m in fits.items()], "kind string, alpha double, mae double")
+    return spark.createDataFrame([(n, m.alpha, round(float(errors[n]), 4)) for n, m in fits.items()], "kind string, alpha double, mae double")
 
 
 RUNGS = """q AS (SELECT l_suppkey AS suppkey, least(l_linenumber, 3) AS rung, least(l_linenumber, 3) * 0.2 + avg(l_discount) + (l_suppkey % 5) * 0.1 * (2 - least(l_linenumber, 3)) AS bid, avg(l_tax) AS t FROM lineitem GROUP BY 1, 2, l_suppkey % 5),
