@@ -78,6 +78,10 @@ def overlaps_any(windows: Column, start: Column, end: Column) -> Column:
     return F.exists(windows, lambda w: (w["start"] <= end) & (w["end"] >= start))
 
 
+# Why a record is not admitted as a feature, in order.
+FEATURE_REASONS = ("no_record", "usable_time_unknown", "not_yet_available", "last_verified_unknown", "last_verified_after_asof_time", "stale_last_verified", "invalid_record")
+
+
 def features_asof(records: DataFrame, probes: DataFrame, keys: list[str], at: str, max_age: int) -> DataFrame:
     """The latest record by time of each key at each probe, admissible or not: an invalid latest is never passed over for an older valid one.
 
@@ -87,13 +91,9 @@ def features_asof(records: DataFrame, probes: DataFrame, keys: list[str], at: st
 
     found = asof_last(probes, records, keys, at, "time", "record_id", ["usable_time", "last_verified", "valid", "value"])
     t = F.col(at)
-    ladder = [
-        (F.col("matched_time").isNull(), "no_record"),
-        (F.col("matched_time").isNotNull() & F.col("matched_usable_time").isNull(), "usable_time_unknown"),
-        (F.col("matched_usable_time") > t, "not_yet_available"),
-        (F.col("matched_time").isNotNull() & F.col("matched_last_verified").isNull(), "last_verified_unknown"),
-        (F.col("matched_last_verified") > t, "last_verified_after_asof_time"),
-        (F.col("matched_last_verified") <= t - max_age, "stale_last_verified"),
-        (~F.col("matched_valid"), "invalid_record"),
-    ]
-    return masked(found, ladder, ["matched_value"])
+    held = F.col("matched_time").isNotNull()
+    conditions = (
+        ~held, held & F.col("matched_usable_time").isNull(), F.col("matched_usable_time") > t, held & F.col("matched_last_verified").isNull(), F.col("matched_last_verified") > t, F.col("matched_last_verified") <= t - max_age,
+        ~F.col("matched_valid"),
+    )
+    return masked(found, list(zip(conditions, FEATURE_REASONS, strict=True)), ["matched_value"])

@@ -12,6 +12,20 @@ UNIT_OF_ENDING = {
     "_index_level": "index_level", "_thousands": "thousands_of_count", "_jobs": "count", "_hours": "hours", "_usd": "usd",
     "_mom_pct": "percent_change", "_yoy_pct": "percent_change", "_rate_pct": "percent", "_pct": "percent_change",
 }
+EXPECTATION_REFUSALS = (
+    "recorded_evidence_bytes_could_not_be_read",
+    "evidence_bytes_do_not_match_the_recorded_digest",
+    "source_kind_is_not_an_admissible_route",
+    "market_implied_expectation_cannot_validate_the_market",
+    "consensus_identity_is_not_named",
+    "verification_method_is_not_named",
+    "expectation_published_at_or_after_the_release",
+    "expectation_targets_a_revised_actual_not_the_first_print",
+    "statistic_is_not_declared_by_the_release",
+    "reference_period_does_not_match_the_release",
+    "release_declares_no_unit_for_the_statistic",
+    "unit_does_not_match_the_release_statistic",
+)
 ROUTES = ("licensed_consensus", "archived_forecast", "market_implied")
 # What marks a series of the policy rate, and what excludes one.
 POLICY_HOST = "federalreserve.gov"
@@ -45,20 +59,21 @@ def validated_expectations(records: DataFrame, releases: DataFrame, routes: tupl
     unit = declared_unit(c("statistic"))
     declared = F.coalesce(F.array_contains("statistics", c("statistic")), F.lit(False))
     revised_only = ~declared & F.coalesce(F.array_contains("revised_statistics", c("statistic")), F.lit(False))
-    ladder = [
-        (c("evidence").isNull(), "recorded_evidence_bytes_could_not_be_read"),
-        (~F.sha2("evidence", 256).eqNullSafe(c("evidence_sha256")), "evidence_bytes_do_not_match_the_recorded_digest"),
-        (~F.coalesce(c("source_kind").isin(*routes), F.lit(False)), "source_kind_is_not_an_admissible_route"),
-        (c("source_kind") == "market_implied", "market_implied_expectation_cannot_validate_the_market"),
-        (missing(c("consensus_id")), "consensus_identity_is_not_named"),
-        (missing(c("verified_by")), "verification_method_is_not_named"),
-        (~F.coalesce(c("published_at") < c("release_time"), c("release_time").isNull()), "expectation_published_at_or_after_the_release"),
-        (~c("revision_status").eqNullSafe(F.lit("initial")) | revised_only, "expectation_targets_a_revised_actual_not_the_first_print"),
-        (~declared & ~revised_only, "statistic_is_not_declared_by_the_release"),
-        (~c("reference_period").eqNullSafe(c("release_period")), "reference_period_does_not_match_the_release"),
-        (unit.isNull(), "release_declares_no_unit_for_the_statistic"),
-        (~c("unit").eqNullSafe(unit), "unit_does_not_match_the_release_statistic"),
-    ]
+    conditions = (
+        c("evidence").isNull(),
+        ~F.sha2("evidence", 256).eqNullSafe(c("evidence_sha256")),
+        ~F.coalesce(c("source_kind").isin(*routes), F.lit(False)),
+        c("source_kind") == "market_implied",
+        missing(c("consensus_id")),
+        missing(c("verified_by")),
+        ~F.coalesce(c("published_at") < c("release_time"), c("release_time").isNull()),
+        ~c("revision_status").eqNullSafe(F.lit("initial")) | revised_only,
+        ~declared & ~revised_only,
+        ~c("reference_period").eqNullSafe(c("release_period")),
+        unit.isNull(),
+        ~c("unit").eqNullSafe(unit),
+    )
+    ladder = list(zip(conditions, EXPECTATION_REFUSALS, strict=True))
     out = masking.masked(j, ladder, ["value"]).drop("release_time", "release_period", "statistics", "revised_statistics")
     return out.withColumnsRenamed({"exclusion_reasons": "refusals", "exclusion_reason": "refusal"})
 

@@ -120,6 +120,11 @@ def forecast_rows(trades: DataFrame, events: DataFrame, receivers: DataFrame, do
     return masked(rows, [(F.col("anchor").isNull(), "no_anchor"), (F.col("target_level").isNull(), "no_target")])
 
 
+# Why a row of the quote panel is masked, in order, and then why either leg's quote is not admitted.
+QUOTE_REASONS = ("ineligible_contract", "unknown_rule_semantics", "rule_unavailable", "contract_not_open", "missing_baseline", "missing_endpoint", "closed_in_window", "contaminated")
+LEG_REASONS = ("quote_invalid", "last_verified_unknown", "quote_stale", "side_missing")
+
+
 def quote_panel(quotes: DataFrame, releases: DataFrame, pairs: DataFrame, contracts: DataFrame, horizons: tuple[int, ...], max_age: int) -> DataFrame:
     """Declared (release, contract) pairs by horizon with the midpoints of the latest quotes before the release and up to its endpoint.
 
@@ -142,16 +147,14 @@ def quote_panel(quotes: DataFrame, releases: DataFrame, pairs: DataFrame, contra
         held, ok, seen = c(f"{side}_time").isNotNull(), c(f"{side}_state").eqNullSafe(F.lit("valid")), c(f"{side}_last_verified")
         name = {"b": "baseline", "e": "endpoint"}[side]
         fit = held & ok & seen.isNotNull()
-        return [
-            (held & ~ok, f"{name}_quote_invalid"), (held & ok & seen.isNull(), f"{name}_last_verified_unknown"), (fit & (at - seen > max_age), f"{name}_quote_stale"),
-            (fit & (c(f"{side}_bid").isNull() | c(f"{side}_ask").isNull()), f"{name}_side_missing"),
-        ]
-
-    ladder = [
-        (c("listed").isNull(), "ineligible_contract"), (c("listed") & c("rule_from").isNull(), "unknown_rule_semantics"), (c("rule_from") > c("at"), "rule_unavailable"), (~asof.open_during(c("opened"), c("closed"), c("at"), c("until")), "contract_not_open"),
-        (c("b_time").isNull(), "missing_baseline"), (c("e_time").isNull(), "missing_endpoint"), (c("closing") <= c("until"), "closed_in_window"), (asof.overlaps_any(c("contaminated"), c("at"), c("until")), "contaminated"),
-        *unfit("b", c("at")), *unfit("e", c("until")),
-    ]
+        conditions = (held & ~ok, held & ok & seen.isNull(), fit & (at - seen > max_age), fit & (c(f"{side}_bid").isNull() | c(f"{side}_ask").isNull()))
+        return [(x, f"{name}_{why}") for x, why in zip(conditions, LEG_REASONS, strict=True)]
+
+    conditions = (
+        c("listed").isNull(), c("listed") & c("rule_from").isNull(), c("rule_from") > c("at"), ~asof.open_during(c("opened"), c("closed"), c("at"), c("until")), c("b_time").isNull(), c("e_time").isNull(), c("closing") <= c("until"),
+        asof.overlaps_any(c("contaminated"), c("at"), c("until")),
+    )
+    ladder = [*zip(conditions, QUOTE_REASONS, strict=True), *unfit("b", c("at")), *unfit("e", c("until"))]
     mid = {s: (c(f"{s}_bid") + c(f"{s}_ask")) / 2 for s in "be"}
     shown = j.withColumns({"baseline": mid["b"], "endpoint": mid["e"], "response": mid["e"] - mid["b"], "spread_before": c("b_ask") - c("b_bid"), "spread_after": c("e_ask") - c("e_bid")})
     shown = shown.withColumns({"baseline_age": c("at") - c("b_last_verified"), "endpoint_age": c("until") - c("e_last_verified")})

@@ -73,9 +73,14 @@ def bounded(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return got.limit(most), got.count() > most
 
 
+# Flags of archived trades, of either venue.
+LEGS_NOT_WHOLE, ZERO_CENT, OUTSIDE_CENTS = "yes_no_cents_sum_not_100", "zero_cent_price", "price_outside_documented_cents_range"
+NO_OUTCOME, OTHER_AXIS, ZERO_PRICE, NO_DIRECTION = "unknown_outcome", "axis_differs_from_stored", "zero_price_row", "unknown_direction"
+
+
 def cents_trades(rows: DataFrame) -> DataFrame:
     """(ticker, yes_price, no_price, count, taker_side, created_time) in cents -> price, signs and flags; rows without an id, time or count are not trades."""
-    flags = reasons((F.col("yes_price") + F.col("no_price") != 100, "yes_no_cents_sum_not_100"), ((F.col("yes_price") == 0) | (F.col("no_price") == 0), "zero_cent_price"), (~F.col("yes_price").between(0, 99), "price_outside_documented_cents_range"))
+    flags = reasons((F.col("yes_price") + F.col("no_price") != 100, LEGS_NOT_WHOLE), ((F.col("yes_price") == 0) | (F.col("no_price") == 0), ZERO_CENT), (~F.col("yes_price").between(0, 99), OUTSIDE_CENTS))
     sign = F.when(F.col("taker_side") == "yes", 1).when(F.col("taker_side") == "no", -1)
     return rows.where("ticker is not null and created_time is not null and count is not null").withColumns({"price": (F.col("yes_price").cast("decimal(18,12)") / 100).cast("decimal(18,12)"), "taker_sign": sign, "flags": flags})
 
@@ -83,7 +88,7 @@ def cents_trades(rows: DataFrame) -> DataFrame:
 def outcome_trades(rows: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """(outcome_seq, price, p_event, taker_direction): the event axis is the price of outcome 1 and its complement for 2; else null and flagged."""
     axis = F.when(F.col("outcome_seq") == 1, F.col("price")).when(F.col("outcome_seq") == 2, 1 - F.col("price"))
-    flags = reasons((axis.isNull(), "unknown_outcome"), (F.abs(axis - F.col("p_event")) > tolerance, "axis_differs_from_stored"), (F.col("price") == 0, "zero_price_row"), (~F.coalesce(F.col("taker_direction"), F.lit(0)).isin(-1, 0, 1), "unknown_direction"))
+    flags = reasons((axis.isNull(), NO_OUTCOME), (F.abs(axis - F.col("p_event")) > tolerance, OTHER_AXIS), (F.col("price") == 0, ZERO_PRICE), (~F.coalesce(F.col("taker_direction"), F.lit(0)).isin(-1, 0, 1), NO_DIRECTION))
     return rows.withColumns({"axis_price": axis, "taker_sign": F.coalesce(F.col("taker_direction"), F.lit(0)), "flags": flags})
 
 
