@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: What a word is separated by: space and the five ASCII control spaces.
@@ -15,6 +15,17 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows that a Python worker is handed at a time: texts may be long, and a worker holds a batch of them and what it makes of it.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold: the session's batches of rows become no larger than BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,15 +61,20 @@ class Scratch:
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
 
     def keep(self, df: DataFrame) -> DataFrame:
+        return self.measured(df)[0]
+
+    def measured(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """The table, and sums over its rows that are made while it is written."""
         path, before = f"{self.root}/{len(self.paths)}", self.spark.conf.get(self.CLEANUP, "false")
+        seen = Observation()
         self.spark.conf.set(self.CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            (df.observe(seen, *[e.alias(n) for n, e in sums.items()]) if sums else df).write.parquet(path)
         finally:
             self.spark.conf.set(self.CLEANUP, before)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = found
-        return found
+        return found, seen.get if sums else {}
 
     def drop(self, *kept: DataFrame) -> None:
         sc = self.spark.sparkContext

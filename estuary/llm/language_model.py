@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, table, text_or_empty
+from .common import crc_fold, cut, small_batches, table, text_or_empty
 
 CLASSES, MODEL_WORDS, HELD_WORDS, DIM = 256, 767, 1 << 18, 16
 BATCH, NOISE, RATE, BUFFER = 512, 64, 0.1, 1 << 20
@@ -269,6 +269,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, model_words: int
     row at all every token is unseen, and the model near to uniform over its classes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     fold = crc_fold(F.col("doc_id"), folds)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), F.coalesce(fold == held_fold, F.lit(True)).alias("held_out"))
     train = rows.where("not held_out")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import cut, small_batches, table, text_or_empty
 
 WINDOW, OPEN_WINDOWS, END = 1024, 32, 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long, unfinished boolean"
@@ -178,6 +178,7 @@ def pack(docs: DataFrame, make_encode: Callable[[], Callable[[str], list[int]]],
     doc_id are packed as documents of their own; a null doc_id stays null. ids: little-endian uint32 (null
     but for unfinished windows unless keep_ids). One sequence at most is shorter than the window.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     made = cut(rows.mapInArrow(_mapper(make_encode, window, open_windows, keep_ids), SCHEMA))
     done, left, level = made.where("not unfinished"), made.where("unfinished"), 0

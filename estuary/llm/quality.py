@@ -19,17 +19,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, spelled_schema, table, text_or_empty
+from .common import hash_sample, small_batches, spelled_schema, table, text_or_empty
 
 LABELLED, POOL, REFILL, ROUNDS, EACH_ROUND = 6_000, 4_000, 400, 4, 400
 BUCKETS, KINDS = 1 << 14, 32
 STEPS, DECAY = 40, 1e-4
 LONGEST = 64
+PIECE = 1 << 18
 REJECT_BELOW = 0.5
 
 _DIGIT, _LETTERS = re.compile(r"\d+"), re.compile(r"[^\W\d_]+")
@@ -53,7 +53,7 @@ class _Buckets(dict):
 
     def __missing__(self, word: str) -> tuple[int, int]:
         found = zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS, BUCKETS + zlib.crc32(shape(word).encode("utf-8", "replace")) % BUCKETS
-        if len(self) < 200_000:
+        if len(self) < 40_000:
             self[word] = found
         return found
 
@@ -112,11 +112,21 @@ class Sparse:
         self.at, self.w, self.n, self.width = at, w, len(n), width
         self.row = np.repeat(np.arange(len(n), dtype=np.int32), n)
 
+    def _parts(self) -> Iterator[slice]:
+        """Sums are made piece by piece, so that what numpy widens is small."""
+        return (slice(i, i + PIECE) for i in range(0, len(self.at), PIECE))
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.w * weights.astype(np.float32)[self.at], minlength=self.n)
+        out, narrow = np.zeros(self.n), weights.astype(np.float32)
+        for p in self._parts():
+            out += np.bincount(self.row[p], weights=self.w[p] * narrow[self.at[p]], minlength=self.n)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=self.w * g.astype(np.float32)[self.row], minlength=self.width)
+        out, narrow = np.zeros(self.width), g.astype(np.float32)
+        for p in self._parts():
+            out += np.bincount(self.at[p], weights=self.w[p] * narrow[self.row[p]], minlength=self.width)
+        return out
 
 
 class Dense:
@@ -206,10 +216,12 @@ def co_train(text: Sparse, meta: Dense, labels: np.ndarray, held: np.ndarray, ar
     return Model(weights["text"], weights["meta"], curves["text"], curves["meta"], curve(calibrated, labels[use]), exchanged)
 
 
-def _extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        each = [views(t, g, s) for t, g, s in zip(pdf["text"], pdf["lang"], pdf["source"], strict=True)]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "at": [v[0][0].astype("<i4").tobytes() for v in each], "w": [v[0][1].astype("<f4").tobytes() for v in each], "meta": [v[1].astype("<f4").tobytes() for v in each]})
+def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        each = [views(t.as_py(), g.as_py(), s.as_py()) for t, g, s in zip(batch.column("text"), batch.column("lang"), batch.column("source"), strict=True)]
+        raw = ([v[0][0].astype("<i4").tobytes() for v in each], [v[0][1].astype("<f4").tobytes() for v in each], [v[1].astype("<f4").tobytes() for v in each])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array(r, pa.binary()) for r in raw)], names=["doc_id", "quality", "at", "w", "meta"])
+    _buckets.clear()
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, refill: int = REFILL) -> Model:
@@ -217,15 +229,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     Of documents that share an id one counts, the least by its features. Null texts, languages and sources are empty ones. Without labels, or
     documents, every document scores 0.5."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = hash_sample(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")), F.col("doc_id"), labelled).collect()
     ids, wanted = {r[0] for r in known}, pool + ROUNDS * refill
     others = [r[0] for r in hash_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), F.col("doc_id"), wanted + labelled).collect()]
     free = [i for i in others if i not in ids][:wanted]
     joins = {i: max(0, (k - pool) // refill + 1) for k, i in enumerate(free)}
-    listed = pd.DataFrame({"doc_id": pd.Series([*(r[0] for r in known), *free], dtype="int64"), "quality": pd.Series([*(r[1] for r in known), *[-1] * len(free)], dtype="int32")})
-    small = spark.createDataFrame(listed, "doc_id long, quality int")
+    listed = pa.table({"doc_id": pa.array([*(r[0] for r in known), *free], pa.int64()), "quality": pa.array([*(r[1] for r in known), *[-1] * len(free)], pa.int32())})
+    small = spark.createDataFrame(listed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).join(F.broadcast(small), "doc_id")
-    made = rows.select("doc_id", "text", "lang", "source", "quality").mapInPandas(_extract, "doc_id long, quality int, at binary, w binary, meta binary")
+    made = rows.select("doc_id", "text", "lang", "source", "quality").mapInArrow(_extract, "doc_id long, quality int, at binary, w binary, meta binary")
     one = made.groupBy("doc_id").agg(F.min(F.struct("at", "w", "meta", "quality")).alias("r")).select("doc_id", "r.*")
     # Features go straight into flat arrays; the rows' order is that of the ids, whatever the order in which they come.
     doc, quality, at, w, meta, sizes = [], [], bytearray(), bytearray(), bytearray(), []
@@ -241,10 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         return Model(np.zeros(AGAIN + 3), np.zeros(META + 1), np.zeros(2), np.zeros(2), np.zeros(3))
     order, n = np.argsort(np.array(doc, np.int64), kind="stable"), np.array(sizes)
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    place = np.repeat(starts[order] - np.concatenate([[0], np.cumsum(n[order])[:-1]]), n[order]) + np.arange(n.sum())
-    text = Sparse(np.frombuffer(at, "<i4")[place], np.frombuffer(w, "<f4")[place], n[order], AGAIN + 2)
+    gather = lambda raw, kind: np.concatenate([np.frombuffer(raw, kind, n[i], 4 * starts[i]) for i in order.tolist()])
+    text = Sparse(gather(at, "<i4"), gather(w, "<f4"), n[order], AGAIN + 2)
     dense = Dense(np.frombuffer(meta, "<f4").reshape(-1, META)[order])
-    del at, w, meta, place
+    del at, w, meta
     doc, y = [doc[i] for i in order], y[order]
     held = np.array([zlib.crc32(str(i).encode()) % 4 == 1 for i in doc]) & ~np.isnan(y)
     return co_train(text, dense, y, held, np.array([joins.get(i, 0) for i in doc]))
@@ -256,6 +269,7 @@ NAMES = ("quality_score", "text_score", "meta_score")
 def scorer(model: Model, spark: SparkSession, names: tuple[str, str, str] = NAMES) -> Callable[[DataFrame], DataFrame]:
     """Adds the scores of both views together, of the text and of the metadata to rows with text, lang and source; all other columns stay, but for
     those of the three names, which are replaced. Nulls are empty texts; repeated rows score alike; no row gives no row."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +278,7 @@ def scorer(model: Model, spark: SparkSession, names: tuple[str, str, str] = NAME
             each = [own.score(views(t.as_py(), g.as_py(), s.as_py())) for t, g, s in zip(batch.column("text"), batch.column("lang"), batch.column("source"), strict=True)]
             cols = list(zip(*each, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in cols)], names=[*batch.schema.names, *names])
+        _buckets.clear()
 
     def apply(rows: DataFrame) -> DataFrame:
         kept = rows.drop(*names).withColumns({c: F.col(c).cast("string") for c in ("text", "lang", "source")})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import small_batches, table, text_or_empty
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -348,6 +348,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, ids_crc32, decoded_sha256) of each row's whole text, however long. A null text is an empty one and has no ids;
     repeated rows and null ids stay as they are, further columns of docs are left out, an empty table gives no row. path: the model
     file, the same on every machine. A part of a text that no piece spans is solved alone, so a long text takes memory by its longest part."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(_encoder(path), "doc_id long, ids array<int>, ids_crc32 long, decoded_sha256 string")
 

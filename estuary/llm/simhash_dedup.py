@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, spread_join, table
+from .common import Scratch, cut, small_batches, spread_join, table
 from .graph import connected_components
 
 CHUNK = 1 << 15
@@ -63,6 +63,7 @@ def _mapper(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; the whole text counts, a null text is an empty one. An empty table gives no row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(_mapper(words), "doc_id long, fp long")
 

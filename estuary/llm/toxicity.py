@@ -18,17 +18,16 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, hash_sample, join_checked, spelled_schema, table, text_or_empty
+from .common import crc_fold, hash_sample, join_checked, small_batches, spelled_schema, table, text_or_empty
 
 EXAMPLES, MOST_TERMS, NEIGHBOURS, BLOCK, PRIOR = 24_000, 20_000, 15, 64, 0.5
 LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 15.0, 0.6, 4
-HELD_TERMS = 300_000
+HELD_TERMS = 60_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -38,27 +37,23 @@ def term_counts(text: str, known: dict[str, int] | None = None) -> Counter:
 
 
 def _counter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, documents, labelled, toxic) of each task's texts, summed in pieces of at most HELD_TERMS terms."""
-    seen: dict[str, list[int]] = {}
+    """(term, documents, labelled, toxic) of each task's texts, summed in pieces of at most HELD_TERMS terms. The three counts share one number."""
+    seen: dict[str, int] = {}
+    get, low = seen.get, (1 << 32) - 1
 
     def out() -> pa.RecordBatch:
-        cols = zip(*seen.values(), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["term", "documents", "labelled", "toxic"])
+        n = list(seen.values())
+        counts = ([x & low for x in n], [x >> 32 & low for x in n], [x >> 64 for x in n])
+        return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["term", "documents", "labelled", "toxic"])
 
     for batch in it:
         for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            known, toxic = int(label is not None), int(bool(label))
+            one = 1 + ((label is not None) << 32) + (bool(label) << 64)
             for term in set(WORD.findall(text.as_py().lower())):
-                n = seen.get(term)
-                if n is None:
-                    seen[term] = [1, known, toxic]
-                else:
-                    n[0] += 1
-                    n[1] += known
-                    n[2] += toxic
-            if len(seen) > HELD_TERMS:
-                yield out()
-                seen.clear()
+                seen[term] = get(term, 0) + one
+        if len(seen) > HELD_TERMS:
+            yield out()
+            seen.clear()
     if seen:
         yield out()
 
@@ -165,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
     example. Without labels, or documents, nothing is indexed and every text scores a half.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     labelled = labels.where((crc_fold(F.col("doc_id"), folds) != held_fold) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     marked = join_checked(texts, labelled, ["doc_id"], "left")
@@ -179,20 +175,22 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0,
     terms = {r["term"]: i for i, r in enumerate(picked)}
     idf = np.log((n_all + 1) / (np.array([r["documents"] for r in picked], float) + 0.5))
     chosen = hash_sample(labelled, F.col("doc_id"), examples).collect()
-    small = spark.createDataFrame(pd.DataFrame({"doc_id": pd.Series([r[0] for r in chosen], dtype="int64"), "toxic": pd.Series([r[1] for r in chosen], dtype="int32")}), "doc_id long, toxic int")
-    rows = texts.join(F.broadcast(small), "doc_id").mapInPandas(_counts_mapper(terms), "doc_id long, toxic int, h long, terms array<string>, counts array<int>")
+    small = spark.createDataFrame(pa.table({"doc_id": pa.array([r[0] for r in chosen], pa.int64()), "toxic": pa.array([r[1] for r in chosen], pa.int32())}))
+    rows = texts.join(F.broadcast(small), "doc_id").mapInArrow(_counts_mapper(terms), "doc_id long, toxic int, h long, terms array<string>, counts array<int>")
     got = rows.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "terms", "counts"), "h").alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     index = Index(terms, idf, [Counter(dict(zip(r["terms"], r["counts"], strict=True))) for r in got], np.array([r["toxic"] for r in got], float), np.array([r["doc_id"] for r in got], np.int64))
     index.calibrate()
     return index
 
 
-def _counts_mapper(terms: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            each = [term_counts(t, terms) for t in pdf["text"]]
-            h = [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) >> 1 for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "h": h, "terms": [list(c) for c in each], "counts": [list(c.values()) for c in each]})
+def _counts_mapper(terms: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = batch.column("text").to_pylist()
+            each = [term_counts(t, terms) for t in texts]
+            h = [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) >> 1 for t in texts]
+            cols = [pa.array(h, pa.int64()), pa.array([list(c) for c in each], pa.list_(pa.string())), pa.array([list(c.values()) for c in each], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *cols], names=["doc_id", "toxic", "h", "terms", "counts"])
 
     return run
 
@@ -200,6 +198,7 @@ def _counts_mapper(terms: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]],
 def scorer(index: Index, spark: SparkSession, names: tuple[str, str] = ("toxicity", "evidence")) -> Callable[[DataFrame], DataFrame]:
     """Adds a score (double) and its evidence (ids of up to five nearest examples) to rows with a column text; all other columns stay, but for
     those of the two names, which are replaced. A null text is an empty one; repeated rows score alike; no row gives no row."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(pickle.dumps(index))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
