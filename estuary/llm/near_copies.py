@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, join_checked, spread_join, text_or_empty
-from .graph import connected_components
+from .common import Scratch, fresh, join_checked, small_batches, spread_join, text_or_empty
+from .graph import connected_components, merged
 from .simhash_dedup import links, majority, voted
 
 #: Texts whose shingles order the others' (any order finds the same pairs), shingles that are remembered, and how often a frequent one is met there.
 SAMPLE, COMMON, FREQUENT = 16_000, 200_000, 16
 #: Bits of the bitmaps that a pair is held against, in a key and after it; members of a key that a task compares with as many others.
 NARROW, WIDE, BLOCK = 1024, 2048, 512
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 
 
 class _Hashes(dict):
@@ -127,6 +127,7 @@ def _sketcher(words: int, similarity: float, common: tuple[np.ndarray, np.ndarra
                 cols = list(zip(*(one(t.as_py()) for t in part.column("text")), strict=True))
                 types = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+        _hashes.clear()
 
     return run
 
@@ -213,16 +214,16 @@ def proposed(attributes: DataFrame, keyed: DataFrame) -> DataFrame:
 def apart(keyed: DataFrame, attributes: DataFrame, linked: DataFrame, similarity: float, work: Scratch) -> DataFrame:
     """(a, b, ca, cb), a < b: all pairs that share a key, lie in different components ca and cb and that bitmaps do not rule out.
 
-    A key of up to BLOCK members is compared in one task. In a larger one, members outside the key's largest component go to every block of the
+    keyed: (k, id, n, salt, frequent, earlier); earlier are the frequent keys of the class before k, in the order that all classes share. A key of up to BLOCK members is compared in one task. In a larger one, members outside the key's largest component go to every block of the
     key and meet the block's members; the largest component, which holds nearly all where many copies of one text meet, is never paired with itself.
     """
     own = attributes.select("id", "bits").join(linked.withColumnRenamed("vertex", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     folded = F.array(*[F.get("bits", F.lit(i)).bitwiseOR(F.get("bits", F.lit(i + NARROW // 64))) for i in range(NARROW // 64)])
-    labelled = keyed.join(own.select("id", "c", folded.alias("bits")), "id")
+    labelled = keyed.join(own.select("id", "c", folded.alias("bits")), "id")  # k, id, n, salt, frequent, earlier, c, bits
     key = W.partitionBy("k", "salt")
     rows = work.keep(labelled.withColumn("m", F.count("*").over(key)).withColumn("lo", F.min("c").over(key)).withColumn("hi", F.max("c").over(key)).where("frequent or m > 1").drop("salt"))
     small = rows.where(f"not frequent and m <= {BLOCK} and lo < hi").select("k", "id", "n", "c", "bits")
-    large = rows.where(f"frequent or (m > {BLOCK} and lo < hi)").select("k", "id", "n", "c", "bits")
+    large = rows.where(f"frequent or (m > {BLOCK} and lo < hi)").select("k", "id", "n", "c", "earlier", "bits")
     counts = large.groupBy("k", "c").agg(F.count("*").alias("of")).groupBy("k").agg(F.sum("of").alias("m"), F.max_by("c", F.struct("of", "c")).alias("main"), F.count("*").alias("kinds"))
     crowded = work.keep(counts.where("kinds > 1").select("k", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     placed = join_checked(large, crowded, ["k"], "inner")
@@ -235,7 +236,9 @@ def apart(keyed: DataFrame, attributes: DataFrame, linked: DataFrame, similarity
     once = F.col("x.id") < F.col("y.id")
     ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.c", "y.c").alias("ca"), F.greatest("x.c", "y.c").alias("cb")]
     few = x.join(y, (F.col("x.k") == F.col("y.k")) & once & fits).select(*ends)
-    many = u.join(v, (F.col("x.k") == F.col("y.k")) & (F.col("x.at") == F.col("y.at")) & (once | (F.col("y.c") == F.col("y.main"))) & fits).select(*ends)
+    # Texts that are much alike share many frequent keys: a pair is given by the first of them alone.
+    first = ~F.arrays_overlap("x.earlier", "y.earlier")
+    many = u.join(v, (F.col("x.k") == F.col("y.k")) & (F.col("x.at") == F.col("y.at")) & (once | (F.col("y.c") == F.col("y.main"))) & fits & first).select(*ends)
     found = work.keep(few.union(many).distinct())
     work.drop(rows, crowded)
     return found
@@ -249,6 +252,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     not for every pair, exactly; a group is what such pairs connect. A null text is an empty one; all texts without a word are copies. Rows that share
     an id but hold different texts are different documents. All columns stay as they are, and an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     work = Scratch(docs.sparkSession)
     rows = _rows_of(docs)
     common = common_shingles(rows, words)
@@ -260,26 +264,27 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     copies = members.where("row != rep").select("row")
     base = join_checked(sketch, copies, ["row"], "left_anti").withColumnRenamed("row", "id")
     attributes = work.keep(base.select("id", "n", "fp", "bits"))
-    rare = base.select("id", "n", F.explode("rare").alias("k")).withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1").select("k", "id", "n", F.lit(0).alias("salt"), F.lit(False).alias("frequent"))
-    often = base.select("id", "n", F.explode("frequent").alias("k")).select("k", "id", "n", F.pmod(F.xxhash64("id"), F.lit(max(1, total // (64 * BLOCK)))).cast("int").alias("salt"), F.lit(True).alias("frequent"))
+    none = F.array().cast("array<bigint>")
+    rare = base.select("id", "n", F.explode("rare").alias("k")).withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1").select("k", "id", "n", F.lit(0).alias("salt"), F.lit(False).alias("frequent"), none.alias("earlier"))
+    often = base.select("id", "n", "frequent", F.posexplode("frequent").alias("at", "k")).select("k", "id", "n", F.pmod(F.xxhash64("id"), F.lit(max(1, total // (64 * BLOCK)))).cast("int").alias("salt"), F.lit(True).alias("frequent"), F.slice("frequent", F.lit(1), F.col("at")).alias("earlier"))
     keyed = work.keep(rare.union(often))
     work.drop(sketch, classes)
 
     verifier = _Verifier(docs, members, attributes, words, similarity, work)
     first = verifier.possible(proposed(attributes, keyed))
     edges = verifier.alike(first)
-    linked = connected_components(edges)
+    linked = work.keep(connected_components(edges))
     rest = apart(keyed, attributes, linked, similarity, work)
     left = verifier.possible(rest)
     work.drop(first, rest, keyed)
     best = work.keep(left.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
     more = verifier.alike(best)
-    linked = connected_components(edges.union(more))
+    linked = work.keep(merged(linked, more))
     for end in ("a", "b"):
         left = left.join(linked.select(F.col("vertex").alias(end), F.col("component").alias(f"now_{end}")), end, "left")
     open_still = work.keep(left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti"))
     last = verifier.alike(open_still)
-    linked = work.keep(connected_components(edges.union(more).union(last)))
+    linked = work.keep(merged(linked, last))
 
     reps = members.where("row = rep").join(linked, F.col("rep") == F.col("vertex"))
     winners = reps.groupBy("component").agg(F.min(rank).alias("least")).select(F.col("least.row").alias("winner"))

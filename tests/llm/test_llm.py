@@ -363,6 +363,19 @@ def test_one_of_each_group_stays(spark):
     assert got == sorted([*((False, i, " ".join(w)) for i, w in originals.items()), (False, 29, "another text of a repeated id"), (True, 0, "no id")])
 
 
+def test_components_grow_by_new_edges(spark):
+    from estuary.llm.graph import merged
+
+    rng = random.Random(12)
+    old = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    new = [(rng.randrange(80), rng.randrange(80)) for _ in range(20)]
+    linked = connected_components(spark.createDataFrame(old, "a long, b long"))
+    got = {r[0]: r[1] for r in merged(linked, spark.createDataFrame(new, "a long, b long")).collect()}
+    want = brute_components(old + new, range(80))
+    assert {i: got.get(i, i) for i in want} == want
+    assert merged(linked, spark.createDataFrame([], "a long, b long")).count() == linked.count()
+
+
 def test_near_copies_of_odd_inputs(spark):
     got = [(r["doc_id"], (r["text"] or "")[:5]) for r in near_copies.keep_one(docs_of(spark, ODD)).collect()]
     # A null text, an empty one and one of white space are copies of each other; the repeated long text stays once; null ids come last.
@@ -582,6 +595,24 @@ def test_odd_and_empty_inputs(spark, name):
             assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
 
 
+def test_searches_and_decoding_with_odd_inputs(spark):
+    spec = "id long, fp1 long, fp2 long, distance string, t int, k1 int"
+    stored = spark.createDataFrame([(1, 5, 0, "x", 1, 1), (1, 5, 0, "x", 1, 1), (2, 4, 0, "x", 1, 1), (None, 5, 0, "x", 1, 1), (3, None, 0, "x", 1, 1), (4, 1 << 40, -1, "x", 1, 1)], spec)
+    asked = stored.withColumnRenamed("id", "query_id")
+    got = collections.Counter((r["query_id"], r["id"], r["distance"]) for r in fingerprint.find_within(asked.where("query_id = 2"), stored).collect())
+    assert got == {(2, 1, 1): 2, (2, 2, 0): 1, (2, None, 1): 1}
+    assert {(r["fp1"], r["n_within"]) for r in fingerprint.counted_within(asked, stored).collect()} == {(5, 4), (4, 4), (1 << 40, 1)}
+    for a, b in ((asked.limit(0), stored), (asked, stored.limit(0))):
+        assert fingerprint.find_within(a, b).count() == 0 == fingerprint.counted_within(a, b).count()
+    classes = spark.createDataFrame([(7, 1), (6, 2), (1 << 50, 3)], "fp long, rep long")
+    assert {tuple(sorted((r["a"], r["b"]))) for r in simhash_dedup.links(classes).collect()} == {(1, 2)}
+    assert simhash_dedup.links(classes.limit(0)).count() == 0
+    encoded = sentencepiece_wfst.encode(docs_of(spark, ODD))
+    texts = {r["doc_id"]: r["text"] for r in sentencepiece_wfst.decode(encoded.withColumn("text", F.lit(1))).collect()}
+    assert texts[11] == dict(ODD)[11] and texts[3] == "" and texts[8] == "  \n\t "
+    assert [r["text"] for r in sentencepiece_wfst.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()] == [""]
+
+
 def test_classifiers_with_odd_and_empty_inputs(spark):
     labels = spark.createDataFrame([(3, 1, 1), (5, 0, 0), (5, 1, 1), (None, 1, 0), (9, None, None), (77, 1, 0)], "doc_id long, quality int, toxic int")
     for rows in (ODD, []):
