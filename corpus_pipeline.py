@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    common.ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}-{name}")
-        docs = spark.read.parquet(f"{shared}/{k}-{name}")
+    """All stages over documents; each result is written to the shared folder and read again, and deleted once the next one is written."""
+    work, docs, before = common.Scratch(spark), common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = work.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            work.drop(before)
+        before = docs
     return docs
