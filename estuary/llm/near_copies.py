@@ -6,12 +6,14 @@ equal sets are one class from the start. Classes are linked in two steps.
 First, SimHash near-dedup over the shingle sets (pigeonhole blocks, Hamming distance, see simhash_dedup) proposes links, and so does a
 prefix filter: of two similar sets, each has a shingle of the other's among its first fifth, whatever order all sets use, so classes are keyed
 by those, the rarest first; in each key a class meets the first class and the one before it. What is proposed is verified exactly, and
-components are formed.
+components are formed. In a few rounds, each class then meets one bounded block of each of its keys and proposes the member of another component
+that is nearest by bitmap, so that large groups are whole before any pairs of them are listed.
 
 Then what is still apart is completed: in each key, members of different components meet, in blocks, so that no task holds a crowded key.
 Fingerprints of fifteen differing bits in a hundred, which similarity 0.8 allows, are beyond any number of blocks; hence the prefix keys. A pair is
-first held against bitmaps of both sets: two sets differ in at least as many shingles as their bitmaps differ in bits, so what the bitmaps part is
-proven to be unlike, and only the rest moves its shingles.
+ruled out where its key's places in both sets leave too few shingles after it, and is held against parity bitmaps: each bit is the parity of the
+shingles that fall on it, so two sets differ in at least as many shingles as their bitmaps in bits, however long they are. What the bitmaps part is
+proven to be unlike, and only the rest moves its shingles. In a key all bitmaps have NARROW bits; after it, at least one for each shingle.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from .simhash_dedup import links, majority, voted
 
 #: Texts whose shingles order the others' (any order finds the same pairs), shingles that are remembered, and how often a frequent one is met there.
 SAMPLE, COMMON, FREQUENT = 16_000, 200_000, 16
-#: Bits of the bitmaps that a pair is held against, in a key and after it; members of a key that a task compares with as many others.
-NARROW, WIDE, BLOCK = 1024, 2048, 512
+#: Bits of the bitmaps that a pair is held against in a key; members of a key that a task compares with as many others.
+NARROW, BLOCK = 1024, 512
+#: Rounds in which classes propose links to other components, and the members of a key that each meets in a round.
+ROUNDS, MET = 2, 64
 REMEMBERED = 1 << 16
 
 
@@ -66,9 +70,15 @@ def shingles_of(text: bytes, words: int) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WIDE, np.uint8)
-    bits[(shingles >> np.uint64(7)).astype(np.int64) % WIDE] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """Parities of the shingles on each of NARROW bits, or of the power of two that is no less than their number, as longs."""
+    width = max(NARROW, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % width, minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def narrowed(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of NARROW bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, NARROW // 64), axis=0)
 
 
 def _rows_of(docs: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def prefix_of(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray,
     return shingles[first], often[first] >= FREQUENT
 
 
-SKETCH = "doc_id long, h long, n int, d1 long, d2 long, fp long, bits array<bigint>, rare array<bigint>, frequent array<bigint>"
+SKETCH = "doc_id long, h long, n int, d1 long, d2 long, fp long, bits array<bigint>, narrow array<bigint>, rare array<bigint>, frequent array<bigint>"
 
 
 def _sketcher(words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,25 +128,42 @@ def _sketcher(words: int, similarity: float, common: tuple[np.ndarray, np.ndarra
         digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
         first, often = prefix_of(s, similarity, common)
         fp = np.uint64(voted(majority(s), len(s))).view(np.int64)
-        return len(s), digest[0], digest[1], fp, bitmap(s), first[~often].view(np.int64), first[often].view(np.int64)
+        bits = bitmap(s)
+        return len(s), digest[0], digest[1], fp, bits, narrowed(bits), first[~often].view(np.int64), first[often].view(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 cols = list(zip(*(one(t.as_py()) for t in part.column("text")), strict=True))
-                types = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3]
+                types = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
         _hashes.clear()
 
     return run
 
 
-def _alike_at_most(bits_a: str, bits_b: str, words: int, n: Column, m: Column, similarity: float) -> Column:
-    """Whether bitmaps leave it possible that sets of n and m shingles are similar: they differ in at least as many as the bitmaps."""
+def _apart_by(x: str, y: str) -> Column:
+    """In how many bits two bitmaps of NARROW bits differ."""
     differ = F.lit(0)
-    for i in range(words):
-        differ = differ + F.bit_count(F.get(F.col(bits_a), F.lit(i)).bitwiseXOR(F.get(F.col(bits_b), F.lit(i))))
+    for i in range(NARROW // 64):
+        differ = differ + F.bit_count(F.get(F.col(x), F.lit(i)).bitwiseXOR(F.get(F.col(y), F.lit(i))))
+    return differ
+
+
+def _wide_apart_by(x: str, y: str) -> Column:
+    """In how many bits two bitmaps differ whose sets are close in size; the wider one is folded to the other's width, which is no less than its half."""
+
+    def fitted(one: Column, other: Column) -> Column:
+        half = (F.size(one) / 2).cast("int")
+        return F.when(F.size(one) > F.size(other), F.zip_with(F.slice(one, F.lit(1), half), F.slice(one, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(one)
+
+    bits = F.zip_with(fitted(F.col(x), F.col(y)), fitted(F.col(y), F.col(x)), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
+def _few(differ: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of n and m shingles that differ in so many can be similar."""
     return differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
@@ -181,7 +208,7 @@ class _Verifier:
         own = lambda end: self.attributes.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
         n, m = F.col("n_a"), F.col("n_b")
         both = pairs.join(own("a"), "a").join(own("b"), "b")
-        return self.work.keep(both.where(_sized(n, m, self.similarity) & _alike_at_most("bits_a", "bits_b", WIDE // 64, n, m, self.similarity)).select(*pairs.columns))
+        return self.work.keep(both.where(_sized(n, m, self.similarity) & _few(_wide_apart_by("bits_a", "bits_b"), n, m, self.similarity)).select(*pairs.columns))
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sets have a Jaccard similarity of at least ``similarity``, as a table (a, b)."""
@@ -211,36 +238,71 @@ def proposed(attributes: DataFrame, keyed: DataFrame) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _enough(similarity: float) -> Column:
+    """Whether the members x and y of a key can be similar if it is the first that they share: the rest of either, from its place on, holds all others."""
+    n, m = F.col("x.n"), F.col("y.n")
+    return F.least(n - F.col("x.at"), m - F.col("y.at")) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
+
+
+def _open(keyed: DataFrame, linked: DataFrame, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of keyed with their component c, where a key's members lie in several, as a table; and (k, main, m, kinds) of every frequent or crowded
+    key: the largest component, the members and the components."""
+    rows = keyed.join(linked.select(F.col("vertex").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    key = W.partitionBy("k", "salt")
+    rows = rows.withColumn("m", F.count("*").over(key)).withColumn("lo", F.min("c").over(key)).withColumn("hi", F.max("c").over(key))
+    found = work.keep(rows.where("frequent or lo < hi").drop("salt", "lo", "hi"))
+    large = found.where(f"frequent or m > {BLOCK}")
+    counts = large.groupBy("k", "c").agg(F.count("*").alias("of")).groupBy("k").agg(F.sum("of").alias("m"), F.max_by("c", F.struct("of", "c")).alias("main"), F.count("*").alias("kinds"))
+    return found, work.keep(counts.where("kinds > 1"))
+
+
+def nearest_apart(keyed: DataFrame, attributes: DataFrame, linked: DataFrame, tried: DataFrame | None, seed: int, similarity: float, work: Scratch) -> DataFrame:
+    """(a, b), a < b: for each class the nearest by bitmap, of another component, among those that it meets: about MET members of each of its keys. tried are
+    pairs that are known to be unlike. In a frequent or crowded key, the members of the largest component propose nothing."""
+    rows, crowded = _open(keyed, linked, work)
+    narrow = ["k", "id", "n", "c", "at", "m", "main"]
+    small = rows.where(f"not frequent and m <= {BLOCK}").withColumn("main", F.lit(None).cast("long")).select(*narrow)
+    large = join_checked(rows.where(f"frequent or m > {BLOCK}").drop("m"), crowded, ["k"], "inner").select(*narrow)
+    dealt = small.union(large).join(attributes.select("id", "narrow"), "id").withColumn("blocks", F.ceil(F.col("m") / MET).cast("int"))
+    members = work.keep(dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")))
+    seekers = members.where("main is null or c != main").withColumn("block", F.pmod(F.xxhash64("k", "id", F.lit(seed)), F.col("blocks")).cast("int"))
+    x, y = seekers.alias("x"), members.alias("y")
+    n, m, differ = F.col("x.n"), F.col("y.n"), _apart_by("x.narrow", "y.narrow")
+    fits = (F.col("x.c") != F.col("y.c")) & _sized(n, m, similarity) & _few(differ, n, m, similarity)
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block")) & fits).select(F.col("x.id").alias("id"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (differ / (n + m)).alias("far"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    found = work.keep(met.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+    work.drop(rows, crowded, members)
+    return found
+
+
 def apart(keyed: DataFrame, attributes: DataFrame, linked: DataFrame, similarity: float, work: Scratch) -> DataFrame:
-    """(a, b, ca, cb), a < b: all pairs that share a key, lie in different components ca and cb and that bitmaps do not rule out.
+    """(a, b, ca, cb), a < b: all pairs that share a key, lie in different components ca and cb and that places and bitmaps do not rule out.
 
-    keyed: (k, id, n, salt, frequent, earlier); earlier are the frequent keys of the class before k, in the order that all classes share. A key of up to BLOCK members is compared in one task. In a larger one, members outside the key's largest component go to every block of the
+    keyed: (k, id, n, at, salt, frequent, earlier); at is the key's place in the class's set, in the order that all classes share, and earlier are
+    its frequent keys before k. A key of up to BLOCK members is compared in one task. In a larger one, members outside the key's largest component go to every block of the
     key and meet the block's members; the largest component, which holds nearly all where many copies of one text meet, is never paired with itself.
     """
-    own = attributes.select("id", "bits").join(linked.withColumnRenamed("vertex", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    folded = F.array(*[F.get("bits", F.lit(i)).bitwiseOR(F.get("bits", F.lit(i + NARROW // 64))) for i in range(NARROW // 64)])
-    labelled = keyed.join(own.select("id", "c", folded.alias("bits")), "id")  # k, id, n, salt, frequent, earlier, c, bits
-    key = W.partitionBy("k", "salt")
-    rows = work.keep(labelled.withColumn("m", F.count("*").over(key)).withColumn("lo", F.min("c").over(key)).withColumn("hi", F.max("c").over(key)).where("frequent or m > 1").drop("salt"))
-    small = rows.where(f"not frequent and m <= {BLOCK} and lo < hi").select("k", "id", "n", "c", "bits")
-    large = rows.where(f"frequent or (m > {BLOCK} and lo < hi)").select("k", "id", "n", "c", "earlier", "bits")
-    counts = large.groupBy("k", "c").agg(F.count("*").alias("of")).groupBy("k").agg(F.sum("of").alias("m"), F.max_by("c", F.struct("of", "c")).alias("main"), F.count("*").alias("kinds"))
-    crowded = work.keep(counts.where("kinds > 1").select("k", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    placed = join_checked(large, crowded, ["k"], "inner")
-    others = placed.where("c != main").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = placed.withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows, crowded = _open(keyed, linked, work)
+    own = attributes.select("id", "narrow")
+    small = work.keep(rows.where(f"not frequent and m <= {BLOCK}").select("k", "id", "n", "c", "at").join(own, "id"))
+    blocks = crowded.select("k", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    placed = work.keep(join_checked(rows.where(f"frequent or m > {BLOCK}").select("k", "id", "n", "c", "at", "earlier"), blocks, ["k"], "inner").join(own, "id"))
+    others = placed.where("c != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     x, y = small.alias("x"), small.alias("y")
     u, v = others.alias("x"), members.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
-    fits = (F.col("x.c") != F.col("y.c")) & _sized(n, m, similarity) & _alike_at_most("x.bits", "y.bits", NARROW // 64, n, m, similarity)
+    fits = (F.col("x.c") != F.col("y.c")) & _sized(n, m, similarity) & _enough(similarity) & _few(_apart_by("x.narrow", "y.narrow"), n, m, similarity)
     once = F.col("x.id") < F.col("y.id")
     ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.c", "y.c").alias("ca"), F.greatest("x.c", "y.c").alias("cb")]
     few = x.join(y, (F.col("x.k") == F.col("y.k")) & once & fits).select(*ends)
     # Texts that are much alike share many frequent keys: a pair is given by the first of them alone.
     first = ~F.arrays_overlap("x.earlier", "y.earlier")
-    many = u.join(v, (F.col("x.k") == F.col("y.k")) & (F.col("x.at") == F.col("y.at")) & (once | (F.col("y.c") == F.col("y.main"))) & fits & first).select(*ends)
+    many = u.join(v, (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block")) & (once | (F.col("y.c") == F.col("y.main"))) & fits & first).select(*ends)
     found = work.keep(few.union(many).distinct())
-    work.drop(rows, crowded)
+    work.drop(rows, crowded, small, placed)
     return found
 
 
@@ -263,10 +325,13 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     members = work.keep(spread_join(sketch.select("row", "doc_id", "h", "d1", "d2"), classes, ["d1", "d2"], "copies", total).select("row", "doc_id", "h", "rep"))
     copies = members.where("row != rep").select("row")
     base = join_checked(sketch, copies, ["row"], "left_anti").withColumnRenamed("row", "id")
-    attributes = work.keep(base.select("id", "n", "fp", "bits"))
+    attributes = work.keep(base.select("id", "n", "fp", "bits", "narrow"))
     none = F.array().cast("array<bigint>")
-    rare = base.select("id", "n", F.explode("rare").alias("k")).withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1").select("k", "id", "n", F.lit(0).alias("salt"), F.lit(False).alias("frequent"), none.alias("earlier"))
-    often = base.select("id", "n", "frequent", F.posexplode("frequent").alias("at", "k")).select("k", "id", "n", F.pmod(F.xxhash64("id"), F.lit(max(1, total // (64 * BLOCK)))).cast("int").alias("salt"), F.lit(True).alias("frequent"), F.slice("frequent", F.lit(1), F.col("at")).alias("earlier"))
+    rare = base.select("id", "n", F.posexplode("rare").alias("at", "k")).withColumn("m", F.count("*").over(W.partitionBy("k"))).where("m > 1")
+    rare = rare.select("k", "id", "n", "at", F.lit(0).alias("salt"), F.lit(False).alias("frequent"), none.alias("earlier"))
+    often = base.select("id", "n", F.size("rare").alias("before"), "frequent", F.posexplode("frequent").alias("i", "k"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, total // (64 * BLOCK)))).cast("int")
+    often = often.select("k", "id", "n", (F.col("before") + F.col("i")).alias("at"), salt.alias("salt"), F.lit(True).alias("frequent"), F.slice("frequent", F.lit(1), F.col("i")).alias("earlier"))
     keyed = work.keep(rare.union(often))
     work.drop(sketch, classes)
 
@@ -274,9 +339,18 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     first = verifier.possible(proposed(attributes, keyed))
     edges = verifier.alike(first)
     linked = work.keep(connected_components(edges))
+    unlike = None
+    for seed in range(ROUNDS):
+        near = nearest_apart(keyed, attributes, linked, unlike, seed, similarity, work)
+        possible = verifier.possible(near)
+        found = verifier.alike(possible)
+        before, linked = linked, work.keep(merged(linked, found))
+        failed = near.join(found, ["a", "b"], "left_anti")
+        unlike = work.keep(failed if unlike is None else failed.union(unlike))
+        work.drop(near, possible, found, before)
     rest = apart(keyed, attributes, linked, similarity, work)
-    left = verifier.possible(rest)
-    work.drop(first, rest, keyed)
+    left = verifier.possible(rest.join(unlike, ["a", "b"], "left_anti"))
+    work.drop(first, rest, keyed, unlike)
     best = work.keep(left.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
     more = verifier.alike(best)
     linked = work.keep(merged(linked, more))

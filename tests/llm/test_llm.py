@@ -406,6 +406,38 @@ def test_crowded_keys_keep_every_near_copy_together(spark):
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs_of(spark, rows)).collect()) == want
 
 
+def test_long_unlike_texts_are_parted_by_their_bitmaps():
+    rng = np.random.default_rng(4)
+    for n in (600, 1500, 6000, 30_000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        x, y = (near_copies.bitmap(s) for s in (a, b))
+        assert np.unpackbits((x ^ y).view(np.uint8)).sum() > 2 * n / 9  # sets of similarity 0.8 differ in no more
+        close = np.unique(np.concatenate([a[: n - n // 10], b[: n // 10]]))
+        assert np.unpackbits((x ^ near_copies.bitmap(close)).view(np.uint8)).sum() <= len(np.setxor1d(a, close))
+
+
+def test_large_groups_of_near_copies_are_whole_before_pairs_are_listed(spark, monkeypatch):
+    rng, rows = random.Random(12), []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(150)]
+        for i in range(120):  # two of one edit are near copies, two of two edits as a rule are not
+            text = list(base)
+            for at in rng.sample(range(5, 145), 1 + (rng.random() < 0.9)):
+                text[at] = f"edit{g}x{i}x{at}"
+            rows.append((1000 * g + i, " ".join(text)))
+    listed, apart = [], near_copies.apart
+
+    def counted(*given):
+        found = apart(*given)
+        listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "apart", counted)
+    want, near = kept_by_brute_force(rows)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(docs_of(spark, rows)).collect()) == want
+    assert len(near) > 2000 and listed[0] < len(rows)
+
+
 def test_near_copies_just_above_the_threshold_are_all_found(spark):
     rows = []
     for i in range(300):
