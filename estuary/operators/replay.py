@@ -203,16 +203,18 @@ def ordered(events: DataFrame, order: str, trades: DataFrame | None = None) -> D
     return rows.unionByName(marks, allowMissingColumns=True)
 
 
-def replay(events: DataFrame, order: str, trades: DataFrame | None = None) -> DataFrame:
+def replay(events: DataFrame, order: str, trades: DataFrame | None = None, by_other_time: bool = True) -> DataFrame:
     """Quotes (QUOTE) after every book event of each scope, by the named time, source_time or usable_time.
 
     events: venue, connection_id, scope, record_id, contract, kind (snapshot, delta, halt, close, disconnect), sequence, operation, side,
     price, size, levels, source_time, usable_time. trades (optional): venue, contract, record_id, source_time, usable_time; they only move
-    last_trade. Events without the time come last; equal times go by the other time, trades after book events, then contract and id. A scope
+    last_trade. Events without the time come last; equal times go by the other time (unless by_other_time is False, for streams whose numbers
+    do not follow it), trades after book events, then contract and id. A scope
     is one connection's sequence, the unit that cannot be split: its events are sorted (on disk, if need be) and streamed through one task.
     """
     rows = ordered(events, order, trades)
-    keys = [F.col("time").isNull(), F.col("time"), F.col("other_time").isNull(), F.col("other_time"), F.col("kind") == "trade", F.col("contract"), F.col("record_id")]
+    other = [F.col("other_time").isNull(), F.col("other_time")] if by_other_time else []
+    keys = [F.col("time").isNull(), F.col("time"), *other, F.col("kind") == "trade", F.col("contract"), F.col("record_id")]
     placed = rows.repartition(*SCOPE).sortWithinPartitions(*SCOPE, *keys)
     return placed.select(*SCOPE, *EVENT_COLUMNS).mapInArrow(_fold, QUOTE)
 

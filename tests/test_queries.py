@@ -42,3 +42,13 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["book_replay"])
+def test_equal_times_are_replayed_as_they_are_numbered(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.sql(f"copy (select * replace (event_id + 100000 * k as event_id) from '{SF}/events.parquet', range(7) t(k)) to '{tmp_path}/events.parquet'")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLES[name])
+    columns = sorted(want.columns)
+    assert sorted(tuple(map(plain, r)) for r in got.select(*columns).collect()) == sorted(tuple(map(plain, r)) for r in want.select(*columns).fetchall())
