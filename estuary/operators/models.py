@@ -60,7 +60,7 @@ def solve(m: np.ndarray, features: list[str], alpha: float) -> Ridge:
 
 
 def fit_ladder(train: DataFrame, validation: DataFrame, rungs: dict[str, list[str]], target: str) -> dict[str, Ridge]:
-    """Each rung's ridge; alpha by the smallest mean absolute validation error, the first of equals. Rows must be complete for every rung, so
+    """Each rung's ridge; alpha by the smallest mean absolute validation error, to nine decimals, the first of equals. Rows must be complete for every rung, so
     that all rungs see the same ones. One pass sums the whole ladder's matrix, of which each rung's is a part, and one scores every rung at every alpha."""
     every = sorted({f for fs in rungs.values() for f in fs})
     complete = F.lit(True)
@@ -74,7 +74,7 @@ def fit_ladder(train: DataFrame, validation: DataFrame, rungs: dict[str, list[st
         at = [0, *(place[f] for f in features), len(every) + 1]
         fits[name] = [solve(whole[np.ix_(at, at)], features, a) for a in PENALTIES] if features else [Ridge((), (), (), (), 0.0, 0.0)]
     scored = validation.agg(*[F.avg(F.abs(m.column() - F.col(target))).alias(f"{name}|{i}") for name, ms in fits.items() for i, m in enumerate(ms)]).first()
-    loss = {name: [scored[f"{name}|{i}"] if scored[f"{name}|{i}"] is not None else math.inf for i in range(len(ms))] for name, ms in fits.items()}
+    loss = {name: [round(scored[f"{name}|{i}"], 9) if scored[f"{name}|{i}"] is not None else math.inf for i in range(len(ms))] for name, ms in fits.items()}
     return {name: ms[min(range(len(ms)), key=lambda i: (loss[name][i], i))] for name, ms in fits.items()}
 
 

@@ -453,3 +453,10 @@ def test_joint_tests_and_caller_statistics(spark):
     assert stats.statistic_bootstrap(df.where("release = 1"), "release", lambda p: {"m": p["y"].mean()}, 10).first()["status"] == "inconclusive"
     d, pi = models.coherent_prices(np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([0.6, 0.9]), np.array([0.7, 0.95]))
     assert d == pytest.approx(0.05) and (np.array([[1.0, 0.0], [1.0, 1.0]]) @ pi) == pytest.approx([0.65, 1.0], abs=0.11)
+
+
+def test_penalties_whose_errors_differ_beyond_nine_decimals_are_equal(spark):
+    # The slope is nearly nil, so a larger penalty betters the error by less than a billionth.
+    flat = spark.range(-50, 51).select(F.col("id").cast("double").alias("x")).select("x", (F.lit(5.0) + F.when(F.col("x") > 0, 1e-10).otherwise(0.0)).alias("y"))
+    level = flat.select("x", F.lit(5.0).alias("y"))
+    assert models.fit_ladder(flat, level, {"own": ["x"]}, "y")["own"].alpha == models.PENALTIES[0]
