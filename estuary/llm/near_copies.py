@@ -37,8 +37,9 @@ from .simhash_dedup import links, majority, voted
 SAMPLE, COMMON, FREQUENT = 16_000, 200_000, 16
 #: Bits of the bitmaps that a pair is held against in a key; members of a key that a task compares with as many others.
 NARROW, BLOCK = 1024, 512
-#: Rounds in which classes propose links to other components, and the members of a key that each meets in a round.
-ROUNDS, MET = 2, 64
+#: Rounds in which classes propose links to other components, the members of a key that each meets in a round, and how many that it was tried
+#: with before it passes over.
+ROUNDS, MET, TRIED = 2, 64, 16
 REMEMBERED = 1 << 16
 
 
@@ -256,24 +257,78 @@ def _open(keyed: DataFrame, linked: DataFrame, work: Scratch) -> tuple[DataFrame
     return found, work.keep(counts.where("kinds > 1"))
 
 
+NEAR = "id long, a long, b long, far double"
+
+
+def _nearest(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (k, block, id, n, c, seeks, tried, narrow), those of one k and block together -> NEAR: for each row that seeks, the nearest by bitmap of those
+    beside it that lie in another component, are not tried and may be similar. Rows are compared with those 1, 2, ... places on while any has the same block."""
+
+    def nearest(rows: pa.RecordBatch) -> pa.RecordBatch:
+        k, block, ids, n, c, seeks = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("k", "block", "id", "n", "c", "seeks"))
+        bits = rows.column("narrow").flatten().to_numpy().view(np.uint64).reshape(len(ids), NARROW // 64)
+        total, ends, step, i = n.astype(np.int64), [], 0, np.arange(len(ids))
+        tried = [set(t or ()) for t in rows.column("tried").to_pylist()]
+        while len(i):
+            step += 1
+            i = i[i + step < len(ids)]
+            i = i[(k[i] == k[i + step]) & (block[i] == block[i + step])]
+            x, y = i, i + step
+            open_ = (c[x] != c[y]) & (seeks[x] | seeks[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6)
+            x, y = x[open_], y[open_]
+            both, differ = total[x] + total[y], np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            few = differ <= both * ((1 - similarity) / (1 + similarity)) + 1e-6
+            x, y, far = x[few], y[few], (differ / both)[few]
+            ends += [(x[seeks[x]], y[seeks[x]], far[seeks[x]]), (y[seeks[y]], x[seeks[y]], far[seeks[y]])]
+        x, y, far = (np.concatenate(e) for e in zip(*ends, strict=True))
+        order = np.lexsort((ids[y], far, x))
+        x, y, far = x[order], y[order], far[order]
+        new = np.fromiter((b not in tried[a] for a, b in zip(x.tolist(), ids[y].tolist(), strict=True)), bool, len(x))
+        x, y, far = x[new], y[new], far[new]
+        first = np.searchsorted(x, np.unique(x))
+        x, y, far = ids[x[first]], ids[y[first]], far[first]
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(far)], names=[e.split()[0] for e in NEAR.split(", ")])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            k, block = rows.column("k").to_numpy(), rows.column("block").to_numpy()
+            # The last block may go on in the next batch.
+            whole = int(np.argmax((k == k[-1]) & (block == block[-1])))
+            if whole:
+                yield nearest(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None:
+            yield nearest(held)
+
+    return run
+
+
 def nearest_apart(keyed: DataFrame, attributes: DataFrame, linked: DataFrame, tried: DataFrame | None, seed: int, similarity: float, work: Scratch) -> DataFrame:
     """(a, b), a < b: for each class the nearest by bitmap, of another component, among those that it meets: about MET members of each of its keys. tried are
-    pairs that are known to be unlike. In a frequent or crowded key, the members of the largest component propose nothing."""
+    pairs that are known to be unlike. In a frequent or crowded key, the members of the largest component propose nothing.
+
+    Classes that are much alike share hundreds of keys, so the pairs that meet are not listed: where a block of a key lies together, each class gives
+    its nearest alone, which makes no more rows than keyed has.
+    """
     rows, crowded = _open(keyed, linked, work)
-    narrow = ["k", "id", "n", "c", "at", "m", "main"]
+    narrow = ["k", "id", "n", "c", "m", "main"]
     small = rows.where(f"not frequent and m <= {BLOCK}").withColumn("main", F.lit(None).cast("long")).select(*narrow)
     large = join_checked(rows.where(f"frequent or m > {BLOCK}").drop("m"), crowded, ["k"], "inner").select(*narrow)
-    dealt = small.union(large).join(attributes.select("id", "narrow"), "id").withColumn("blocks", F.ceil(F.col("m") / MET).cast("int"))
-    members = work.keep(dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")))
-    seekers = members.where("main is null or c != main").withColumn("block", F.pmod(F.xxhash64("k", "id", F.lit(seed)), F.col("blocks")).cast("int"))
-    x, y = seekers.alias("x"), members.alias("y")
-    n, m, differ = F.col("x.n"), F.col("y.n"), _apart_by("x.narrow", "y.narrow")
-    fits = (F.col("x.c") != F.col("y.c")) & _sized(n, m, similarity) & _few(differ, n, m, similarity)
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block")) & fits).select(F.col("x.id").alias("id"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), (differ / (n + m)).alias("far"))
-    if tried is not None:
-        met = met.join(tried, ["a", "b"], "left_anti")
-    found = work.keep(met.groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
-    work.drop(rows, crowded, members)
+    block = F.pmod(F.xxhash64("k", "id", F.lit(seed)), F.ceil(F.col("m") / MET)).cast("int").alias("block")
+    members = small.union(large).join(attributes.select("id", "narrow"), "id").select("k", block, "id", "n", "c", (F.col("main").isNull() | (F.col("c") != F.col("main"))).alias("seeks"), "narrow")
+    if tried is None:
+        members = members.withColumn("tried", F.lit(None).cast("array<bigint>"))
+    else:
+        both = tried.select(F.col("a").alias("id"), F.col("b").alias("other")).union(tried.select("b", "a"))
+        members = members.join(both.groupBy("id").agg(F.slice(F.collect_set("other"), 1, TRIED).alias("tried")), "id", "left")
+    together = members.repartition("k", "block").sortWithinPartitions("k", "block")
+    pairs = together.mapInArrow(_nearest(similarity), NEAR).groupBy("id").agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    found = work.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+    work.drop(rows, crowded)
     return found
 
 

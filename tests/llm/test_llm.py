@@ -438,6 +438,45 @@ def test_large_groups_of_near_copies_are_whole_before_pairs_are_listed(spark, mo
     assert len(near) > 2000 and listed[0] < len(rows)
 
 
+def rows_of_joins(spark, run):
+    """How many rows the joins and the Python operators of all queries that run() starts have put out together."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total, all_ = 0, store.executionsList()
+    for e in (all_.apply(i).executionId() for i in range(all_.size())):
+        if e in before:
+            continue
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name() or node.name() == "MapInArrow":
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_groups_that_share_many_keys_meet_in_no_more_rows_than_they_have_keys(spark):
+    def group(size):
+        rng, base, rows = random.Random(15), [f"w{k}" for k in range(2000)], []
+        for i in range(size):  # 22 or 40 edits each, five words apart: two of 22 are near copies, all others are not, which short bitmaps do not tell
+            text = list(base)
+            for at in rng.sample(range(5, 1995, 5), 40 if i % 3 else 22):
+                text[at] = f"edit{i}x{at}"
+            rows.append((i, " ".join(text)))
+        return rows
+
+    made = {}
+    for size in (15, 60):
+        rows = group(size)
+        want, got = kept_by_brute_force(rows)[0], []
+        made[size] = rows_of_joins(spark, lambda: got.extend(r["doc_id"] for r in near_copies.keep_one(docs_of(spark, rows)).collect()))
+        assert sorted(got) == want and 1 < len(want) < size
+    assert made[60] < 6 * made[15]
+
+
 def test_near_copies_just_above_the_threshold_are_all_found(spark):
     rows = []
     for i in range(300):
